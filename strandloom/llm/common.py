@@ -25,3 +25,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     """Whether ``crc32(doc_id as text) mod folds`` is ``fold``; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+#: Entries of a counter table that travel in one row.
+SLICE = 1 << 14
+#: Partial tables that are added up in one group.
+FAN_IN = 64
+
+
+def count_table(rows: DataFrame, counts, size: int):
+    """Sum of a fixed-size counter table over all partitions of ``rows``, as an int64 array on the driver.
+
+    ``counts(batches)`` takes a partition's Arrow batches and returns its table (int64, ``size`` entries). Tables are cut
+    into slices and added up in a tree of fan-in ``FAN_IN``; what reaches the driver has ``size`` entries whatever the input.
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        total = np.zeros(size, np.int64)
+        total += counts(batches)
+        part = TaskContext.get().partitionId()
+        for k in range(0, size, SLICE):
+            piece = total[k : k + SLICE]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int64()), pa.array([part], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["slice", "part", "data"])
+
+    def add(key, pdf):
+        return pd.DataFrame({"slice": [key[0]], "part": [key[1]], "data": [np.sum([np.frombuffer(d, np.int64) for d in pdf["data"]], axis=0).tobytes()]})
+
+    schema, left = "slice long, part long, data binary", rows.rdd.getNumPartitions()
+    out = rows.mapInArrow(run, schema)
+    while True:
+        out = out.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("slice", "part").applyInPandas(add, schema)
+        left = -(-left // FAN_IN)
+        if left <= 1:
+            break
+    total = np.zeros(size, np.int64)
+    for r in out.collect():
+        piece = np.frombuffer(r["data"], np.int64)
+        total[r["slice"] * SLICE : r["slice"] * SLICE + len(piece)] += piece
+    return total
