@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm.common import table
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.warc import deduplicate_pages
+
+    return deduplicate_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.toxicity import rate_toxicity
+
+    return rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,8 +43,14 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.urlrules import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_pack_best_fit, op7_pieces)}
+    return {f.__name__: f for f in (op2_warc_revisits, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

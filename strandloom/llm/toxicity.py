@@ -19,8 +19,8 @@ from strandloom.llm.common import small_batches
 from strandloom.llm.ftrl import Ftrl
 
 BITS, PREFIX = 18, 4
-#: The training sample: labelled rows of each value of the last category, and the longest text in it.
-PER_VALUE, SAMPLE_CHARS = 5000, 30_000
+#: The training sample: labelled rows that have the last category, as many times those that don't, and the longest text.
+PER_VALUE, OTHERS, SAMPLE_CHARS = 4000, 2, 30_000
 FOLDS, EPOCHS = 3, 3
 #: Words in a worker's weight table before it starts anew.
 TABLE_ROWS = 500_000
@@ -81,7 +81,7 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return CHAIN_SCALE * np.log(p / (1 - p))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = 0.5, l2: float = 1e-3, alpha: float = 0.5) -> Chain:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = 5.0, l2: float = 1e-3, alpha: float = 0.5) -> Chain:
     """Fit the chain on (id, buckets, counts) rows; the fold of a row follows its id."""
     size, n, k = 1 << BITS, len(rows), len(categories)
     fold = np.array([zlib.crc32(str(r[0]).encode()) % folds for r in rows], np.int64)
@@ -109,8 +109,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, ca
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, per_value: int = PER_VALUE, sample_chars: int = SAMPLE_CHARS) -> Chain:
     """Learn from (doc_id, text) and labels (doc_id and the label columns).
 
-    The sample has up to ``per_value`` labelled documents of each value of the last category, those with the smallest
-    hashes of doc_id; that table is bounded, so it is broadcast and the documents are read once, without a shuffle.
+    The sample has up to ``per_value`` documents labelled with the last category and ``OTHERS`` times as many without it,
+    those with the smallest hashes of doc_id; that table is bounded, so it is broadcast and the documents are read once, without a shuffle.
     Documents with a longer text than ``sample_chars`` are left out of it. A label that is null is not learned from.
     """
     categories = categories or CATEGORIES
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     told = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
     told = told.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(F.col(names[-1]).isin(0, 1))
     order = Window.partitionBy(names[-1]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = told.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_value).drop("_n")
+    chosen = told.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.when(F.col(names[-1]) == 1, per_value).otherwise(OTHERS * per_value)).drop("_n")
     rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.binary()), *b.columns[2:]], names=["doc_id", "at", *names])
 
     schema = "doc_id long, at binary, " + ", ".join(f"{c} int" for c in names)
-    sample = rows.withColumn("doc_id", F.col("doc_id").cast("long")).limit(4 * per_value).mapInArrow(features, schema).collect()
+    sample = rows.withColumn("doc_id", F.col("doc_id").cast("long")).limit(2 * (1 + OTHERS) * per_value).mapInArrow(features, schema).collect()
     sample.sort(key=lambda r: (r["doc_id"], r["at"]))
     if not sample:
         return Chain(names, np.zeros((1 << BITS, len(names))), np.full(len(names), -40.0), np.zeros((len(names), len(names))))

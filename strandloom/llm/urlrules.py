@@ -70,7 +70,7 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1)),
     )
     linked = pages.where(F.contains(url, F.lit("://"))).select(url.alias("url"), hrefs.alias("hrefs")).where(F.size("hrefs") > 0)
-    linked = linked.select(resource_of(F.col("url")).alias("source"), F.explode("hrefs").alias("href"))
+    linked = materialize(linked.select(resource_of(F.col("url")).alias("source"), F.explode("hrefs").alias("href")), "url-links")
     return linked.select("source", resource_of(_absolute(F.col("source"), F.col("href"))).alias("target")).where("target is not null")
 
 
