@@ -8,6 +8,7 @@ emptiest windows, so that a shard leaves no more than a few pad tokens.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -21,35 +22,36 @@ from strandloom.llm.common import small_batches
 WINDOW, SLACK, END_ID = 2048, 8, 1
 #: A shard is packed once it has so many tokens: bounds a worker's memory; shards never depend on each other.
 SHARD_TOKENS = 4_000_000
-#: Entries of a worker's tables of chunks and of words before they start anew.
-CHUNK_ROWS, WORD_ROWS = 800_000, 600_000
-#: A run of these at the end of a chunk is a pre-token of its own (an apostrophe may not be).
+#: Entries of a worker's table of words before it starts anew.
+WORD_ROWS = 1_000_000
+#: A run of these at the end of a word is a pre-token of its own (an apostrophe may not be).
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A point or comma beside another character that is neither white space, a letter nor a digit: they are one pre-token.
+CLASH = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_[.,]|[.,]_")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 _TABLES: dict[str, WordTable] = {}
 
 
 class WordTable:
-    """Distinct chunk between white space -> its ids (little-endian unsigned 32-bit) by the tokenizers library.
+    """Distinct word -> its ids (little-endian unsigned 32-bit) by the tokenizers library.
 
-    The vocabulary's pre-tokenizer never joins characters across white space, and each pre-token ends in an id whose piece
-    ends with ``</w>``; so many chunks are encoded in one call and cut at those ids.
+    The vocabulary's pre-tokenizer never joins characters across white space, nor a lone point or comma with anything, and
+    each pre-token ends in an id whose piece ends with ``</w>``; so many words are encoded in one call and cut at those ids.
     """
 
-    def __init__(self, path: str, chunk_rows: int = CHUNK_ROWS, word_rows: int = WORD_ROWS):
+    def __init__(self, path: str, word_rows: int = WORD_ROWS):
         from tokenizers import Tokenizer
 
-        self.tk, self.chunk_rows, self.word_rows = Tokenizer.from_file(path), chunk_rows, word_rows
+        self.tk, self.word_rows = Tokenizer.from_file(path), word_rows
         size = self.tk.get_vocab_size(with_added_tokens=True)
         self.last = np.array([(self.tk.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> None:
         """Encode words that are one pre-token each."""
         groups = [words[at : at + 64] for at in range(0, len(words), 64)]
         for group, got in zip(groups, self.tk.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -62,30 +64,44 @@ class WordTable:
             else:
                 self.words.update((w, self.whole(w)) for w in group)
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > self.chunk_rows:
-            self.chunks.clear()
+    def learn(self, words: set[str]) -> None:
         if len(self.words) > self.word_rows:
-            self.words = {"": b""}
-        new = list(chunks.difference(self.chunks))
-        cores = [c.rstrip(PUNCTUATION) for c in new]
-        tails = [c[len(x) :] for c, x in zip(new, cores, strict=True)]
-        cores = [(x.lower() if x.isascii() else x) if not x or x.isalpha() else None for x in cores]
-        need = set(cores).union(tails)
-        need.discard(None)
-        self._words(list(need.difference(self.words)))
-        words, rows = self.words, self.chunks
-        for c, core, tail in zip(new, cores, tails, strict=True):
-            rows[c] = self.whole(c) if core is None else words[core] + words[tail]
+            self.words.clear()
+        rows, new = self.words, list(words.difference(self.words))
+        plain, rest = set(), {}
+        for w in new:
+            if w.isalpha():
+                plain.add(w)
+            else:
+                core = w.rstrip(PUNCTUATION)
+                rest[w] = (core, w[len(core) :])
+        joined = {w: x for w, x in rest.items() if not x[0] or x[0].isalpha()}
+        self._encode(list(plain.union(p for x in joined.values() for p in x if p and p not in rows)))
+        for w, (core, tail) in rest.items():
+            if w not in joined:
+                rows[w] = self.whole(w)
+            elif core and tail:
+                rows[w] = rows[core] + rows[tail]
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             group = [t or "" for t in texts[at : at + 256]]
-            cuts = [None if odd(t) else t.split() for t in group]
+            cuts = [None if odd(t) else cut(t) for t in group]
             self.learn(set().union(*filter(None, cuts)))
-            get = self.chunks.__getitem__
-            for text, cut in zip(group, cuts, strict=True):
-                yield self.whole(text) if cut is None else b"".join(map(get, cut))
+            get = self.words.__getitem__
+            for text, words in zip(group, cuts, strict=True):
+                yield self.whole(text) if words is None else b"".join(map(get, words))
+
+
+def cut(text: str) -> list[str]:
+    """Runs of a text between white space, with points and commas apart; A-Z and Latin letters in lower case, as the
+    vocabulary has them."""
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return text.split() if CLASH.search(text) else text.replace(".", " . ").replace(",", " , ").split()
 
 
 def odd(text: str) -> bool:
