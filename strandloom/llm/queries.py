@@ -15,6 +15,12 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.toxicity import rate_toxicity
 
@@ -49,8 +55,16 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strandloom.llm.vectors import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_revisits, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules)}
+    return {f.__name__: f for f in (op2_warc_revisits, op3_vector_links, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules, op9_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
