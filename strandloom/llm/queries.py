@@ -63,8 +63,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.shinglejoin import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_revisits, op3_vector_links, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules, op9_top_k)}
+    return {f.__name__: f for f in (op2_warc_revisits, op3_vector_links, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules, op9_top_k, op10_shingle_components)}
 
 
 def oracle_sql() -> dict[str, str]:
