@@ -146,16 +146,17 @@ def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ())
     """``lang_pred`` and ``score`` of each row's whole text, beside the columns named in ``carry``, in one narrow pass."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = carry.index("text") if "text" in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = [sent.value.predict(t) for t in b.column(0).to_pylist()]
-            cols = [*b.columns[1:], pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())]
+            told = [sent.value.predict(t) for t in b.column(at).to_pylist()]
+            cols = [*b.columns[: len(carry)], pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*carry, "lang_pred", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string, score double"])
-    return docs.select("text", *carry).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm.common import table
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.quotes import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.warc import deduplicate_pages
 
@@ -70,8 +76,10 @@ def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_revisits, op3_vector_links, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules, op9_top_k, op10_shingle_components)}
+    return {f.__name__: f for f in (op1_quotes, op2_warc_revisits, op3_vector_links, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules, op9_top_k, op10_shingle_components)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from strandloom.llm import quotes
+
+    return {"op1_quotes": quotes.SQL}
