@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import small_batches
@@ -109,7 +109,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, ca
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, per_value: int = PER_VALUE, sample_chars: int = SAMPLE_CHARS) -> Chain:
     """Learn from (doc_id, text) and labels (doc_id and the label columns).
 
-    The sample has up to ``per_value`` documents labelled with the last category and ``OTHERS`` times as many without it,
+    The sample has about ``per_value`` documents (never twice as many) labelled with the last category and ``OTHERS`` times as many without it,
     those with the smallest hashes of doc_id; that table is bounded, so it is broadcast and the documents are read once, without a shuffle.
     Documents with a longer text than ``sample_chars`` are left out of it. A label that is null is not learned from.
     """
@@ -117,8 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     names = list(categories)
     told = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
     told = told.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(F.col(names[-1]).isin(0, 1))
-    order = Window.partitionBy(names[-1]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = told.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.when(F.col(names[-1]) == 1, per_value).otherwise(OTHERS * per_value)).drop("_n")
+    found = {r[names[-1]]: r["count"] for r in told.groupBy(names[-1]).count().collect()}
+    space = 1 << 20
+    share = [-(-space * want // max(1, found.get(v, 0))) for v, want in ((0, OTHERS * per_value), (1, per_value))]
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(space)) < F.when(F.col(names[-1]) == 1, share[1]).otherwise(share[0])
+    chosen = told.where(draw).limit(2 * (1 + OTHERS) * per_value)
     rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     x = []
     for r in sample:
         at, n = np.unique(np.frombuffer(r["at"], np.uint32), return_counts=True)
-        x.append((r["doc_id"], at.astype(np.int64), n.astype(np.float64)))
+        x.append((r["doc_id"], at.astype(np.int32), n.astype(np.float32)))
     y = np.array([[-1 if r[c] is None else r[c] for c in names] for r in sample], np.int64)
     return train(x, y, names)
 
@@ -145,16 +148,17 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
     """``p_<category>`` of each row's whole text, beside the columns named in ``carry``, in one narrow pass."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
+    at = carry.index("text") if "text" in carry else len(carry)
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = sent.value.predict(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(p[:, k], pa.float64()) for k in range(len(names)))], names=[*carry, *names])
+            p = sent.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], *(pa.array(p[:, k], pa.float64()) for k in range(len(names)))], names=[*carry, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"{c} double" for c in names)])
-    return docs.select("text", *carry).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, schema)
 
 
 def rate_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
