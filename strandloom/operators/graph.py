@@ -45,3 +45,74 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         step = m.select(F.col("node").alias("component"), F.col("up").alias("next"))
         out = out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
     return materialize(out, "cc-out")
+
+
+def orient_components(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component, node, orient, conflict): strand of each node relative to the smallest of its component.
+
+    ``edges`` has (a, b, strand); ``-`` flips. A component whose edges contradict each other is marked and keeps the strands
+    of the breadth-first walk.
+    """
+    import pandas as pd
+
+    own = edges.join(parts.select(F.col("node").alias("a"), "component"), "a")
+
+    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b, s in zip(pdf["a"], pdf["b"], pdf["strand"], strict=True):
+            flip = -1 if s == "-" else 1
+            near.setdefault(a, []).append((b, flip))
+            near.setdefault(b, []).append((a, flip))
+        first = min(near)
+        sign, queue, conflict = {first: 1}, [first], False
+        for x in queue:
+            for y, flip in sorted(near[x]):
+                if y not in sign:
+                    sign[y] = sign[x] * flip
+                    queue.append(y)
+                conflict |= sign[y] != sign[x] * flip
+        return pd.DataFrame({"component": [key[0]] * len(sign), "node": list(sign), "orient": ["+" if v > 0 else "-" for v in sign.values()], "conflict": [conflict] * len(sign)})
+
+    return own.groupBy("component").applyInPandas(walk, "component long, node long, orient string, conflict boolean")
+
+
+def grow_cliques(edges: DataFrame, size: int, duplicate: float = 99.95) -> DataFrame:
+    """(seed, pos, member): around every node that has ``size - 1`` neighbours, a clique grown greedily.
+
+    ``edges`` has (a, b, weight) once per pair, and ``lineage_a``, ``lineage_b`` (nullable). A candidate is adjacent to all
+    members; one of a lineage not seen yet comes first, then an unlabelled one that duplicates nobody, then any other;
+    of those the one with the largest minimal weight, then the smallest id. A seed's neighbourhood is one group.
+    """
+    import pandas as pd
+
+    both = edges.select("a", "b", "weight", F.col("lineage_b").alias("lineage")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", F.col("lineage_a").alias("lineage")))
+    star = both.select(F.col("a").alias("seed"), F.col("b").alias("x"), F.col("weight").alias("to_seed"), "lineage")
+    inner = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("weight").alias("w"))
+    pairs = star.select("seed", "x").join(inner, "x").join(star.select("seed", F.col("x").alias("y")), ["seed", "y"])
+    pairs = pairs.select("seed", "x", "y", "w").toDF("seed", "x", "y", "w")
+    star = star.toDF(*star.columns)
+    schema = "seed long, pos int, member long"
+
+    def grow(key, near: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        seed = int(key[0])
+        if len(near) < size - 1:
+            return pd.DataFrame({"seed": [], "pos": [], "member": []})
+        to_seed, lineage = dict(zip(near["x"], near["to_seed"], strict=True)), dict(zip(near["x"], near["lineage"], strict=True))
+        weight = {}
+        for x, y, w in zip(links["x"], links["y"], links["w"], strict=True):
+            weight[x, y] = weight[y, x] = w
+        members, seen, pool = [seed], set(), set(to_seed)
+        while len(members) < size and pool:
+            def rank(c):
+                ws = [to_seed[c], *(weight[c, m] for m in members[1:])]
+                known = lineage[c] is not None and lineage[c] == lineage[c]
+                tier = 0 if known and lineage[c] not in seen else 1 if not known and max(ws) < duplicate else 2
+                return tier, -min(ws), c
+
+            best = min(pool, key=rank)
+            members.append(best)
+            seen.add(lineage[best])
+            pool = {c for c in pool if c != best and (c, best) in weight}
+        return pd.DataFrame({"seed": [seed] * len(members), "pos": range(len(members)), "member": members})
+
+    return star.groupBy("seed").cogroup(pairs.groupBy("seed")).applyInPandas(grow, schema)
