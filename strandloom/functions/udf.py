@@ -11,67 +11,86 @@ from pyspark.sql import functions as F
 from strandloom.functions import kernels as k
 
 
+class lazy:  # noqa: N801
+    """A pandas UDF that is made when it is first used: workers import this module without a session."""
+
+    def __init__(self, kind: str):
+        self.kind, self.made = kind, None
+
+    def __call__(self, *args):
+        if self.made is None and len(args) == 1 and callable(args[0]):
+            self.f, self.__name__, self.made = args[0], args[0].__name__, False
+            return self
+        return self.udf(*args)
+
+    @property
+    def udf(self):
+        if not self.made:
+            self.made = F.pandas_udf(self.f, self.kind)
+        return self.made
+
+
 def _rows(f: Callable, *cols: pd.Series) -> list:
     """``f`` of each row; null where any argument is."""
     return [None if any(x is None or x is pd.NA or x != x for x in row) else f(*row) for row in zip(*(c.tolist() for c in cols), strict=True)]
 
 
-@F.pandas_udf("string")
+@lazy("string")
 def insert_key(long: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series(_rows(lambda s, a, n: k.canonical_insert_key(s, int(a), int(n)), long, start, length), dtype=object)
 
 
-@F.pandas_udf("left int, right int")
+@lazy("left int, right int")
 def slide(long: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(_rows(lambda s, a, b: k.slide(s, int(a), int(b)), long, start, end), columns=["left", "right"])
+    return pd.DataFrame(_rows(lambda s, a, b: k.slide(s, int(a), int(b)), long, start, end), columns=["left", "right"], dtype=object)
 
 
-@F.pandas_udf("lcp int, lcs int, insert string, overlap int")
+@lazy("lcp int, lcs int, insert string, overlap int")
 def decompose(short: pd.Series, long: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([x or {} for x in _rows(k.decompose, short, long)], columns=["lcp", "lcs", "insert", "overlap"])
+    return pd.DataFrame([x or {} for x in _rows(k.decompose, short, long)], columns=["lcp", "lcs", "insert", "overlap"], dtype=object)
 
 
-@F.pandas_udf("tsd_len int, tsd_seq string, side string, confidence string")
+@lazy("tsd_len int, tsd_seq string, side string, confidence string")
 def tsd(insert: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([x or {} for x in _rows(k.duplication, insert, left, right)], columns=["tsd_len", "tsd_seq", "side", "confidence"])
+    return pd.DataFrame([x or {} for x in _rows(k.duplication, insert, left, right)], columns=["tsd_len", "tsd_seq", "side", "confidence"], dtype=object)
 
 
-@F.pandas_udf("int")
+@lazy("int")
 def outward_repeat(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_rows(lambda x, i, j: k.outward_repeat(x, int(i), int(j)), s, a, b), dtype="Int32")
 
 
-@F.pandas_udf("int")
+@lazy("int")
 def inverted_repeat(s: pd.Series) -> pd.Series:
     return pd.Series(_rows(k.inverted_repeat, s), dtype="Int32")
 
 
-@F.pandas_udf("int")
+@lazy("int")
 def project_boundary(cigar: pd.Series, q_start: pd.Series, t_start: pd.Series, boundary: pd.Series) -> pd.Series:
     return pd.Series(_rows(lambda c, q, t, b: k.project_boundary(c, int(q), int(t), int(b)), cigar, q_start, t_start, boundary), dtype="Int32")
 
 
-@F.pandas_udf("ok boolean, coverage double, identity double, insert_len int, lcp int, insert_start int, second int, lost int, ambiguity int")
+@lazy("ok boolean, coverage double, identity double, insert_len int, lcp int, insert_start int, second int, lost int, ambiguity int")
 def tolerant_decompose(short: pd.Series, long: pd.Series) -> pd.DataFrame:
     cols = ["ok", "coverage", "identity", "insert_len", "lcp", "insert_start", "second", "lost", "ambiguity"]
-    return pd.DataFrame([x or {} for x in _rows(k.tolerant_decompose, short, long)], columns=cols)
+    return pd.DataFrame([x or {} for x in _rows(k.tolerant_decompose, short, long)], columns=cols, dtype=object)
 
 
-@F.pandas_udf("identity double, coverage double, score double, orientation string")
+@lazy("identity double, coverage double, score double, orientation string")
 def best_orientation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([x or {} for x in _rows(k.best_orientation, a, b)], columns=["identity", "coverage", "score", "orientation"])
+    return pd.DataFrame([x or {} for x in _rows(k.best_orientation, a, b)], columns=["identity", "coverage", "score", "orientation"], dtype=object)
 
 
-@F.pandas_udf("start int, status string")
+@lazy("start int, status string")
 def locate_insert(long: pd.Series, length: pd.Series, start: pd.Series, lcp: pd.Series, md5: pd.Series) -> pd.DataFrame:
     def one(s, n, a, p, h):
         whole = lambda x: None if x is None or x != x else int(x)
         return (None, "unresolved") if s is None or whole(n) is None else k.locate_insert(s, int(n), whole(a), whole(p), h)
 
-    return pd.DataFrame([one(*r) for r in zip(*(c.tolist() for c in (long, length, start, lcp, md5)), strict=True)], columns=["start", "status"])
+    return pd.DataFrame([one(*r) for r in zip(*(c.tolist() for c in (long, length, start, lcp, md5)), strict=True)], columns=["start", "status"], dtype=object)
 
 
-@F.pandas_udf("array<struct<start:int,end:int,strand:string,aa:int>>")
+@lazy("array<struct<start:int,end:int,strand:string,aa:int>>")
 def orf_scan(s: pd.Series) -> pd.Series:
     return pd.Series(_rows(k.open_reading_frames, s), dtype=object)
 
@@ -82,4 +101,4 @@ FUNCTIONS = {f.__name__: f for f in (insert_key, slide, decompose, tsd, outward_
 def register(spark: SparkSession) -> None:
     """Register every function under its own name."""
     for name, f in FUNCTIONS.items():
-        spark.udf.register(name, f)
+        spark.udf.register(name, f.udf)
