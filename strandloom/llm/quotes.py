@@ -11,7 +11,8 @@ from strandloom.session import materialize
 MIN_CHARS = 8
 #: Turns (and threads) in a bucket of the ordered operators: no key, however hot, has more in one window.
 BUCKET = 1024
-MARKS = r"^(?:[ \t]*>)+"
+#: Blanks and quote marks up to the last mark; one character class, so that no line is too long for the matcher's stack.
+MARKS = r"^[ \t>]*>"
 WROTE = r"(?i)\bwrote:\s*$"
 
 
@@ -147,11 +148,11 @@ SQL = r"""
 with recursive m as (
   select conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) as lines from conversations
 ), g as (
-  select *, list_transform(lines, lambda x: length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g'))) as levels from m
+  select *, list_transform(lines, lambda x: length(regexp_replace(regexp_extract(x, '^[ \t>]*>'), '[^>]', '', 'g'))) as levels from m
 ), u as (
   select conv_id, turn, level, unnest(list_distinct(list_transform(list_concat(regexp_split_to_array(array_to_string(own, chr(10)), '\n\s*\n'), own),
     lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))))) as unit
-  from (select conv_id, turn, level, list_transform(list_zip(lines, levels), lambda x: case when x[2] = level then regexp_replace(x[1], '^(?:[ \t]*>)+', '') else '' end) as own
+  from (select conv_id, turn, level, list_transform(list_zip(lines, levels), lambda x: case when x[2] = level then regexp_replace(x[1], '^[ \t>]*>', '') else '' end) as own
     from (select conv_id, turn, lines, levels, unnest(list_distinct(levels)) as level from g))
 ), p as (select distinct conv_id, turn, level, md5(unit) as hash, length(unit) as size from u where length(unit) >= 8
 ), linked as (

@@ -233,7 +233,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): the k largest integer inner products of each row chosen by ``queries``.
 
     Components count as ``floor(256 * x)``. A query first searches the tree of its own shard; its kth score then goes with
-    it to all other shards, where it cuts off boxes from the start. Scores are exact and ties go to the smaller vec_id.
+    it to all other shards, where it cuts off boxes from the start. Scores are exact (they must fit 64 bits) and ties go to
+    the smaller vec_id.
     Vectors that are null or empty or hold null or non-finite components take no part; vectors of different length aren't
     compared; rows with the query's own id aren't candidates; an empty table gives an empty result; other columns are left
     out.
