@@ -28,18 +28,19 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
 
 
 #: Entries of a counter table that travel in one row.
-SLICE = 1 << 14
+SLICE = 1 << 16
 #: Partial tables that are added up in one group.
 FAN_IN = 64
 
 
-def count_table(rows: DataFrame, counts, size: int):
-    """Sum of a fixed-size counter table over all partitions of ``rows``, as an int64 array on the driver.
+def count_table(rows: DataFrame, counts, size: int, kind: str = "int64"):
+    """Sum of a fixed-size counter table over all partitions of ``rows``, as an array of ``kind`` on the driver.
 
-    ``counts(batches)`` takes a partition's Arrow batches and returns its table (int64, ``size`` entries). Tables are cut
+    ``counts(batches)`` takes a partition's Arrow batches and returns its table (``kind``, ``size`` entries). Tables are cut
     into slices and added up in a tree of fan-in ``FAN_IN``; what reaches the driver has ``size`` entries whatever the input.
     """
     import zlib
+    from functools import reduce
 
     import numpy as np
     import pandas as pd
@@ -48,8 +49,7 @@ def count_table(rows: DataFrame, counts, size: int):
     def run(batches):
         from pyspark import TaskContext
 
-        total = np.zeros(size, np.int64)
-        total += counts(batches)
+        total = np.asarray(counts(batches), kind)
         part = TaskContext.get().partitionId()
         for k in range(0, size, SLICE):
             piece = total[k : k + SLICE]
@@ -57,7 +57,7 @@ def count_table(rows: DataFrame, counts, size: int):
                 yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int64()), pa.array([part], pa.int64()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["slice", "part", "data"])
 
     def add(key, pdf):
-        return pd.DataFrame({"slice": [key[0]], "part": [key[1]], "data": [zlib.compress(np.sum([np.frombuffer(zlib.decompress(d), np.int64) for d in pdf["data"]], axis=0).tobytes(), 1)]})
+        return pd.DataFrame({"slice": [key[0]], "part": [key[1]], "data": [zlib.compress(reduce(np.add, (np.frombuffer(zlib.decompress(d), kind) for d in pdf["data"])).tobytes(), 1)]})
 
     schema, left = "slice long, part long, data binary", rows.rdd.getNumPartitions()
     out = rows.mapInArrow(run, schema)
@@ -66,8 +66,8 @@ def count_table(rows: DataFrame, counts, size: int):
         left = -(-left // FAN_IN)
         if left <= 1:
             break
-    total = np.zeros(size, np.int64)
+    total = np.zeros(size, kind)
     for r in out.collect():
-        piece = np.frombuffer(zlib.decompress(r["data"]), np.int64)
+        piece = np.frombuffer(zlib.decompress(r["data"]), kind)
         total[r["slice"] * SLICE : r["slice"] * SLICE + len(piece)] += piece
     return total

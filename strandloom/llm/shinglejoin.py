@@ -9,6 +9,7 @@ compared. Documents with identical sets are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +23,30 @@ from strandloom.session import materialize
 
 WORDS, PERCENT = 5, 80
 #: Buckets of shingle frequencies (a fixed table; it sets the order of shingles, which affects speed, never the result),
-#: and bits of the table that tells which documents have a candidate.
-BUCKET_BITS, CANDIDATE_BITS = 20, 22
-#: Words in a worker's table of hashes before it starts anew.
-TABLE_ROWS = 1_000_000
+#: and bits of the buckets of doc_id that tell which documents may have a candidate.
+BUCKET_BITS, CANDIDATE_BITS = 22, 18
+#: Bits of a set's parity bitmap; two sets differ in at least as many shingles as their bitmaps in bits.
+BITMAP = 1024
+#: Lists of at most so many groups give all their pairs at once; longer ones are settled along their order first.
+SHORT = 8
+#: Bytes of text that are hashed together (a longer text is hashed alone).
+GROUP_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: A random number for each byte, the same for a-z and A-Z.
+_BYTE = np.random.default_rng(20240131).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BASE = 0xD1342543DE82EF95
+_POWERS: list[np.ndarray] = []
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; each distinct word is hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _powers(n: int) -> list[np.ndarray]:
+    """``_BASE ** i`` and its inverse modulo 2**64, for i up to n."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n + 1, GROUP_BYTES + 4096)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -45,19 +55,42 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, table: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``words`` words; of a shorter text, the whole sequence as one."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(table) > TABLE_ROWS:
-        table.clear()
-    h = np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
-    k = min(words, len(h))
-    s = h[: len(h) - k + 1] + np.uint64(k)
-    for i in range(1, k):
-        s = (s ^ (s >> np.uint64(29))) * _MIX + h[i : len(h) - k + 1 + i]
-    return np.unique(_scatter(s))
+def _chain(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the runs of ``words`` words."""
+    s = h[: len(h) - words + 1] + np.uint64(words)
+    for i in range(1, words):
+        s = (s ^ (s >> np.uint64(29))) * _MIX + h[i : len(h) - words + 1 + i]
+    return _scatter(s)
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's runs of ``words`` words; of a shorter text, the whole sequence as one.
+
+    Words are hashed as polynomials over the bytes of many texts at once: differences of a running sum.
+    """
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    at = 0
+    while at < len(data):
+        to, size = at, 0
+        while to < len(data) and (to == at or size + len(data[to]) < GROUP_BYTES):
+            size += len(data[to]) + 1
+            to += 1
+        yield from _group_sets(data[at:to], words)
+        at = to
+
+
+def _group_sets(data: list[bytes], words: int) -> Iterator[np.ndarray]:
+    raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+    up, down = _powers(len(raw))
+    white = _WHITE[raw]
+    edge = np.flatnonzero(np.diff(white, prepend=True))
+    begin, end = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
+    h = _scatter((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _MIX)
+    runs = _chain(h, words) if len(h) >= words else h
+    first = np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for d in data)])).tolist()
+    for a, b in zip(first, first[1:], strict=False):
+        yield np.unique(runs[a : b - words + 1] if b - a >= words else _chain(h[a:b], b - a)) if b > a else np.zeros(0, np.uint64)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -76,67 +109,56 @@ def _signed(rows: list, kind=None) -> pa.Array:
 
 
 def _summaries(docs: DataFrame, order: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, grp, prefix) by document; a task gives each group's prefix once."""
+    """(doc_id, n, sig, grp, bits, prefix) by document; a task gives each group's prefix once."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
     shift = np.uint64(64 - BUCKET_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, rank = WordHashes(), set(), sent.value
+        seen, rank = set(), sent.value
         for b in batches:
-            n, sig, grp, prefix = [], [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingles(text, table, words)
+            n, sig, grp, bits, prefix = [], [], [], [], []
+            for s in shingle_sets(b.column(1).to_pylist(), words):
                 n.append(len(s))
                 if not len(s):
-                    sig.append(None), grp.append(None), prefix.append(None)
+                    sig.append(None), grp.append(None), bits.append(None), prefix.append(None)
                     continue
                 head = s[np.argsort(rank[s >> shift], kind="stable")[: prefix_size(len(s), percent)]]
                 size = len(s).to_bytes(8, "little")
                 g = _hash(size + head.tobytes())
                 sig.append(_hash(size + s.tobytes())), grp.append(g)
+                odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
+                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
                 prefix.append(None if g in seen else head.view(np.int64))
                 seen.add(g)
-            cols = [b.column(0), pa.array(n, pa.int64()), _signed(sig), _signed(grp), _signed(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig", "grp", "prefix"])
+            cols = [b.column(0), pa.array(n, pa.int64()), _signed(sig), _signed(grp), *(_signed(c, pa.list_(pa.int64())) for c in (bits, prefix))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig", "grp", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, grp long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, grp long, bits array<long>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(sig, data): the sets (upper 40 bits of each hash) of the nodes, from the texts of their first documents.
+    """(sig, data): the sets (upper 40 bits of each hash) of the nodes (sig, doc), from the texts of their first documents.
 
-    A table of fixed size tells which documents may be among them, so that other texts are neither cut nor moved.
+    A broadcast table of at most ``1 << CANDIDATE_BITS`` marked buckets of doc_id keeps other texts from being cut or moved.
     """
-    buckets = 1 << CANDIDATE_BITS
-    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(buckets))
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(buckets, np.int64)
-        for b in batches:
-            total[b.column(0).to_numpy(zero_copy_only=False)] = 1
-        return total
-
-    some = np.packbits(count_table(nodes.select(F.col("doc").alias("doc_id")).select(place.alias("at")), marks, buckets) > 0)
-    sent = docs.sparkSession.sparkContext.broadcast(some)
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << CANDIDATE_BITS)).cast("int")
+    wanted = nodes.select("sig", F.col("doc").alias("doc_id"))
+    marked = wanted.select(place.alias("at")).distinct()
+    rows = docs.withColumn("at", place).join(F.broadcast(marked), "at", "left_semi").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = WordHashes(), sent.value
         for b in batches:
-            at = b.column(2).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             ids, sig, data = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, table, words)
+            for doc_id, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words), strict=True):
                 if len(s):
                     ids.append(doc_id)
                     sig.append(_hash(len(s).to_bytes(8, "little") + s.tobytes()))
                     data.append(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
             yield pa.RecordBatch.from_arrays([_signed(ids), _signed(sig), _signed(data, pa.binary())], names=["doc_id", "sig", "data"])
 
-    rows = docs.withColumn("at", place).mapInArrow(run, "doc_id long, sig long, data binary")
-    wanted = nodes.select("sig", F.col("doc").alias("doc_id"))
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), ["sig", "doc_id"], "left_semi")
-    return rows.select("sig", "data").dropDuplicates(["sig"])
+    found = rows.mapInArrow(run, "doc_id long, sig long, data binary").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    wanted = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    return found.join(wanted, ["sig", "doc_id"], "left_semi").select("sig", "data").dropDuplicates(["sig"])
 
 
 def _members(data: bytes) -> np.ndarray:
@@ -162,19 +184,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(run, "a long, b long")
 
 
-def _near(n1: str, n2: str, pos1: str, pos2: str, percent: int):
-    """Size and position filter of two groups at a shared shingle, in integers."""
-    lo, hi, room = F.least(n1, n2), F.greatest(n1, n2), F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2))
-    return (100 * lo >= percent * hi) & ((100 + percent) * room >= percent * (F.col(n1) + F.col(n2)))
+def _possible(shared, percent: int):
+    """Whether groups of sizes n and n2 can be similar enough if they share at most ``shared`` prefix shingles.
+
+    With sizes in proportion. All common shingles up to the end of the shorter-reaching prefix are in both prefixes; that
+    group has ``n - prefix`` more shingles, so the overlap is at most ``shared`` plus the larger of those rests.
+    """
+    n, m = F.col("n"), F.col("n2")
+    rest = F.ceil(F.greatest(n, m) * percent / 100) - 1
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (shared + rest) >= percent * (n + m))
+
+
+def _near(percent: int):
+    """Whether groups can be similar enough if the shingle at pos and pos2 of their prefixes is the first that they share."""
+    lo, hi, room = F.least("n", "n2"), F.greatest("n", "n2"), F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    return (100 * lo >= percent * hi) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
+
+
+def _alike(percent: int):
+    """Whether sets of sizes n and n2 with the parity bitmaps bits and bits2 can be similar enough."""
+    differ = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    size = F.col("n") + F.col("n2")
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * (size - differ) >= 2 * percent * size)
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct runs of ``words`` words. Copies of
-    a set are one node. Links are looked for in two rounds along sorted lists (each group with the next, each member with its
-    group's first), which settles groups of near copies in as many comparisons as they have members; what is left, pairs
-    whose components still differ, is then compared without exception, so no link between components is lost.
+    a set are one node. Pairs of groups come from short lists at once; in long lists each group is first compared with the
+    next, and each member with its group's first, which settles a group of near copies in as many comparisons as it has
+    members. What is left, every pair that can be similar enough and whose components still differ, is then compared
+    without exception, so no link between components is lost.
     A null text, or one without words, has an empty set and links with nothing; a null doc_id is smaller than none; rows
     with equal doc_id are documents of their own; an empty table gives an empty result; other columns are left out.
     """
@@ -182,61 +223,99 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total, table, shift = np.zeros(1 << BUCKET_BITS, np.int64), WordHashes(), np.uint64(64 - BUCKET_BITS)
+        total, shift = np.zeros(1 << BUCKET_BITS, np.uint32), np.uint64(64 - BUCKET_BITS)
         for b in batches:
-            found = [shingles(t, table, words) for t in b.column(0).to_pylist()]
-            total += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=1 << BUCKET_BITS) if found else 0
+            found = [s >> shift for s in shingle_sets(b.column(0).to_pylist(), words)]
+            at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), 0)
+            total[at] += np.asarray(n, np.uint32)
         return total
 
-    order = np.minimum(count_table(docs.select("text"), counts, 1 << BUCKET_BITS), 2**31 - 1).astype(np.int32)
+    order = count_table(docs.select("text"), counts, 1 << BUCKET_BITS, "uint32")
     rows = materialize(_summaries(docs, order, words, percent), "shingle-docs")
-    nodes = rows.where("sig is not null").groupBy("sig", "grp", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
+    nodes = rows.where("sig is not null").groupBy("sig", "grp", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "shingle-nodes")
-    groups = nodes.groupBy("grp").agg(F.min("sig").alias("head"), F.count("*").alias("members"))
 
-    # Lists: shingle -> groups that have it in their prefix, where there are at least two.
+    # Lists: shingle -> groups that have it in their prefix, of at least two groups (k of them).
     lists = rows.where("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "shingle")).repartition("shingle")
     lists = lists.groupBy("shingle", "grp", "n", "pos").agg(F.lit(1).alias("one"))
     by_shingle = Window.partitionBy("shingle")
-    lists = materialize(lists.withColumn("k", F.count("*").over(by_shingle)).where("k > 1").select("shingle", "grp", "n", "pos"), "shingle-lists")
-
-    some = lists.select("grp").distinct().join(nodes, "grp")
-    several = groups.where("members > 1").select("grp").join(nodes, "grp")
-    sets = materialize(_sets(docs, some.unionByName(several, allowMissingColumns=True).select("sig", "doc").distinct(), words), "shingle-sets")
-
-    heads = materialize(groups.where("members > 1").join(nodes.select("grp", "sig"), "grp").select("grp", "head", "sig"), "shingle-heads")
-    links = _verified(heads.where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b")), sets, percent)
-    links = materialize(links, "shingle-links")
+    lists = materialize(lists.withColumn("k", F.count("*").over(by_shingle)).where("k > 1").select("shingle", "grp", "n", "pos", "k"), "shingle-lists")
+    long_lists = lists.where(F.col("k") > SHORT).select("shingle", "grp", "n", "pos")
+    long_of = long_lists.groupBy("grp").agg(F.count("*").alias("c"))
+
+    # All pairs of groups in short lists; what they may share in long lists counts in their favour.
+    short = lists.where(F.col("k") <= SHORT).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("n", "grp"))).alias("g"))
+    short = short.select(F.posexplode("g").alias("i", "x"), "g").select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SHORT))).alias("y"))
+    short = short.select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).where(100 * F.col("n") >= percent * F.col("n2"))
+    short = short.groupBy("grp", "n", "grp2", "n2").agg(F.count("*").alias("shared"))
+    short = short.join(long_of, "grp", "left").join(long_of.select(F.col("grp").alias("grp2"), F.col("c").alias("c2")), "grp2", "left")
+    in_long = F.least(F.coalesce("c", F.lit(0)), F.coalesce("c2", F.lit(0)))
+    short = materialize(short.where(_possible(F.col("shared") + in_long, percent)).select("grp", "grp2"), "shingle-short")
+
+    known: list[DataFrame] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs (a < b) of nodes; sets that no earlier round needed are fetched."""
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "shingle-pairs")
+        need = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        for s in known:
+            need = need.join(s, "sig", "left_anti")
+        need = materialize(nodes.join(need, "sig").select("sig", "doc"), "shingle-need")
+        if not need.isEmpty():
+            known.append(materialize(_sets(docs, need, words), "shingle-sets"))
+        return _verified(pairs, reduce(DataFrame.union, known), percent) if known else pairs
 
     def state(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Component of every linked node, and the least and greatest component of every listed group's members."""
+        """Component of every node, and the least and greatest component of every group's members."""
         parts = connected_components(links)
         named = nodes.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("grp", "sig", F.coalesce("component", "sig").alias("part"))
         named = materialize(named, "shingle-parts")
         return named, named.groupBy("grp").agg(F.min("sig").alias("head"), F.min("part").alias("low"), F.max("part").alias("high"))
 
-    for turn in range(2):
-        named, spans = state(links)
-        listed = lists.join(spans, "grp")
-        listed = listed.withColumn("l", F.min("low").over(by_shingle)).withColumn("h", F.max("high").over(by_shingle)).where("l <> h")
-        along = by_shingle.orderBy("n", "grp") if turn == 0 else by_shingle.orderBy("low", "n", "grp")
-        pairs = listed.select("shingle", "head", "low", "high", "n", "pos", *(F.lag(c).over(along).alias(f"{c}2") for c in ("head", "low", "high", "n", "pos")))
-        pairs = pairs.where(F.col("head2").isNotNull() & ~((F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2"))) & _near("n", "n2", "pos", "pos2", percent))
-        pairs = pairs.select(F.least("head", "head2").alias("a"), F.greatest("head", "head2").alias("b")).where("a <> b").distinct()
-        links = materialize(links.unionByName(_verified(pairs, sets, percent)), "shingle-links")
-
+    def open_lists(spans: DataFrame) -> DataFrame:
+        """Long lists whose groups aren't in one component yet."""
+        both = long_lists.join(spans, "grp").withColumn("l", F.min("low").over(by_shingle)).withColumn("h", F.max("high").over(by_shingle))
+        return both.where("l <> h").drop("l", "h")
+
+    def along(opened: DataFrame, window, *cols: str) -> DataFrame:
+        """Each group with the one before it in its list."""
+        before = opened.select(*cols, *(F.lag(c).over(window).alias(f"{c}2") for c in cols)).where(F.col(f"{cols[0]}2").isNotNull())
+        return before.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+
+    # Round 1, by first members: pairs of short lists, neighbours in long ones; and each group's members with its first.
+    firsts = nodes.groupBy("grp", "n").agg(F.min(F.struct("sig", "bits")).alias("f"), F.count("*").alias("members"))
+    firsts = materialize(firsts.select("grp", "n", F.col("f.sig").alias("head"), F.col("f.bits").alias("bits"), "members"), "shingle-firsts")
+    pairs = short.unionByName(along(long_lists, by_shingle.orderBy("n", "grp"), "grp", "n").select("grp", "grp2").distinct())
+    one, two = firsts.select("grp", "n", "bits", F.col("head").alias("a")), firsts.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("head").alias("b"))
+    pairs = pairs.join(one, "grp").join(two, "grp2").where(_alike(percent)).select("a", "b")
+    inside = firsts.where("members > 1").join(nodes.select("grp", "sig"), "grp").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    links = materialize(verified(pairs.unionByName(inside)), "shingle-links")
+
+    # Round 2: neighbours of different components in the long lists that are still open.
     named, spans = state(links)
-    listed = lists.join(spans, "grp")
-    listed = listed.withColumn("l", F.min("low").over(by_shingle)).withColumn("h", F.max("high").over(by_shingle)).where("l <> h").drop("l", "h", "head")
-    listed = materialize(listed, "shingle-open")
-    other = listed.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("grp", "n", "pos", "low", "high")))
     apart = ~((F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2")))
-    pairs = listed.join(other, "shingle").where((F.col("grp") < F.col("grp2")) & apart & _near("n", "n2", "pos", "pos2", percent)).select("grp", "grp2").distinct()
+    pairs = along(open_lists(spans), by_shingle.orderBy("low", "n", "grp"), "head", "n", "low", "high").where(apart)
+    pairs = pairs.select(F.col("head").alias("a"), F.col("head2").alias("b")).distinct()
+    heads = firsts.select(F.col("head").alias("a"), "n", "bits")
+    pairs = pairs.join(heads, "a").join(heads.select(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b").where(_alike(percent))
+    links = materialize(links.unionByName(verified(pairs.select("a", "b"))), "shingle-links")
+
+    # What is left, by members: every pair of different components that can be similar enough by its place in a long list
+    # and by its bitmaps; and the same for pairs of short lists and within groups.
+    named, spans = state(links)
+    spans = materialize(spans.drop("head"), "shingle-spans")
+    named = materialize(named.join(nodes.select("sig", "n", "bits"), "sig"), "shingle-members")
+    opened = open_lists(spans).select("shingle", "grp", "pos").join(named, "grp")
+    opened = materialize(opened.select("shingle", "pos", "n", "bits", "sig", "part"), "shingle-open")
+    other = opened.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("pos", "n", "bits", "sig", "part")))
+    can = (F.col("sig") < F.col("sig2")) & (F.col("part") != F.col("part2")) & _near(percent) & _alike(percent)
+    pairs = opened.join(other, "shingle").where(can).select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct()
+    ends = short.join(spans, "grp").join(spans.select(F.col("grp").alias("grp2"), F.col("low").alias("low2"), F.col("high").alias("high2")), "grp2")
     inside = spans.where("low <> high").select("grp", F.col("grp").alias("grp2"))
-    first, second = named.select("grp", F.col("sig").alias("a"), F.col("part").alias("pa")), named.select(F.col("grp").alias("grp2"), F.col("sig").alias("b"), F.col("part").alias("pb"))
-    pairs = pairs.unionByName(inside).join(first, "grp").join(second, "grp2").where("pa <> pb")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_verified(pairs, sets, percent))
+    rest = ends.where(apart).select("grp", "grp2").unionByName(inside)
+    two = named.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("sig").alias("b"), F.col("part").alias("part2"))
+    rest = rest.join(named.withColumnRenamed("sig", "a"), "grp").join(two, "grp2").where((F.col("part") != F.col("part2")) & _alike(percent))
+    links = links.unionByName(verified(pairs.unionByName(rest.select("a", "b"))))
 
     parts = connected_components(materialize(links, "shingle-links"))
     told = nodes.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc", "copies", F.coalesce("component", "sig").alias("part"))
