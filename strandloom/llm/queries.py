@@ -80,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandloom.llm import quotes
+    from strandloom.llm import quotes, sql
 
-    return {"op1_quotes": quotes.SQL}
+    return {"op1_quotes": quotes.SQL, "op2_warc_revisits": sql.WARC_REVISITS, "op3_vector_links": sql.VECTOR_LINKS, "op8_url_rules": sql.URL_RULES, "op9_top_k": sql.TOP_K, "op10_shingle_components": sql.SHINGLES}
