@@ -48,7 +48,7 @@ class Ftrl:
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         w = self.weights()
-        return np.array([x @ w[at] + w[-1] for at, x in rows]).reshape(len(rows), self.outputs)
+        return np.array([x @ w[at] + w[-1] for at, x in (rows[k] for k in range(len(rows)))]).reshape(len(rows), self.outputs)
 
 
 def temperature(scores: np.ndarray, labels: np.ndarray, low: float = 0.05, high: float = 20.0) -> float:

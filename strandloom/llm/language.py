@@ -20,7 +20,7 @@ from strandloom.llm.ftrl import Ftrl, softmax, temperature
 
 BITS = 18
 #: The training sample: rows per language, rows in all, and the longest text in it.
-PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 1000, 8000, 20_000
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 500, 4000, 10_000
 #: Every so many rows of the sample are kept for the temperature.
 CALIBRATE = 5
 #: More languages than this are refused.
@@ -128,11 +128,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
 
     sample = rows.mapInArrow(features, "doc_id long, lang string, at binary, n binary").collect()
     sample = sorted((r for r in sample if r["at"]), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
-    x = []
-    for r in sample:
-        at, n = np.frombuffer(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["n"], np.uint32)
-        x.append((at, SCALE * n / n.sum() * idf[at]))
     y = np.array([languages.index(r["lang"]) for r in sample], np.int64)
+    x = []
+    for k, r in enumerate(sample):
+        sample[k] = None  # the driver holds one form of a row at a time
+        at, n = np.frombuffer(r["at"], np.uint32).astype(np.int32), np.frombuffer(r["n"], np.uint32)
+        x.append((at, (SCALE * n / n.sum() * idf[at]).astype(np.float32)))
     kept = np.arange(len(x)) % CALIBRATE == CALIBRATE - 1
     model = Ftrl(1 << BITS, max(2, len(languages)), alpha=alpha, l1=l1, l2=l2)
     model.fit([f for f, k in zip(x, kept, strict=True) if not k], y[~kept], EPOCHS)

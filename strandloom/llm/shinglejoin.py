@@ -230,7 +230,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             total[at] += np.asarray(n, np.uint32)
         return total
 
-    order = count_table(docs.select("text"), counts, 1 << BUCKET_BITS, "uint32")
+    order = np.minimum(count_table(docs.select("text"), counts, 1 << BUCKET_BITS, "uint32"), 65535).astype(np.uint16)
     rows = materialize(_summaries(docs, order, words, percent), "shingle-docs")
     nodes = rows.where("sig is not null").groupBy("sig", "grp", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "shingle-nodes")

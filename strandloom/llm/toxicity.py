@@ -20,13 +20,16 @@ from strandloom.llm.ftrl import Ftrl
 
 BITS, PREFIX = 18, 4
 #: The training sample: labelled rows that have the last category, as many times those that don't, and the longest text.
-PER_VALUE, OTHERS, SAMPLE_CHARS = 4000, 2, 30_000
+PER_VALUE, OTHERS, SAMPLE_CHARS = 3000, 2, 20_000
 FOLDS, EPOCHS = 3, 3
 #: Words in a worker's weight table before it starts anew.
 TABLE_ROWS = 500_000
 #: Later models see earlier probabilities as log odds times this.
 CHAIN_SCALE = 0.25
 
+#: A document is toxic from this probability on: in trials no clean labelled document reached 0.33.
+TOXIC_FROM = 0.35
+
 #: Category -> expression over the label columns; the chain goes in this order.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -81,18 +84,37 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return CHAIN_SCALE * np.log(p / (1 - p))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = 5.0, l2: float = 1e-3, alpha: float = 0.5) -> Chain:
+class _Linked:
+    """Rows with the earlier categories' log odds as further features, put together when one is asked for."""
+
+    def __init__(self, rows: list, extra: np.ndarray, size: int, which=None):
+        self.rows, self.extra, self.more = rows, extra, size + np.arange(extra.shape[1], dtype=np.int32)
+        self.which = range(len(rows)) if which is None else which
+
+    def of(self, which) -> _Linked:
+        return _Linked(self.rows, self.extra, int(self.more[0]) if len(self.more) else 0, which)
+
+    def __len__(self) -> int:
+        return len(self.which)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        r = self.which[k]
+        _, at, n = self.rows[r]
+        return np.concatenate([at, self.more]), np.concatenate([n, self.extra[r]], dtype=np.float64)
+
+
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = 10.0, l2: float = 1e-3, alpha: float = 0.5) -> Chain:
     """Fit the chain on (id, buckets, counts) rows; the fold of a row follows its id."""
     size, n, k = 1 << BITS, len(rows), len(categories)
     fold = np.array([zlib.crc32(str(r[0]).encode()) % folds for r in rows], np.int64)
-    weights, bias, links, extra = np.zeros((size, k)), np.zeros(k), np.zeros((k, k)), np.zeros((n, k))
+    weights, bias, links, extra = np.zeros((size, k)), np.zeros(k), np.zeros((k, k)), np.zeros((n, k), np.float32)
     for c in range(k):
-        x = [(np.concatenate([at, size + np.arange(c)]), np.concatenate([v, extra[r, :c]])) for r, (_, at, v) in enumerate(rows)]
+        x = _Linked(rows, extra[:, :c], size)
         y = labels[:, c]
         know = np.flatnonzero(y >= 0)
 
         def model(which: np.ndarray, x=x, y=y, c=c) -> Ftrl:
-            return Ftrl(size + c, 1, alpha=alpha, l1=l1, l2=l2).fit([x[r] for r in which], y[which], epochs)
+            return Ftrl(size + c, 1, alpha=alpha, l1=l1, l2=l2).fit(x.of(which), y[which], epochs)
 
         w = model(know).weights()[:, 0]
         weights[:, c], bias[c], links[c, :c] = w[:size], w[-1], w[size : size + c]
@@ -100,7 +122,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, ca
             p = np.zeros(n)
             for f in range(folds):
                 out = np.flatnonzero(fold == f)
-                z = model(know[fold[know] != f]).scores([x[r] for r in out])[:, 0]
+                z = model(know[fold[know] != f]).scores(x.of(out))[:, 0]
                 p[out] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             extra[:, c] = log_odds(p)
     return Chain(categories, weights, bias, links)
@@ -136,11 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     sample.sort(key=lambda r: (r["doc_id"], r["at"]))
     if not sample:
         return Chain(names, np.zeros((1 << BITS, len(names))), np.full(len(names), -40.0), np.zeros((len(names), len(names))))
+    y = np.array([[-1 if r[c] is None else r[c] for c in names] for r in sample], np.int64)
     x = []
-    for r in sample:
+    for k, r in enumerate(sample):
+        sample[k] = None  # the driver holds one form of a row at a time
         at, n = np.unique(np.frombuffer(r["at"], np.uint32), return_counts=True)
-        x.append((r["doc_id"], at.astype(np.int32), n.astype(np.float32)))
-    y = np.array([[-1 if r[c] is None else r[c] for c in names] for r in sample], np.int64)
+        x.append((r["doc_id"], at.astype(np.int32), np.minimum(n, 255).astype(np.uint8)))
     return train(x, y, names)
 
 
@@ -161,7 +184,7 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
     return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, schema)
 
 
-def rate_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def rate_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC_FROM) -> DataFrame:
     """(doc_id, p_low_quality, p_toxic, toxic) of every document, ``toxic`` where p_toxic >= ``threshold``.
 
     A null or empty text has no word, so its probabilities are the biases'. Without labels nothing is toxic. Repeated rows
