@@ -158,8 +158,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     parts = connected_components(found.where("peer is not null"), "node", "peer")
     info = distinct.select("key", "first_id", "n").join(links.withColumnRenamed("node", "key"), "key", "left")
     info = materialize(info.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "vec-info")
-    least = info.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    info = materialize(info.join(least, "component").select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vec-told")
+    least = info.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("w"))
+    least = materialize(least, "vec-components")
+    info = heavy_split_join(info, least, "component", "w", info.count())
+    info = materialize(info.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vec-told")
     total = sum(r["n"] for r in info.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect())
     out = heavy_split_join(keyed.select("vec_id", "key"), info, "key", "n", total)
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
