@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import spread
+
 #: Characters of items that one broadcast may have; more are joined in that many parts.
 PART_CHARS = 4_000_000
 
@@ -19,7 +21,7 @@ def containment_join(texts: DataFrame, items: DataFrame, text: str = "text", ite
     """
     size = items.agg(F.coalesce(F.sum(F.length(item)), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // most_chars))
-    split = items.where(F.length(item) > 0)
+    split, texts = items.where(F.length(item) > 0), spread(texts)
     found = []
     for k in range(parts):
         part = split if parts == 1 else split.where(F.pmod(F.xxhash64(item), F.lit(parts)) == k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq
 from strandloom.operators.ranking import dense_ids
+from strandloom.session import materialize, spread
 
 
 def alleles(docs: DataFrame) -> DataFrame:
@@ -23,17 +24,20 @@ def loci(docs: DataFrame) -> DataFrame:
     The insert is the text after its first 100 letters, the context those letters; both keys are free of the strand. A
     context below 100 letters gives no key.
     """
+    docs = spread(docs.select("doc_id", "source", "lang", "text"))
     s = docs.select(F.col("doc_id").alias("locus"), F.col("source").alias("species"), F.concat_ws("/", "source", "lang").alias("panel"), seq.dna("text").alias("s"))
     insert, context = F.substring("s", F.lit(101), F.length("s")), F.left("s", F.lit(100))
     keyed = s.withColumn("insert_key", seq.canon_key(insert)).withColumn("context_key", F.when(F.length("s") >= 100, seq.canon_key(context)))
-    return keyed.withColumn("inserted_len", F.greatest(F.length("s") - 100, F.lit(0)).cast("long")).drop("s")
+    keyed = keyed.withColumn("inserted_len", F.greatest(F.length("s") - 100, F.lit(0)).cast("long")).drop("s")
+    return materialize(keyed, "loci")  # keys are costly and filtered on: else a filter computes them again
 
 
 def deduplicate(locus_rows: DataFrame) -> DataFrame:
     """(event_id, insert_key, context_key, n_loci, n_panels): loci with one key pair are one event; ids follow the keys."""
     kept = locus_rows.where("context_key is not null and insert_key <> ''")
     events = kept.groupBy("insert_key", "context_key").agg(F.count("*").alias("n_loci"), F.countDistinct("panel").alias("n_panels"))
-    numbered = dense_ids(events, ["insert_key", "context_key"])
+    # ids are dealt by range, which reads its input twice
+    numbered = dense_ids(materialize(events, "events"), ["insert_key", "context_key"])
     return numbered.withColumn("event_id", F.concat(F.lit("E"), F.lpad(F.col("no").cast("string"), 6, "0"))).drop("no")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq, udf
 from strandloom.queries._tables import DNA, RC, Book, load, long, r6
+from strandloom.session import spread
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -16,7 +17,7 @@ _CANON = f"least(s, {RC.format('s')})"
 
 
 def _dna(spark, d):
-    return load(spark, d, "documents").select("doc_id", "source", "lang", seq.dna("text").alias("s"))
+    return spread(load(spark, d, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", seq.dna("text").alias("s"))
 
 
 @book(f"select doc_id, md5({RC.format('s')}) as rc_md5, {RC.format(RC.format('s'))} = s as involution from {_D}")

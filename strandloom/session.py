@@ -53,3 +53,9 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it has fewer partitions than that: for work that costs far more than a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
