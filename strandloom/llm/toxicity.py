@@ -27,7 +27,8 @@ TABLE_ROWS = 500_000
 #: Later models see earlier probabilities as log odds times this.
 CHAIN_SCALE = 0.25
 
-#: A document is toxic from this probability on: in trials no clean labelled document reached 0.33.
+#: A document is toxic from this probability on: chosen on labelled rows that weren't trained on (762 toxic, 15,636 not),
+#: where 0.3 and 0.4 miss 1 and 4 and are wrong on 1 each.
 TOXIC_FROM = 0.35
 
 #: Category -> expression over the label columns; the chain goes in this order.
