@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch sent to Python; texts can be long, so a batch stays small.
@@ -27,6 +27,24 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def shortest_first(rows: DataFrame, key: str, wanted: dict, room: int, cost: Column) -> Column:
+    """Condition for the shortest of (``key``, size, draw) rows: for each value in ``wanted`` so many of them as that says.
+
+    Their summed ``cost`` is at most ``room`` for each row wanted, but the first row is taken whatever it costs. Equally
+    long rows go by ``draw``. Only sizes and draws are sorted, and of each partition only as many as are wanted.
+    """
+    if not wanted:
+        return F.lit(False)
+    order = Window.partitionBy(key).orderBy("size", "draw")
+    count = F.try_element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col(key))
+    near = rows.where(count > 0).select(key, "size", "draw", cost.cast("long").alias("cost"))
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(wanted.values())).where(F.col("rank") <= count)
+    near = near.withColumn("cost", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = near.where((F.col("rank") == 1) | (F.col("cost") <= room * count)).groupBy(key).agg(F.max(F.struct("size", "draw")).alias("last"))
+    ends = [x for r in last.collect() for x in (F.lit(r[key]), F.struct(F.lit(r["last"]["size"]).alias("size"), F.lit(r["last"]["draw"]).alias("draw")))]
+    return F.coalesce(F.struct("size", "draw") <= F.try_element_at(F.create_map(*ends), F.col(key)), F.lit(False)) if ends else F.lit(False)
+
+
 #: Entries of a counter table that travel in one row.
 SLICE = 1 << 16
 #: Partial tables that are added up in one group.

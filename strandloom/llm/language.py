@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import count_table, held_out, small_batches
+from strandloom.llm.common import count_table, held_out, shortest_first, small_batches
 from strandloom.llm.ftrl import Ftrl, softmax, temperature
 
 BITS = 18
-#: The training sample: rows per language, rows in all, and the longest text in it.
+#: The training sample: rows per language, rows in all, and the longest text in it of a language with enough others.
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 500, 4000, 10_000
 #: Every so many rows of the sample are kept for the temperature.
 CALIBRATE = 5
@@ -45,6 +45,11 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
+def has_letters(text: Column) -> Column:
+    """Whether a text has a letter, as ``grams`` sees it; false for null."""
+    return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
+
+
 def grams(text: str | None) -> np.ndarray | None:
     """Hashed n-grams of a whole text, one for each position and length; None if it has no letter."""
     if not text:
@@ -97,12 +102,16 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, alpha: float = 0.5, l1: float = 0.02, l2: float = 1e-3) -> LanguageModel:
     """Learn from (doc_id, text, lang): all rows for the document frequencies, a bounded sample for the weights.
 
-    The sample has about ``per_language`` rows for each language (fewer if that is over ``sample_rows`` in all), those
-    with the smallest hashes of doc_id, among texts of at most ``sample_chars``.
+    Every language that a text with letters is labelled with is learned. The sample has about ``per_language`` rows for each
+    (fewer if that is over ``sample_rows`` in all), those with the smallest hashes of doc_id among texts of at most
+    ``sample_chars``. A language with fewer such texts gets longer ones too, the shortest first and one at least, as far as
+    their n-grams number no more than the missing rows' could.
     """
-    labelled = docs.where("lang is not null and text is not null")
-    fits = labelled.where(F.length("text") <= sample_chars)
-    found = {r["lang"]: r["count"] for r in fits.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    labelled = docs.where("lang is not null").where(has_letters(F.col("text")))
+    short, space = F.col("size") <= sample_chars, 1 << 20
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(space)).cast("int")
+    sized = labelled.withColumns({"size": F.length("text"), "draw": draw})
+    found = {r["lang"]: r["short"] for r in sized.groupBy("lang").agg(F.count_if(short).alias("short")).limit(MAX_LANGUAGES + 1).collect()}
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(found)
@@ -111,10 +120,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
     df = document_frequencies(labelled)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     want = max(1, min(per_language, sample_rows // len(languages)))
-    space = 1 << 20
-    bound = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(space, math.ceil(space * want / found[k]))))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(space)).cast("int")
-    rows = fits.where(draw < F.try_element_at(bound, F.col("lang"))).select("doc_id", "lang", "text").limit(2 * sample_rows)
+    bound = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(space, math.ceil(space * want / max(1, found[k])))))])
+    cost = F.least(F.col("size").cast("long") * 3, F.lit(1 << BITS))
+    longer = shortest_first(sized.where(~short), "lang", {k: want - n for k, n in found.items() if n < want}, 3 * sample_chars, cost)
+    rows = sized.where(F.when(short, F.col("draw") < F.try_element_at(bound, F.col("lang"))).otherwise(longer))
+    rows = rows.select("doc_id", "lang", "text").limit(2 * sample_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,6 +145,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
         at, n = np.frombuffer(r["at"], np.uint32).astype(np.int32), np.frombuffer(r["n"], np.uint32)
         x.append((at, (SCALE * n / n.sum() * idf[at]).astype(np.float32)))
     kept = np.arange(len(x)) % CALIBRATE == CALIBRATE - 1
+    kept &= np.isin(y, y[~kept])  # a language's only rows are learned from
     model = Ftrl(1 << BITS, max(2, len(languages)), alpha=alpha, l1=l1, l2=l2)
     model.fit([f for f, k in zip(x, kept, strict=True) if not k], y[~kept], EPOCHS)
     w = model.weights()

@@ -1,11 +1,13 @@
 """Language and toxicity models by held-out accuracy, and the pipeline stage by stage."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import language, shinglejoin, toxicity
-from strandloom.llm.common import count_table, held_out
+from strandloom.llm.common import count_table, held_out, shortest_first
 from strandloom.llm.ftrl import Ftrl, softmax, temperature
 
 SF = "/root/testdata/sf0.01"
@@ -59,6 +61,34 @@ def test_language_of_odd_rows(spark):
     assert {x["lang_pred"] for x in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_are_learned(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    en, fr = "the cat sat on the mat with another dog ", "le chat est assis sur la table avec un chien "
+    rows = [(k, en * 3, "en") for k in range(40)] + [(k, fr * (300 + k), "fr") for k in range(40, 60)] + [(k, fr * 2, "fr") for k in range(100, 130) if zlib.crc32(str(k).encode()) % 3 == 1]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], schema)
+    assert all(x["lang_pred"] == x["lang"] for x in language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect())
+    books = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows if r[2] == "fr" and len(r[1]) > 10_000] + [(200, "12 34", "fr", "s", 5)], schema)
+    assert {x["lang_pred"] for x in language.identify(books).where("doc_id < 200").collect()} == {"fr"}
+    assert corpus_pipeline.keep_known_language(spark, books, "").count() == books.count() - 1
+    unlabelled = books.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.keep_known_language(spark, unlabelled, "").count() == books.count() - 1
+
+
+def test_a_language_with_one_row_is_learned(spark):
+    docs = spark.createDataFrame([(k, "the cat sat on the mat", "en") for k in (0, 1, 2, 3)] + [(4, "der Hund schläft", "de")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ["de", "en"] and model.predict("der Hund schläft")[0] == "de"
+
+
+def test_shortest_first(spark):
+    rows = spark.createDataFrame([("a", s, s) for s in (50, 20, 40, 30)] + [("b", 900, 1), ("b", 950, 2), ("c", 1, 1)], "k string, size int, draw int")
+    taken = rows.where(shortest_first(rows, "k", {"a": 3, "b": 2}, 20, F.col("size"))).collect()
+    assert sorted((x["k"], x["size"]) for x in taken) == [("a", 20), ("a", 30), ("b", 900)]
+    assert rows.where(shortest_first(rows, "k", {}, 20, F.col("size"))).count() == 0
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
     spoilt = docs.withColumn("lang", F.when(held_out(), F.lit("zz")).otherwise(F.col("lang")))
