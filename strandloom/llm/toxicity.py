@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import small_batches
+from strandloom.llm.common import shortest_first, small_batches
 from strandloom.llm.ftrl import Ftrl
+from strandloom.session import materialize
 
 BITS, PREFIX = 18, 4
-#: The training sample: labelled rows that have the last category, as many times those that don't, and the longest text.
+#: The training sample: labelled rows that have the last category, as many times those that don't, and the longest text of a
+#: value with enough others. They are what the driver's memory allows, not what is best for accuracy.
 PER_VALUE, OTHERS, SAMPLE_CHARS = 3000, 2, 20_000
 FOLDS, EPOCHS = 3, 3
 #: Words in a worker's weight table before it starts anew.
@@ -133,19 +135,27 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     """Learn from (doc_id, text) and labels (doc_id and the label columns).
 
     The sample has about ``per_value`` documents (never twice as many) labelled with the last category and ``OTHERS`` times as many without it,
-    those with the smallest hashes of doc_id; that table is bounded, so it is broadcast and the documents are read once, without a shuffle.
-    Documents with a longer text than ``sample_chars`` are left out of it. A label that is null is not learned from.
+    those with the smallest hashes of doc_id among documents of at most ``sample_chars`` characters. Shares are of the labelled documents
+    that there are. A value with fewer such documents than wanted gets longer ones too, the shortest first and one at least, as far as
+    they have no more characters than the missing ones could. The chosen ids are bounded, so they are broadcast to read the texts.
+    A label that is null is not learned from.
     """
     categories = categories or CATEGORIES
     names = list(categories)
     told = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
     told = told.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(F.col(names[-1]).isin(0, 1))
-    found = {r[names[-1]]: r["count"] for r in told.groupBy(names[-1]).count().collect()}
-    space = 1 << 20
-    share = [-(-space * want // max(1, found.get(v, 0))) for v, want in ((0, OTHERS * per_value), (1, per_value))]
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(space)) < F.when(F.col(names[-1]) == 1, share[1]).otherwise(share[0])
-    chosen = told.where(draw).limit(2 * (1 + OTHERS) * per_value)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *names)
+    last, space = names[-1], 1 << 20
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(space)).cast("int")
+    sized = docs.where("doc_id is not null and text is not null").withColumns({"size": F.length("text"), "draw": draw})
+    known = materialize(sized.select("doc_id", "size", "draw").join(told, "doc_id"), "labelled")
+    short = F.col("size") <= sample_chars
+    found = {r[last]: r["short"] for r in known.groupBy(last).agg(F.count_if(short).alias("short")).collect()}
+    want = {0: OTHERS * per_value, 1: per_value}
+    share = {v: -(-space * n // max(1, found.get(v, 0))) for v, n in want.items()}
+    longer = shortest_first(known.where(~short), last, {v: want[v] - n for v, n in found.items() if n < want[v]}, sample_chars, F.col("size"))
+    taken = F.when(short, F.col("draw") < F.when(F.col(last) == 1, share[1]).otherwise(share[0])).otherwise(longer)
+    chosen = known.where(taken).select("doc_id", *names).distinct().limit(2 * (1 + OTHERS) * per_value)
+    rows = sized.join(F.broadcast(chosen), "doc_id").where(taken).select("doc_id", "text", *names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -113,6 +113,25 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.rate_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxic_rows_are_found_in_long_documents(spark):
+    bad, fine = "vile scum idiot trash ", "a calm and pleasant day by the sea "
+    texts = [(k, bad * (1000 + k) if k % 4 == 0 else fine * 3) for k in range(120)] + [(200, bad * 4), (201, fine)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(120)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["toxic"] for x in toxicity.rate_toxicity(docs, labels).collect()}
+    assert got == {k: "vile" in t for k, t in texts}
+    assert toxicity.fit(docs, labels).weights[list(toxicity.buckets("idiot")), 1].sum() > 0
+
+
+def test_labels_of_missing_documents_take_no_places(spark):
+    bad, fine = "vile scum idiot trash ", "a calm and pleasant day by the sea "
+    texts = [(k, bad if k % 4 == 0 else fine) for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.range(0, 3_000_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 4 = 0 as int) as toxic")
+    got = {x["doc_id"]: x["toxic"] for x in toxicity.rate_toxicity(docs, labels).collect()}
+    assert got == {k: "vile" in t for k, t in texts}
+
+
 def test_chain_feeds_earlier_probabilities():
     r = np.random.default_rng(4)
     rows = [(k, np.array([k % 2, 2 + int(r.integers(5))]), np.ones(2)) for k in range(600)]
