@@ -12,6 +12,12 @@ from strandloom.session import materialize
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Rules are a literal of the plan, tried on each distinct url; a longer list is refused.
 MAX_RULES = 1000
+#: Character references by name that occur in urls; those by number are all decoded.
+REFERENCES = {
+    "amp": "&", "AMP": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "colon": ":", "sol": "/", "quest": "?", "equals": "=", "num": "#", "semi": ";", "period": ".", "percnt": "%", "plus": "+", "comma": ",", "lowbar": "_", "excl": "!", "lpar": "(", "rpar": ")", "ast": "*", "dollar": "$", "commat": "@", "Tab": "\t", "NewLine": "\n",
+}
+#: A path with segments to resolve.
+DOTS = r"/\.\.?(/|$)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,11 +52,49 @@ def best_rule(host: Column, path: Column, rules) -> Column:
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
+def _unescaped(value: Column) -> Column:
+    """An attribute's value with its character references decoded, in one pass: ``&amp;lt;`` is ``&lt;``."""
+    parts = F.regexp_extract_all(value, F.lit(r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z]+);|[^&]+|&"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for name, c in REFERENCES.items() for x in (f"&{name};", c)])
+
+    def one(part: Column) -> Column:
+        code = F.when(F.regexp_like(part, F.lit(r"^&#[0-9]+;$")), F.conv(F.regexp_extract(part, r"([0-9]+)", 1), 10, 16))
+        code = code.when(F.regexp_like(part, F.lit(r"^&#[xX][0-9A-Fa-f]+;$")), F.upper(F.regexp_extract(part, r"[xX]([0-9A-Fa-f]+)", 1)))
+        code = F.lpad(code, 8, "0")
+        sound = code.between("00000001", "0000D7FF") | code.between("0000E000", "0010FFFF")
+        return F.when(sound, F.decode(F.unhex(code), "UTF-32")).otherwise(F.coalesce(F.try_element_at(names, part), part))
+
+    return F.trim(F.array_join(F.transform(parts, one), ""))
+
+
+def _refresh_url(tag: Column) -> Column:
+    """The url of a refresh: in the decoded content it goes on to its closing quote, or to a blank; ``;`` is part of it."""
+    content = F.concat(*(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))", k) for k in (1, 2, 3)))
+    content = _unescaped(content)
+    url = F.trim(F.concat(*(F.regexp_extract(content, r"(?is)\burl\s*=\s*(?:\"\s*([^\"]*)|'\s*([^']*)|([^\"'\s]+))", k) for k in (1, 2, 3))))
+    return F.when(url != "", url).otherwise(_unescaped(F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)))
+
+
+def _without_dots(url: Column) -> Column:
+    """A url with the ``.`` and ``..`` segments of its path resolved (RFC 3986, 5.2.4)."""
+    head, tail = F.regexp_extract(url, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(url, r"^[^?#]*([\s\S]*)", 1)
+    parts = F.split(path_of(url), "/")
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    end = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(F.regexp_like(path_of(url), F.lit(DOTS)), F.concat(head, F.lit("/"), F.array_join(kept, "/"), end, tail)).otherwise(url)
+
+
 def _absolute(base: Column, href: Column) -> Column:
     """``href`` of a page at ``base``."""
     origin = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([^:]*://[^/?#]*/(?:[^?#]*/)?)", 1)
-    return (
+    return _without_dots(
         F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.substring_index(base, "://", 1), F.lit(":"), href))
         .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
@@ -60,18 +104,23 @@ def _absolute(base: Column, href: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) resources: the canonical link and the refresh of each page's html."""
+    """(source, target) resources: the canonical link and the refresh of each page's html, and a url with and without dot segments.
+
+    Character references of the links are decoded and relative links resolved.
+    """
     url, html = F.col(url_col), F.col(html_col)
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     canonical = F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")))
     refresh = F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")))
     hrefs = F.concat(
-        F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)),
-        F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1)),
+        F.transform(canonical, lambda t: _unescaped(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))),
+        F.transform(refresh, _refresh_url),
     )
     linked = pages.where(F.contains(url, F.lit("://"))).select(url.alias("url"), hrefs.alias("hrefs")).where(F.size("hrefs") > 0)
     linked = materialize(linked.select(resource_of(F.col("url")).alias("source"), F.explode("hrefs").alias("href")), "url-links")
-    return linked.select("source", resource_of(_absolute(F.col("source"), F.col("href"))).alias("target")).where("target is not null")
+    linked = linked.select("source", resource_of(_absolute(F.col("source"), F.col("href"))).alias("target")).where("target is not null")
+    dotted = pages.where(F.regexp_like(path_of(url), F.lit(DOTS))).select(resource_of(url).alias("source"))
+    return linked.unionByName(dotted.select("source", _without_dots(F.col("source")).alias("target")).where("target is not null"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -88,7 +137,7 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     own = own.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(resource_of(F.col("source")).alias("source"), resource_of(F.col("target")).alias("target")))
+        edges = edges.unionByName(redirects.select(*(_without_dots(resource_of(F.col(c))).alias(c) for c in ("source", "target"))))
     nodes = connected_components(edges.where("source <> target"), "source", "target")
     told = F.when(F.col("best.allow"), "allow").when(F.col("best").isNotNull(), "block")
     if nodes.isEmpty():

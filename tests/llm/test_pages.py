@@ -84,3 +84,23 @@ def test_decisions_reach_aliases(spark):
     redirects = spark.createDataFrame([("http://e.com/q/b", "http://evil.net/x")], "source string, target string")
     got = {x["page_id"]: x["verdict"] for x in judge_urls(pages(spark, rows), redirects=redirects).collect()}
     assert got[6] == got[7] == "block"
+
+
+def test_links_are_decoded_and_resolved(spark):
+    canon = lambda u: f'<link rel="canonical" href="{u}">'
+    refresh = lambda c: f"<meta http-equiv=refresh content={c}>"
+    target = "http://evil.net/p?page=2&ref=x"
+    links = {
+        1: canon("http://evil.net/p?page=2&amp;ref=x"), 2: canon("http://evil.net/p?page=2&#38;ref=x"), 3: canon("http&colon;&#x2f;&#x2F;evil.net/p?page=2&#x26;ref=x"),
+        4: refresh('"0; url=http://evil.net/p?page=2&amp;ref=x"'), 5: refresh("'0;URL=\"http://evil.net/p?page=2&amp;ref=x\"'"), 6: refresh('"0; url=&#39;http://evil.net/p?page=2&amp;ref=x&#39;"'),
+        7: canon("//evil.net/a/./b/../../p?page=2&amp;ref=x"), 8: canon("http://evil.net/../p?page=2&ref=x"),
+    }
+    rows = [(k, f"http://a.com/{k}", h) for k, h in links.items()] + [(20, target, "")]
+    rows += [(30, "http://b.com/x/y/z", canon("../../q;v=1/.")), (31, "http://b.com/q;v=1/", refresh("'0; url=http://evil.net/s;t=1;u'")), (32, "http://evil.net/s;t=1;u", ""), (33, "http://c.com/k/../m", ""), (34, "http://c.com/m", canon("http://evil.net/s;t=1;u"))]
+    rows += [(40, "http://d.com/1", canon("http://d.com/?a&amp;lt;b")), (41, "http://d.com/?a&lt;b", canon("http://evil.net/")), (42, "http://d.com/?a<b", ""), (43, "http://d.com/2", canon("http://d.com/&#233;&#128578;&#0;&#xD800;")), (44, "http://d.com/\u00e9\U0001f642&#0;&#xD800;", "")]
+    got = {x["page_id"]: x["verdict"] for x in judge_urls(pages(spark, rows)).collect()}
+    clean = {42, 43, 44}
+    assert got == {r[0]: "allow" if r[0] in clean else "block" for r in rows}
+    redirects = spark.createDataFrame([("http://d.com/u/../2", "http://evil.net/")], "source string, target string")
+    got = {x["page_id"]: x["verdict"] for x in judge_urls(pages(spark, rows), redirects=redirects).collect()}
+    assert got[43] == "block" and got[42] == "allow"
