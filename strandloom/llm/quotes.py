@@ -107,7 +107,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     replies to the source of its shallowest linked passages, of several to that with the most characters quoted, then the
     later one; without a linked passage it begins a thread (thread is its own turn, depth 0, reply_to null). ``position``
     orders a conversation by thread and turn. Messages with equal conv_id and turn have one place; a null conv_id or turn
-    has none (null thread and position) and links with nothing; a null text is empty; an empty table gives an empty
+    has none (null thread and position) and links with nothing; passages of fewer than ``MIN_CHARS`` characters are left
+    out, so a message that quotes only such begins a thread; a null text is empty; an empty table gives an empty
     result; other columns are left out. DataFrame operations only.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", lines_of(F.col("text")).alias("lines"))
