@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.joins import heavy_split_join
 from strandloom.session import materialize
 
 
@@ -12,29 +13,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """``(node, component)`` for every node of an edge, ``component`` being the smallest node that can be reached.
 
     Each round hooks every node to its smallest neighbour, follows the pointer once more, and contracts the edges to the
-    hooked nodes; a component is done when it has no edge left. Hooking is a ``min`` with map-side combine, so that a hub
-    with any number of edges costs one partial row per task. Every round is written to the shared folder, which keeps the
-    lineage short and lets a lost executor be replaced. Self loops and null ends are ignored; an empty edge table gives an
-    empty result.
+    hooked nodes; a component is done when it has no edge left. Hooking is a ``min`` with map-side combine, and every look-up
+    goes through ``heavy_split_join``, so neither a hub with any number of edges nor a giant component is gathered in a task.
+    Every round is written to the shared folder, which keeps the lineage short and lets a lost executor be replaced. Self
+    loops and null ends are ignored; an empty edge table gives an empty result.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
     e = materialize(e.distinct(), "cc-edges")
     maps: list[DataFrame] = []
     for _ in range(max_rounds):
-        if e.isEmpty():
+        left = e.count()
+        if not left:
             break
-        ends = e.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(
-            e.select(F.col("v").alias("node"), F.col("u").alias("near"))
+        ends = e.select(F.col("u").alias("node"), F.col("v").alias("near"), F.lit(1).alias("low")).unionByName(
+            e.select(F.col("v").alias("node"), F.col("u").alias("near"), F.lit(0).alias("low"))
         )
-        hook = ends.groupBy("node").agg(F.min("near").alias("near"))
-        hook = materialize(hook.select("node", F.least("node", "near").alias("up")), "cc-hook")
+        hook = ends.groupBy("node").agg(F.min("near").alias("near"), F.sum("low").alias("n_u"), F.sum(1 - F.col("low")).alias("n_v"))
+        hook = materialize(hook.select("node", F.least("node", "near").alias("up"), "n_u", "n_v"), "cc-hook")
         above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        hook = materialize(hook.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "cc-up")
-        pu = hook.select(F.col("node").alias("u"), F.col("up").alias("pu"))
-        pv = hook.select(F.col("node").alias("v"), F.col("up").alias("pv"))
-        e = e.join(pu, "u").join(pv, "v").where("pu <> pv")
+        hook = materialize(_look_up(hook, above, "up").select("node", F.coalesce("top", "up").alias("up"), "n_u", "n_v"), "cc-up")
+        pu = hook.where("n_u > 0").select(F.col("node").alias("u"), F.col("up").alias("pu"), "n_u")
+        pv = hook.where("n_v > 0").select(F.col("node").alias("v"), F.col("up").alias("pv"), "n_v")
+        e = heavy_split_join(e, pu, "u", "n_u", left).select("v", "pu")
+        e = heavy_split_join(e, pv, "v", "n_v", left).where("pu <> pv")
         e = materialize(e.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "cc-edges")
-        maps.append(hook)
+        maps.append(hook.select("node", "up"))
     else:
         if not e.isEmpty():
             raise RuntimeError(f"components are not settled after {max_rounds} rounds")
@@ -43,8 +46,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     out = maps[0].select("node", F.col("up").alias("component"))
     for m in maps[1:]:
         step = m.select(F.col("node").alias("component"), F.col("up").alias("next"))
-        out = out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    return materialize(out, "cc-out")
+        out = materialize(_look_up(out, step, "component").select("node", F.coalesce("next", "component").alias("component")), "cc-out")
+    return out
+
+
+def _look_up(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` (a written table) with ``unique`` by ``key``, whose rows are counted first."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    return heavy_split_join(rows, unique.join(counts, key), key, "_rows", rows.count())
 
 
 def orient_components(edges: DataFrame, parts: DataFrame) -> DataFrame:
