@@ -25,34 +25,34 @@ WORDS, PERCENT = 5, 80
 #: Buckets of shingle frequencies (a fixed table; it sets the order of shingles, which affects speed, never the result),
 #: and bits of the buckets of doc_id that tell which documents may have a candidate.
 BUCKET_BITS, CANDIDATE_BITS = 22, 18
+#: Steps of a frequency's rank per doubling: a 16-bit rank holds counts up to 2**64.
+RANK_STEPS = 1000
 #: Bits of a set's parity bitmap; two sets differ in at least as many shingles as their bitmaps in bits.
 BITMAP = 1024
 #: Lists of at most so many groups give all their pairs at once; longer ones are settled along their order first.
 SHORT = 8
+#: A list is dealt over blocks of about ``max(BLOCK, all shingles / 2**16)`` entries, an open one over cells of ``CELL`` members.
+BLOCK, CELL = 64, 1024
 #: Bytes of text that are hashed together (a longer text is hashed alone).
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
+#: Groups whose prefix a task remembers to have given (another time costs a duplicate, which is dropped).
+SEEN = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 #: A random number for each byte, the same for a-z and A-Z.
 _BYTE = np.random.default_rng(20240131).integers(0, 1 << 64, 256, np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
-_BASE = 0xD1342543DE82EF95
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """``_BASE ** i`` and its inverse modulo 2**64, for i up to n."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, GROUP_BYTES + 4096)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Each number's pseudo-random image (a bijection); ``x`` is used up."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _chain(h: np.ndarray, words: int) -> np.ndarray:
@@ -66,7 +66,8 @@ def _chain(h: np.ndarray, words: int) -> np.ndarray:
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's runs of ``words`` words; of a shorter text, the whole sequence as one.
 
-    Words are hashed as polynomials over the bytes of many texts at once: differences of a running sum.
+    A word's hash is the sum of one pseudo-random number for each (byte, place in the word), so no structure of the words
+    makes two of them meet. Two sets of a million shingles share a hash by chance in 1 of 10**7 pairs.
     """
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     at = 0
@@ -81,12 +82,15 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.nda
 
 def _group_sets(data: list[bytes], words: int) -> Iterator[np.ndarray]:
     raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    up, down = _powers(len(raw))
     white = _WHITE[raw]
     edge = np.flatnonzero(np.diff(white, prepend=True))
-    begin, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-    h = _scatter((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _MIX)
+    begin, size = edge[::2], edge[1::2] - edge[::2]
+    h = np.zeros(0, np.uint64)
+    if len(begin):
+        starts = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(starts, size)
+        h = np.add.reduceat(_scatter(_BYTE[raw[~white]] + place.astype(np.uint64) * _MIX), starts)
+        h = _scatter(h + size.astype(np.uint64) * _MIX)
     runs = _chain(h, words) if len(h) >= words else h
     first = np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for d in data)])).tolist()
     for a, b in zip(first, first[1:], strict=False):
@@ -98,51 +102,66 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _hash(data: bytes) -> int:
+def _hash(data: bytes) -> bytes:
     import xxhash
 
-    return xxhash.xxh64_intdigest(data) - (1 << 63)
+    return xxhash.xxh3_128_digest(data)
 
 
-def _signed(rows: list, kind=None) -> pa.Array:
+def _column(rows: list, kind=None) -> pa.Array:
     return pa.array(rows, kind or pa.int64())
 
 
-def _summaries(docs: DataFrame, order: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, grp, bits, prefix) by document; a task gives each group's prefix once."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """A 16-bit rank of each count, finer than a thousandth of its size, for counts up to 2**64."""
+    return np.round(np.log2(counts + 1.0) * RANK_STEPS).astype(np.uint16)
+
+
+def _summaries(docs: DataFrame, rank: np.ndarray, limit: int, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, sig, grp, bits, prefix, parts) by document; a task gives each group's prefix once.
+
+    ``sig`` and ``grp`` are 128-bit hashes of the set and of size and prefix; ``parts`` are the blocks of each shingle's list.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(rank)
     shift = np.uint64(64 - BUCKET_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rank = set(), sent.value
         for b in batches:
-            n, sig, grp, bits, prefix = [], [], [], [], []
+            n, sig, grp, bits, prefix, parts = [], [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), words):
                 n.append(len(s))
                 if not len(s):
-                    sig.append(None), grp.append(None), bits.append(None), prefix.append(None)
+                    for c in (sig, grp, bits, prefix, parts):
+                        c.append(None)
                     continue
-                head = s[np.argsort(rank[s >> shift], kind="stable")[: prefix_size(len(s), percent)]]
-                size = len(s).to_bytes(8, "little")
+                of = rank[s >> shift]
+                first = np.argsort(of, kind="stable")[: prefix_size(len(s), percent)]
+                size, head = len(s).to_bytes(8, "little"), s[first]
                 g = _hash(size + head.tobytes())
                 sig.append(_hash(size + s.tobytes())), grp.append(g)
                 odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
                 bits.append(np.packbits(odd.astype(bool)).view(np.int64))
-                prefix.append(None if g in seen else head.view(np.int64))
+                new = g not in seen
+                prefix.append(head.view(np.int64) if new else None)
+                parts.append(np.ceil(np.exp2(of[first] / RANK_STEPS) / limit).astype(np.int64) if new else None)
+                if len(seen) > SEEN:
+                    seen.clear()
                 seen.add(g)
-            cols = [b.column(0), pa.array(n, pa.int64()), _signed(sig), _signed(grp), *(_signed(c, pa.list_(pa.int64())) for c in (bits, prefix))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig", "grp", "bits", "prefix"])
+            longs, raw = pa.list_(pa.int64()), pa.binary()
+            cols = [b.column(0), *(_column(c, k) for c, k in ((n, None), (sig, raw), (grp, raw), (bits, longs), (prefix, longs), (parts, longs)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig", "grp", "bits", "prefix", "parts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, grp long, bits array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, grp binary, bits array<long>, prefix array<long>, parts array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(sig, data): the sets (upper 40 bits of each hash) of the nodes (sig, doc), from the texts of their first documents.
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, data): the sets of the nodes (node, sig, doc), from the texts of their first documents.
 
     A broadcast table of at most ``1 << CANDIDATE_BITS`` marked buckets of doc_id keeps other texts from being cut or moved.
     """
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << CANDIDATE_BITS)).cast("int")
-    wanted = nodes.select("sig", F.col("doc").alias("doc_id"))
+    wanted = wanted.select("node", "sig", F.col("doc").alias("doc_id"))
     marked = wanted.select(place.alias("at")).distinct()
     rows = docs.withColumn("at", place).join(F.broadcast(marked), "at", "left_semi").select("doc_id", "text")
 
@@ -152,20 +171,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             for doc_id, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words), strict=True):
                 if len(s):
                     ids.append(doc_id)
-                    sig.append(_hash(len(s).to_bytes(8, "little") + s.tobytes()))
-                    data.append(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            yield pa.RecordBatch.from_arrays([_signed(ids), _signed(sig), _signed(data, pa.binary())], names=["doc_id", "sig", "data"])
+                    data.append(s.tobytes())
+                    sig.append(_hash(len(s).to_bytes(8, "little") + data[-1]))
+            yield pa.RecordBatch.from_arrays([_column(ids), _column(sig, pa.binary()), _column(data, pa.binary())], names=["doc_id", "sig", "data"])
 
-    found = rows.mapInArrow(run, "doc_id long, sig long, data binary").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    found = rows.mapInArrow(run, "doc_id long, sig binary, data binary").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
     wanted = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-    return found.join(wanted, ["sig", "doc_id"], "left_semi").select("sig", "data").dropDuplicates(["sig"])
-
-
-def _members(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, 3:] = raw
-    return full.view(">u8").ravel()
+    return found.join(wanted, ["sig", "doc_id"]).select("node", "data").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,12 +187,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = _members(x.as_py()), _members(y.as_py())
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("sig").alias(c), F.col("data").alias(d)) for c, d in (("a", "da"), ("b", "db")))
+    left, right = (sets.select(F.col("node").alias(c), F.col("data").alias(d)) for c, d in (("a", "da"), ("b", "db")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(run, "a long, b long")
 
 
@@ -215,7 +227,8 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     a set are one node. Pairs of groups come from short lists at once; in long lists each group is first compared with the
     next, and each member with its group's first, which settles a group of near copies in as many comparisons as it has
     members. What is left, every pair that can be similar enough and whose components still differ, is then compared
-    without exception, so no link between components is lost.
+    without exception, so no link between components is lost. Lists are dealt over blocks and cells, so that a shingle of
+    all documents isn't one task's work.
     A null text, or one without words, has an empty set and links with nothing; a null doc_id is smaller than none; rows
     with equal doc_id are documents of their own; an empty table gives an empty result; other columns are left out.
     """
@@ -223,104 +236,134 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total, shift = np.zeros(1 << BUCKET_BITS, np.uint32), np.uint64(64 - BUCKET_BITS)
+        total, shift = np.zeros(1 << BUCKET_BITS, np.int64), np.uint64(64 - BUCKET_BITS)
         for b in batches:
             found = [s >> shift for s in shingle_sets(b.column(0).to_pylist(), words)]
             at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), 0)
-            total[at] += np.asarray(n, np.uint32)
+            total[at] += n
         return total
 
-    order = np.minimum(count_table(docs.select("text"), counts, 1 << BUCKET_BITS, "uint32"), 65535).astype(np.uint16)
-    rows = materialize(_summaries(docs, order, words, percent), "shingle-docs")
-    nodes = rows.where("sig is not null").groupBy("sig", "grp", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
-    nodes = materialize(nodes, "shingle-nodes")
-
-    # Lists: shingle -> groups that have it in their prefix, of at least two groups (k of them).
-    lists = rows.where("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "shingle")).repartition("shingle")
-    lists = lists.groupBy("shingle", "grp", "n", "pos").agg(F.lit(1).alias("one"))
-    by_shingle = Window.partitionBy("shingle")
-    lists = materialize(lists.withColumn("k", F.count("*").over(by_shingle)).where("k > 1").select("shingle", "grp", "n", "pos", "k"), "shingle-lists")
-    long_lists = lists.where(F.col("k") > SHORT).select("shingle", "grp", "n", "pos")
-    long_of = long_lists.groupBy("grp").agg(F.count("*").alias("c"))
+    frequency = count_table(docs.select("text"), counts, 1 << BUCKET_BITS)
+    limit = max(BLOCK, int(frequency.sum()) >> 16)
+    rank = ranks(frequency)
+    del frequency
+    rows = materialize(_summaries(docs, rank, limit, words, percent), "shingle-docs")
+    sets = rows.where("sig is not null").groupBy("sig", "grp", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
+    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")  # node ids hold once they are written
+    members = sets.groupBy("grp").agg(F.count("*").alias("members"))
+    groups = rows.where("prefix is not null").select("grp", "n", "prefix", "parts").dropDuplicates(["grp"]).join(members, "grp")
+    groups = materialize(groups.withColumn("g", F.monotonically_increasing_id()), "shingle-groups")
+    nodes = heavy_split_join(sets, groups.select("grp", "g", "members"), "grp", "members", sets.count())
+    nodes = materialize(nodes.select("node", "g", "n", "sig", "doc", "copies", "bits", "members"), "shingle-nodes")
+
+    # Lists: shingle -> groups that have it in their prefix, of at least two groups (k of them), in blocks.
+    in_block, by_shingle = Window.partitionBy("shingle", "block"), Window.partitionBy("shingle")
+    lists = groups.select("g", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"))
+    lists = lists.select("g", "n", "pos", F.col("x.prefix").alias("shingle"), F.col("x.parts").alias("parts"))
+    lists = lists.withColumn("block", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("g"), F.col("parts"))).otherwise(0))
+    lists = lists.withColumn("k", F.count("*").over(in_block)).where("parts > 1 or k > 1")
+    lists = materialize(lists.select("shingle", "block", "parts", "g", "n", "pos", "k"), "shingle-blocks")
+    dealt = lists.where("parts > 1").drop("k")
+    lengths = dealt.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
+    dealt = heavy_split_join(dealt, lengths, "shingle", "k", dealt.count()).where("k is not null")
+    lists = materialize(lists.where("parts = 1").unionByName(dealt).drop("parts"), "shingle-lists")
+    long_lists = lists.where(F.col("k") > SHORT).drop("k")
+    long_of = long_lists.groupBy("g").agg(F.count("*").alias("c"))
 
     # All pairs of groups in short lists; what they may share in long lists counts in their favour.
-    short = lists.where(F.col("k") <= SHORT).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("n", "grp"))).alias("g"))
-    short = short.select(F.posexplode("g").alias("i", "x"), "g").select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SHORT))).alias("y"))
-    short = short.select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).where(100 * F.col("n") >= percent * F.col("n2"))
-    short = short.groupBy("grp", "n", "grp2", "n2").agg(F.count("*").alias("shared"))
-    short = short.join(long_of, "grp", "left").join(long_of.select(F.col("grp").alias("grp2"), F.col("c").alias("c2")), "grp2", "left")
+    short = lists.where(F.col("k") <= SHORT).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("l"))
+    short = short.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(SHORT))).alias("y"))
+    short = short.select("x.g", "x.n", F.col("y.g").alias("g2"), F.col("y.n").alias("n2")).where(100 * F.col("n") >= percent * F.col("n2"))
+    short = short.groupBy("g", "n", "g2", "n2").agg(F.count("*").alias("shared"))
+    short = short.join(long_of, "g", "left").join(long_of.select(F.col("g").alias("g2"), F.col("c").alias("c2")), "g2", "left")
     in_long = F.least(F.coalesce("c", F.lit(0)), F.coalesce("c2", F.lit(0)))
-    short = materialize(short.where(_possible(F.col("shared") + in_long, percent)).select("grp", "grp2"), "shingle-short")
+    short = materialize(short.where(_possible(F.col("shared") + in_long, percent)).select("g", "g2"), "shingle-short")
 
     known: list[DataFrame] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a < b) of nodes; sets that no earlier round needed are fetched."""
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "shingle-pairs")
-        need = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         for s in known:
-            need = need.join(s, "sig", "left_anti")
-        need = materialize(nodes.join(need, "sig").select("sig", "doc"), "shingle-need")
+            need = need.join(s, "node", "left_anti")
+        need = materialize(nodes.join(need, "node").select("node", "sig", "doc"), "shingle-need")
         if not need.isEmpty():
-            known.append(materialize(_sets(docs, need, words), "shingle-sets"))
+            known.append(materialize(_sets(docs, need, words), "shingle-data"))
         return _verified(pairs, reduce(DataFrame.union, known), percent) if known else pairs
 
     def state(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Component of every node, and the least and greatest component of every group's members."""
+        """Component of every node, and the first node and least and greatest component of every group's members."""
         parts = connected_components(links)
-        named = nodes.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("grp", "sig", F.coalesce("component", "sig").alias("part"))
+        named = nodes.join(parts, "node", "left").select("g", "node", "n", "bits", F.coalesce("component", "node").alias("part"))
         named = materialize(named, "shingle-parts")
-        return named, named.groupBy("grp").agg(F.min("sig").alias("head"), F.min("part").alias("low"), F.max("part").alias("high"))
+        return named, named.groupBy("g").agg(F.min("node").alias("head"), F.min("part").alias("low"), F.max("part").alias("high"))
 
     def open_lists(spans: DataFrame) -> DataFrame:
         """Long lists whose groups aren't in one component yet."""
-        both = long_lists.join(spans, "grp").withColumn("l", F.min("low").over(by_shingle)).withColumn("h", F.max("high").over(by_shingle))
-        return both.where("l <> h").drop("l", "h")
+        both = materialize(long_lists.join(spans, "g"), "shingle-spans")
+        ends = both.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("k")).where("l <> h")
+        return heavy_split_join(both, ends, "shingle", "k", both.count()).where("k is not null").drop("l", "h", "k")
+
+    def along(entries: DataFrame, order: list[str], *cols: str) -> DataFrame:
+        """Each group with the one before it in its block, and each block's first with that of the block before it."""
+
+        def before(rows: DataFrame, window) -> DataFrame:
+            pairs = rows.select(*cols, *(F.lag(c).over(window).alias(f"{c}2") for c in cols)).where(F.col(f"{cols[0]}2").isNotNull())
+            return pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+
+        firsts = entries.groupBy("shingle", "block").agg(F.min(F.struct(*dict.fromkeys([*order, *cols]))).alias("f"))
+        firsts = firsts.select("shingle", "block", *(F.col(f"f.{c}").alias(c) for c in cols))
+        return before(entries, in_block.orderBy(*order)).unionByName(before(firsts, by_shingle.orderBy("n", "block")))
 
-    def along(opened: DataFrame, window, *cols: str) -> DataFrame:
-        """Each group with the one before it in its list."""
-        before = opened.select(*cols, *(F.lag(c).over(window).alias(f"{c}2") for c in cols)).where(F.col(f"{cols[0]}2").isNotNull())
-        return before.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    def facing(ends: DataFrame, pairs: DataFrame, *keys: str) -> DataFrame:
+        """``pairs`` (of two keys) with what ``ends`` has of each end, the second's columns marked by a 2."""
+        other = ends.select(*(F.col(c).alias(f"{c}2") for c in ends.columns))
+        return pairs.join(ends, keys[0]).join(other, keys[1])
 
     # Round 1, by first members: pairs of short lists, neighbours in long ones; and each group's members with its first.
-    firsts = nodes.groupBy("grp", "n").agg(F.min(F.struct("sig", "bits")).alias("f"), F.count("*").alias("members"))
-    firsts = materialize(firsts.select("grp", "n", F.col("f.sig").alias("head"), F.col("f.bits").alias("bits"), "members"), "shingle-firsts")
-    pairs = short.unionByName(along(long_lists, by_shingle.orderBy("n", "grp"), "grp", "n").select("grp", "grp2").distinct())
-    one, two = firsts.select("grp", "n", "bits", F.col("head").alias("a")), firsts.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("head").alias("b"))
-    pairs = pairs.join(one, "grp").join(two, "grp2").where(_alike(percent)).select("a", "b")
-    inside = firsts.where("members > 1").join(nodes.select("grp", "sig"), "grp").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    firsts = nodes.groupBy("g", "n").agg(F.min(F.struct("node", "bits")).alias("f"))
+    firsts = materialize(firsts.select("g", "n", F.col("f.node").alias("head"), F.col("f.bits").alias("bits")), "shingle-firsts")
+    pairs = short.unionByName(along(long_lists, ["n", "g"], "g", "n").select("g", "g2").distinct())
+    pairs = facing(firsts, pairs, "g", "g2").where(_alike(percent)).select(F.col("head").alias("a"), F.col("head2").alias("b"))
+    many = nodes.where("members > 1").select("g", "node", "members")
+    inside = heavy_split_join(many, firsts.select("g", "head").join(many.select("g", "members").distinct(), "g").withColumnRenamed("members", "_m"), "g", "_m", many.count())
+    inside = inside.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = materialize(verified(pairs.unionByName(inside)), "shingle-links")
 
     # Round 2: neighbours of different components in the long lists that are still open.
     named, spans = state(links)
     apart = ~((F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2")))
-    pairs = along(open_lists(spans), by_shingle.orderBy("low", "n", "grp"), "head", "n", "low", "high").where(apart)
-    pairs = pairs.select(F.col("head").alias("a"), F.col("head2").alias("b")).distinct()
-    heads = firsts.select(F.col("head").alias("a"), "n", "bits")
-    pairs = pairs.join(heads, "a").join(heads.select(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b").where(_alike(percent))
-    links = materialize(links.unionByName(verified(pairs.select("a", "b"))), "shingle-links")
+    pairs = along(open_lists(spans), ["low", "n", "g"], "head", "n", "low", "high").where(apart).select("head", "head2").distinct()
+    pairs = facing(firsts.select("head", "n", "bits"), pairs, "head", "head2").where(_alike(percent))
+    links = materialize(links.unionByName(verified(pairs.select(F.col("head").alias("a"), F.col("head2").alias("b")))), "shingle-links")
 
     # What is left, by members: every pair of different components that can be similar enough by its place in a long list
-    # and by its bitmaps; and the same for pairs of short lists and within groups.
+    # (or in a group, which counts as a list at place 0) and by its bitmaps; and the same for pairs of short lists.
     named, spans = state(links)
     spans = materialize(spans.drop("head"), "shingle-spans")
-    named = materialize(named.join(nodes.select("sig", "n", "bits"), "sig"), "shingle-members")
-    opened = open_lists(spans).select("shingle", "grp", "pos").join(named, "grp")
-    opened = materialize(opened.select("shingle", "pos", "n", "bits", "sig", "part"), "shingle-open")
-    other = opened.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("pos", "n", "bits", "sig", "part")))
-    can = (F.col("sig") < F.col("sig2")) & (F.col("part") != F.col("part2")) & _near(percent) & _alike(percent)
-    pairs = opened.join(other, "shingle").where(can).select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct()
-    ends = short.join(spans, "grp").join(spans.select(F.col("grp").alias("grp2"), F.col("low").alias("low2"), F.col("high").alias("high2")), "grp2")
-    inside = spans.where("low <> high").select("grp", F.col("grp").alias("grp2"))
-    rest = ends.where(apart).select("grp", "grp2").unionByName(inside)
-    two = named.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("sig").alias("b"), F.col("part").alias("part2"))
-    rest = rest.join(named.withColumnRenamed("sig", "a"), "grp").join(two, "grp2").where((F.col("part") != F.col("part2")) & _alike(percent))
-    links = links.unionByName(verified(pairs.unionByName(rest.select("a", "b"))))
+    opened = open_lists(spans).select("shingle", F.lit(0).alias("kind"), "g", "pos")
+    opened = opened.unionByName(spans.where("low <> high").select(F.col("g").alias("shingle"), F.lit(1).alias("kind"), "g", F.lit(0).alias("pos")))
+    opened = opened.join(named, "g").select(F.struct("kind", "shingle").alias("list"), "pos", "n", "bits", "node", "part")
+    opened = materialize(opened, "shingle-open")
+    cells = opened.groupBy("list").agg(F.count("*").alias("k"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").drop("l", "h")
+    opened = heavy_split_join(opened, cells, "list", "k", opened.count()).where("k is not null")
+    opened = opened.withColumn("cells", F.ceil(F.col("k") / CELL)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
+    opened = materialize(opened.drop("k"), "shingle-cells")
+    one = opened.withColumns({"x": F.col("own"), "y": F.explode(F.sequence("own", F.col("cells") - 1))}).drop("cells", "own")
+    two = opened.withColumns({"x": F.explode(F.sequence(F.lit(0).cast("long"), "own")), "y": F.col("own")})
+    two = two.select("list", "x", "y", *(F.col(c).alias(f"{c}2") for c in ("pos", "n", "bits", "node", "part")))
+    can = ((F.col("x") < F.col("y")) | (F.col("node") < F.col("node2"))) & (F.col("part") != F.col("part2")) & _near(percent) & _alike(percent)
+    pairs = one.join(two, ["list", "x", "y"]).where(can).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    rest = facing(spans, short, "g", "g2").where(apart).select("g", "g2")
+    rest = facing(named, rest, "g", "g2").where((F.col("part") != F.col("part2")) & _alike(percent))
+    links = links.unionByName(verified(pairs.unionByName(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")))))
 
     parts = connected_components(materialize(links, "shingle-links"))
-    told = nodes.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc", "copies", F.coalesce("component", "sig").alias("part"))
-    least = told.groupBy("part").agg(F.min("doc").alias("component_id"))
-    told = materialize(told.join(least, "part").select("sig", "copies", "component_id"), "shingle-told")
-    total = sum(r["n"] for r in told.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).collect())
+    told = materialize(nodes.join(parts, "node", "left").select("sig", "doc", "copies", F.coalesce("component", "node").alias("part")), "shingle-told")
+    least = told.groupBy("part").agg(F.min("doc").alias("component_id"), F.count("*").alias("nodes"))
+    told = heavy_split_join(told, least, "part", "nodes", told.count()).select("sig", "copies", "component_id")
+    told = materialize(told, "shingle-told")
+    total = told.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     out = heavy_split_join(rows.select("doc_id", "n", "sig"), told, "sig", "copies", total)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

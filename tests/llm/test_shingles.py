@@ -96,3 +96,46 @@ def test_threshold_is_exact_at_the_edge(spark):
     assert run(spark, rows) == brute(rows)
     df = spark.createDataFrame(rows, "k long, body string")
     assert {x[0] for x in similar_components(df, id_col="k", text_col="body", percent=95).select(F.col("component_id") - F.col("doc_id")).collect()} == {0}
+
+
+def test_words_that_only_differ_in_structure(spark):
+    morse = "a"
+    for _ in range(10):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    assert len(morse) == 1024 and sorted(morse) == sorted(other)
+    a, b, c = shingle_sets([morse, other, morse.upper()])
+    assert list(a) != list(b) and list(a) == list(c)
+    got = run(spark, [(1, morse), (2, other), (3, morse)])
+    assert [x[2] for x in got] == [1, 2, 1]
+
+
+def test_low_bits_of_hashes_may_meet():
+    """Sets whose hashes agree in their upper 40 bits only are disjoint."""
+    import numpy as np
+
+    x = np.arange(1000, dtype=np.uint64) << np.uint64(24)
+    assert len(np.intersect1d(x, x + np.uint64(1), assume_unique=True)) == 0
+    a, b = shingle_sets([" ".join(f"a{k}" for k in range(300_000)), " ".join(f"b{k}" for k in range(300_000))])
+    assert len(a) == len(b) == 299_996 and len(np.intersect1d(a, b)) == 0
+
+
+def test_ranks_tell_large_counts_apart():
+    import numpy as np
+
+    n = np.array([0, 1, 65_535, 65_600, 10**9, 10**9 + 10**7, 10**18], np.int64)
+    assert (np.diff(shinglejoin.ranks(n).astype(int)) > 0).all()
+
+
+def test_lists_in_blocks_and_cells(spark, monkeypatch):
+    """A shingle that half of all prefixes share, in many blocks and cells, loses no link."""
+    monkeypatch.setattr(shinglejoin, "SHORT", 2)
+    monkeypatch.setattr(shinglejoin, "BLOCK", 1)
+    monkeypatch.setattr(shinglejoin, "CELL", 3)
+    r = random.Random(3)
+    rows = []
+    for k in range(90):
+        b = [f"c{x}" for x in range(8)] + [f"u{r.randrange(12)}" for _ in range(r.choice([2, 3]))]
+        rows.append((k, " ".join(b)))
+    rows += [(200 + k, " ".join(f"c{x}" for x in range(8 + k % 3))) for k in range(20)]
+    assert run(spark, rows) == brute(rows)
