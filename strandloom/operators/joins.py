@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key counts as heavy from this share of all rows; so there are at most ``1 / HEAVY_SHARE`` heavy keys.
-HEAVY_SHARE = 1 / 1024
+#: A key counts as heavy from this share of all rows, and this many; so there are at most ``1 / HEAVY_SHARE`` heavy keys.
+HEAVY_SHARE, HEAVY_ROWS = 1 / 1024, 256
 
 
 def heavy_split_join(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int, share: float = HEAVY_SHARE) -> DataFrame:
     """Left join of ``rows`` with ``unique`` (one row per key; ``weight`` is the number of ``rows`` with that key).
 
     Keys with at least ``share * total`` rows go to a broadcast table, which can't have more than ``1 / share`` rows; no
-    key of the rest, which is joined by a shuffle, has more rows than that share. Null keys match nothing and stay.
+    key of the rest, which is joined by a shuffle, has more rows than that share (or ``HEAVY_ROWS``; a table with fewer is
+    joined as it is). Null keys match nothing and stay.
     """
-    floor = max(1, int(total * share))
+    floor = max(HEAVY_ROWS, int(total * share))
+    cols = [c for c in unique.columns if c != key]
+    if total < floor:
+        return rows.join(unique, key, "left").select(*rows.columns, *cols)
     heavy = unique.where(F.col(weight) >= floor).withColumn("_hit", F.lit(True))
     light = unique.where(F.col(weight) < floor)
-    cols = [c for c in unique.columns if c != key]
     marked = rows.join(F.broadcast(heavy), key, "left")
     done = marked.where("_hit").select(*rows.columns, *cols)
     rest = marked.where("_hit is null").select(*rows.columns).join(light, key, "left").select(*rows.columns, *cols)
