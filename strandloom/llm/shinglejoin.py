@@ -32,7 +32,7 @@ BITMAP = 1024
 #: Lists of at most so many groups give all their pairs at once; longer ones are settled along their order first.
 SHORT = 8
 #: A list is dealt over blocks of about ``max(BLOCK, all shingles / 2**16)`` entries, an open one over cells of ``CELL`` members.
-BLOCK, CELL = 64, 1024
+BLOCK, CELL = 256, 1024
 #: Bytes of text that are hashed together (a longer text is hashed alone).
 GROUP_BYTES = 1 << 18
 #: Groups whose prefix a task remembers to have given (another time costs a duplicate, which is dropped).
