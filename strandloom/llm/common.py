@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch sent to Python; texts can be long, so a batch stays small.
+#: Rows of an Arrow batch that are turned into Python objects at a time (Spark bounds a batch's bytes, 64 MB by default).
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` where it is higher: bounds a Python worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def cut(batches, rows: int = BATCH_ROWS):
+    """Arrow batches of at most ``rows`` rows: bounds a Python worker's memory without a setting of the whole session."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,22 +26,28 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def shortest_first(rows: DataFrame, key: str, wanted: dict, room: int, cost: Column) -> Column:
-    """Condition for the shortest of (``key``, size, draw) rows: for each value in ``wanted`` so many of them as that says.
+def drawn(rows: DataFrame, key: str, wanted: dict, found: dict) -> DataFrame:
+    """About ``wanted[v]`` rows of each value v of ``key`` (never fewer where there are as many), by their smallest ``draw``.
 
-    Their summed ``cost`` is at most ``room`` for each row wanted, but the first row is taken whatever it costs. Equally
-    long rows go by ``draw``. Only sizes and draws are sorted, and of each partition only as many as are wanted.
+    ``draw`` is a 64-bit hash, so length and order have no part in it. ``found`` is the number of rows of each value: a share
+    of twice what is wanted is cut off first, by a broadcast table of the values, and only those few are ranked.
     """
-    if not wanted:
-        return F.lit(False)
-    order = Window.partitionBy(key).orderBy("size", "draw")
-    count = F.try_element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col(key))
-    near = rows.where(count > 0).select(key, "size", "draw", cost.cast("long").alias("cost"))
-    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(wanted.values())).where(F.col("rank") <= count)
-    near = near.withColumn("cost", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = near.where((F.col("rank") == 1) | (F.col("cost") <= room * count)).groupBy(key).agg(F.max(F.struct("size", "draw")).alias("last"))
-    ends = [x for r in last.collect() for x in (F.lit(r[key]), F.struct(F.lit(r["last"]["size"]).alias("size"), F.lit(r["last"]["draw"]).alias("draw")))]
-    return F.coalesce(F.struct("size", "draw") <= F.try_element_at(F.create_map(*ends), F.col(key)), F.lit(False)) if ends else F.lit(False)
+    spark = rows.sparkSession
+    space, low = 1 << 64, -(1 << 63)
+    ends = [(v, int(n), min((1 << 63) - 1, low + space * (2 * int(n) + 100) // max(1, found[v]))) for v, n in wanted.items() if found.get(v)]
+    kind = rows.schema[key].dataType.simpleString()
+    plan = spark.createDataFrame(ends, f"`{key}` {kind}, wanted long, last long")
+    near = rows.join(F.broadcast(plan), key).where(F.col("draw") <= F.col("last"))
+    order = Window.partitionBy(key).orderBy("draw")
+    near = near.dropDuplicates([key, "draw"]).withColumn("rank", F.row_number().over(order))
+    return near.where(F.col("rank") <= F.col("wanted")).drop("wanted", "last", "rank")
+
+
+def within(sample: DataFrame, key: str, cells: int) -> DataFrame:
+    """The rows of a bounded written table, by ``draw``, whose ``cells`` add up to at most that for each value of ``key``; one at least."""
+    order = Window.partitionBy(key).orderBy("draw")
+    told = sample.withColumns({"rank": F.row_number().over(order), "sum": F.sum("cells").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return told.where((F.col("sum") <= cells) | (F.col("rank") == 1)).drop("rank", "sum")
 
 
 #: Entries of a counter table that travel in one row.

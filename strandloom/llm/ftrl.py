@@ -13,26 +13,49 @@ def softmax(z: np.ndarray) -> np.ndarray:
 class Ftrl:
     """Multinomial (or with one output, logistic) regression; a feature is (index, value), index ``size`` is the bias.
 
-    Per coordinate: ``w = 0`` where ``|z| <= l1``, else ``-(z - sign(z) l1) / ((beta + sqrt(n)) / alpha + l2)``.
+    Per coordinate: ``w = 0`` where ``|z| <= l1``, else ``-(z - sign(z) l1) / ((beta + sqrt(n)) / alpha + l2)``. Only the
+    coordinates that occur in the rows are held (``at``, in order; the bias is the last).
     """
 
     def __init__(self, size: int, outputs: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.1, l2: float = 1e-3):
         self.size, self.outputs, self.alpha, self.beta, self.l1, self.l2 = size, outputs, alpha, beta, l1, l2
-        self.z = np.zeros((size + 1, outputs))
-        self.n = np.zeros((size + 1, outputs))
+        self._hold(np.array([size]))
 
-    def weights(self, at=slice(None)) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
+    def _hold(self, at: np.ndarray) -> None:
+        self.at, self.place = at, np.full(self.size + 1, -1, np.int32)
+        self.place[at] = np.arange(len(at))
+        self.z, self.n = np.zeros((len(at), self.outputs)), np.zeros((len(at), self.outputs))
+
+    def weights(self, rows=slice(None)) -> np.ndarray:
+        """Weights of the coordinates held (``rows`` of them)."""
+        z, n = self.z[rows], self.n[rows]
         shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0)
         return -shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, seed: int = 7) -> Ftrl:
-        """``labels``: the class of each row (outputs > 1), or 0/1."""
-        order = np.random.default_rng(seed)
+    def sparse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(indices, weights) of the features with a weight, and the biases."""
+        w = self.weights()
+        keep = w[:-1].any(axis=1)
+        return self.at[:-1][keep], w[:-1][keep], w[-1]
+
+    def dense(self) -> np.ndarray:
+        """Weights of all features, and as the last row the biases."""
+        out = np.zeros((self.size + 1, self.outputs))
+        out[self.at] = self.weights()
+        return out
+
+    def fit(self, rows, labels: np.ndarray, epochs: int, seed: int = 7) -> Ftrl:
+        """``rows``: a sequence of features; ``labels``: the class of each (outputs > 1), or 0/1."""
+        seen = np.zeros(self.size + 1, bool)
+        seen[self.size] = True
+        for k in range(len(rows)):
+            seen[rows[k][0]] = True
+        self._hold(np.flatnonzero(seen))
+        order, bias = np.random.default_rng(seed), len(self.at) - 1
         for _ in range(epochs):
             for r in order.permutation(len(rows)):
                 at, x = rows[r]
-                at, x = np.append(at, self.size), np.append(x, 1.0)
+                at, x = np.append(self.place[at], bias), np.append(x, 1.0)
                 w = self.weights(at)
                 score = x @ w
                 if self.outputs > 1:
@@ -46,9 +69,15 @@ class Ftrl:
                 self.n[at] = n + g * g
         return self
 
-    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        w = self.weights()
-        return np.array([x @ w[at] + w[-1] for at, x in (rows[k] for k in range(len(rows)))]).reshape(len(rows), self.outputs)
+    def scores(self, rows) -> np.ndarray:
+        w, bias = self.weights(), self.weights(slice(-1, None))[0]
+        out = np.tile(bias, (len(rows), 1))
+        for k in range(len(rows)):
+            at, x = rows[k]
+            place = self.place[at]
+            known = place >= 0
+            out[k] += np.asarray(x, np.float64)[known] @ w[place[known]]
+        return out
 
 
 def temperature(scores: np.ndarray, labels: np.ndarray, low: float = 0.05, high: float = 20.0) -> float:

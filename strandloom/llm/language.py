@@ -7,7 +7,7 @@ the weights have not seen.
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +15,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import count_table, held_out, shortest_first, small_batches
+from strandloom.llm.common import count_table, cut, drawn, held_out, within
 from strandloom.llm.ftrl import Ftrl, softmax, temperature
+from strandloom.session import materialize
 
 BITS = 18
-#: The training sample: rows per language, rows in all, and the longest text in it of a language with enough others.
-PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 500, 4000, 10_000
-#: Every so many rows of the sample are kept for the temperature.
+#: The training sample: rows per language, rows in all, and distinct n-grams in all; whole texts of any length.
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CELLS = 1000, 8000, 16_000_000
+#: One in so many texts of the sample (by a hash of its n-grams, so that copies stay together) is kept for the temperature.
 CALIBRATE = 5
-#: More languages than this are refused.
-MAX_LANGUAGES = 500
+#: Weights at most: with more than 128 languages n-grams are hashed into fewer buckets.
+WEIGHTS = 1 << 25
 SCALE, EPOCHS = 100.0, 3
+#: A text is in no learned language if its share of familiar n-grams is below this part of what the least familiar hundredth of
+#: the sample has.
+FLOOR, LEAST = 0.5, 0.01
 UNKNOWN = "und"
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTERS: list[np.ndarray] = []
 
 
@@ -51,7 +54,7 @@ def has_letters(text: Column) -> Column:
 
 
 def grams(text: str | None) -> np.ndarray | None:
-    """Hashed n-grams of a whole text, one for each position and length; None if it has no letter."""
+    """Hashed n-grams of a whole text, one for each position and length (a number of ``BITS`` bits); None if it has no letter."""
     if not text:
         return None
     u = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -68,116 +71,118 @@ def grams(text: str | None) -> np.ndarray | None:
 
 
 class LanguageModel:
-    """Languages, one weight for each hashed n-gram and language (idf folded in), biases and temperature."""
+    """Languages, weights of the hashed n-grams that have any (idf folded in), biases and temperature; and ``floor``, the
+    share of familiar n-grams below which a text is in none of the languages."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, t: float):
-        self.languages, self.weights, self.bias, self.t = languages, weights.astype(np.float32), bias, t
+    def __init__(self, languages: list[str], bits: int, at: np.ndarray, weights: np.ndarray, bias: np.ndarray, t: float, floor: float = 0.0):
+        self.languages, self.shift, self.bias, self.t, self.floor = languages, np.uint32(BITS - bits), bias, t, floor
+        self.place = np.zeros(1 << bits, np.int32)  # row 0 is for n-grams without a weight
+        self.place[at] = np.arange(1, len(at) + 1)
+        self.weights = np.vstack([np.zeros((1, len(bias))), weights]).astype(np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its probability, and the share of the text's n-grams that have a weight."""
         g = grams(text)
         if g is None or not self.languages:
-            return UNKNOWN, 0.0
-        p = softmax((self.weights[g].sum(axis=0, dtype=np.float64) / len(g) + self.bias) / self.t)
+            return UNKNOWN, 0.0, 0.0
+        place = self.place[g >> self.shift]
+        p = softmax((self.weights[place].sum(axis=0, dtype=np.float64) / len(g) + self.bias) / self.t)
         k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        return self.languages[k], float(p[k]), float(np.count_nonzero(place) / len(g))
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
+def document_frequencies(docs: DataFrame, bits: int = BITS) -> np.ndarray:
     """Number of documents (column ``text``) with each hashed n-gram, and as the last entry the number with any."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((1 << BITS) + 1, np.int64)
-        for b in batches:
+        total = np.zeros((1 << bits) + 1, np.int64)
+        for b in cut(batches):
             for text in b.column(0).to_pylist():
                 g = grams(text)
                 if g is not None:
+                    g >>= np.uint32(BITS - bits)
                     g.sort()
                     total[g[np.flatnonzero(np.diff(g, prepend=np.uint32(0xFFFFFFFF)))]] += 1
                     total[-1] += 1
         return total
 
-    return count_table(docs.select("text"), counts, (1 << BITS) + 1)
+    return count_table(docs.select("text"), counts, (1 << bits) + 1)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, alpha: float = 0.5, l1: float = 0.02, l2: float = 1e-3) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, sample_cells: int = SAMPLE_CELLS, alpha: float = 0.5, l1: float = 0.02, l2: float = 1e-3) -> LanguageModel:
     """Learn from (doc_id, text, lang): all rows for the document frequencies, a bounded sample for the weights.
 
-    Every language that a text with letters is labelled with is learned. The sample has about ``per_language`` rows for each
-    (fewer if that is over ``sample_rows`` in all), those with the smallest hashes of doc_id among texts of at most
-    ``sample_chars``. A language with fewer such texts gets longer ones too, the shortest first and one at least, as far as
-    their n-grams number no more than the missing rows' could.
+    Every language that a text with letters is labelled with is learned. The sample has ``per_language`` rows for each (fewer
+    if that is over ``sample_rows`` in all, one at least), those with the smallest hashes of id, text and label: whole texts,
+    whatever their length. Of a language whose sample has more than its part of ``sample_cells`` distinct n-grams, the first
+    rows by that hash are taken, one at least. A language that all of whose texts fall to the calibration is learned from
+    them as well.
     """
     labelled = docs.where("lang is not null").where(has_letters(F.col("text")))
-    short, space = F.col("size") <= sample_chars, 1 << 20
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(space)).cast("int")
-    sized = labelled.withColumns({"size": F.length("text"), "draw": draw})
-    found = {r["lang"]: r["short"] for r in sized.groupBy("lang").agg(F.count_if(short).alias("short")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(found)
     if not languages:
-        return LanguageModel([], np.zeros((1 << BITS, 1)), np.zeros(1), 1.0)
-    df = document_frequencies(labelled)
+        return LanguageModel([], BITS, np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(1), 1.0)
+    bits = min(BITS, (max(256, WEIGHTS // len(languages))).bit_length() - 1)
+    df = document_frequencies(labelled, bits)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     want = max(1, min(per_language, sample_rows // len(languages)))
-    bound = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(space, math.ceil(space * want / max(1, found[k])))))])
-    cost = F.least(F.col("size").cast("long") * 3, F.lit(1 << BITS))
-    longer = shortest_first(sized.where(~short), "lang", {k: want - n for k, n in found.items() if n < want}, 3 * sample_chars, cost)
-    rows = sized.where(F.when(short, F.col("draw") < F.try_element_at(bound, F.col("lang"))).otherwise(longer))
-    rows = rows.select("doc_id", "lang", "text").limit(2 * sample_rows)
+    rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("draw"))
+    rows = drawn(rows, "lang", dict.fromkeys(languages, want), found).select("lang", "draw", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 100):
             out = []
             for text in b.column(2).to_pylist():
                 g = grams(text)
-                at, n = np.unique(g, return_counts=True) if g is not None else (np.zeros(0), np.zeros(0))
-                out.append((at.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()))
-            cols = [b.column(0), b.column(1), *(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "at", "n"])
-
-    sample = rows.mapInArrow(features, "doc_id long, lang string, at binary, n binary").collect()
-    sample = sorted((r for r in sample if r["at"]), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
-    y = np.array([languages.index(r["lang"]) for r in sample], np.int64)
-    x = []
-    for k, r in enumerate(sample):
-        sample[k] = None  # the driver holds one form of a row at a time
+                at, n = np.unique(g >> np.uint32(BITS - bits), return_counts=True) if g is not None else (np.zeros(0), np.zeros(0))
+                out.append((len(at), at.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()))
+            cols = [b.column(0), b.column(1), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "draw", "cells", "at", "n"])
+
+    sample = materialize(rows.mapInArrow(features, "lang string, draw long, cells long, at binary, n binary").where("cells > 0"), "language-sample")
+    chosen = within(sample.select("lang", "draw", "cells"), "lang", sample_cells // len(languages)).select("lang", "draw")
+    x, told = [], []
+    for r in sample.join(chosen, ["lang", "draw"]).coalesce(4).toLocalIterator():  # the driver holds one form of a row at a time
         at, n = np.frombuffer(r["at"], np.uint32).astype(np.int32), np.frombuffer(r["n"], np.uint32)
         x.append((at, (SCALE * n / n.sum() * idf[at]).astype(np.float32)))
-    kept = np.arange(len(x)) % CALIBRATE == CALIBRATE - 1
+        told.append((r["draw"], r["lang"], zlib.crc32(r["at"]) % CALIBRATE == 0))
+    order = sorted(range(len(x)), key=told.__getitem__)
+    x, number = [x[k] for k in order], {v: k for k, v in enumerate(languages)}
+    y, kept = np.array([number[told[k][1]] for k in order], np.int64), np.array([told[k][2] for k in order], bool)
     kept &= np.isin(y, y[~kept])  # a language's only rows are learned from
-    model = Ftrl(1 << BITS, max(2, len(languages)), alpha=alpha, l1=l1, l2=l2)
+    model = Ftrl(1 << bits, max(2, len(languages)), alpha=alpha, l1=l1, l2=l2)
     model.fit([f for f, k in zip(x, kept, strict=True) if not k], y[~kept], EPOCHS)
-    w = model.weights()
     t = temperature(model.scores([f for f, k in zip(x, kept, strict=True) if k]), y[kept]) if kept.any() else 1.0
-    k = len(languages)
-    return LanguageModel(languages, (SCALE * idf[:, None] * w[:-1])[:, :k], w[-1, :k], t)
+    at, w, bias = model.sparse()
+    known, k = np.zeros(1 << bits, bool), len(languages)
+    known[at] = True
+    shares = [float((v / idf[a])[known[a]].sum() / SCALE) for a, v in x]
+    return LanguageModel(languages, bits, at, (SCALE * idf[at, None] * w)[:, :k], bias[:k], t, FLOOR * float(np.quantile(shares, LEAST)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``lang_pred`` and ``score`` of each row's whole text, beside the columns named in ``carry``, in one narrow pass."""
-    small_batches(docs.sparkSession)
+    """``lang_pred``, ``score`` and ``familiar`` (the share of n-grams with a weight) of each row's whole text, beside the columns named in ``carry``, in one narrow pass."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = carry.index("text") if "text" in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches):
             told = [sent.value.predict(t) for t in b.column(at).to_pylist()]
-            cols = [*b.columns[: len(carry)], pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*carry, "lang_pred", "score"])
+            cols = [*b.columns[: len(carry)], pa.array([x[0] for x in told], pa.string()), *(pa.array([x[i] for x in told], pa.float64()) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*carry, "lang_pred", "score", "familiar"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string, score double, familiar double"])
     return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of (doc_id, text, lang).
+    """(doc_id, held_out, lang_pred, score, familiar) of every row of (doc_id, text, lang).
 
     Rows with ``crc32(doc_id) mod 3 = 1`` are held out; only the others' text and non-null lang are learned from. A null
     text, or one without letters, is ``und`` with score 0, and so is every text if there is nothing to learn from. Repeated
     rows are predicted alike; an empty table gives an empty result; other columns are of no account.
     """
-    small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text", "lang").withColumn("held_out", held_out())
     return predict(rows, fit(rows.where("not held_out")), ("doc_id", "held_out"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import small_batches
+from strandloom.llm.common import cut as cut_batches
 
 WINDOW, SLACK, END_ID = 2048, 8, 1
 #: A shard is packed once it has so many tokens: bounds a worker's memory; shards never depend on each other.
@@ -235,7 +235,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     or empty text is one end id; rows with equal or null ids are packed as documents of their own; an empty table gives
     an empty result. Other columns are of no account.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -246,7 +245,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         table, end = _TABLES[tokenizer_path], np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         ids, doc_ids, held = [], [], 0
-        for b in batches:
+        for b in cut_batches(batches):
             for doc_id, got in zip(b.column(0).to_pylist(), table.encode_batch(b.column(1).to_pylist()), strict=True):
                 ids.append(got + end)
                 doc_ids.append(doc_id)

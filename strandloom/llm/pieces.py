@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import small_batches
+from strandloom.llm.common import cut as cut_batches
 
 MARK = "▁"
 #: Entries of a worker's chunk table before it starts anew; bounds memory, never the result.
@@ -103,13 +103,12 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     (the end id alone); an empty table gives an empty result; repeated rows and columns other than the two named are of no
     account. Memory is bounded by ``table_rows`` chunks, plus one batch of texts, for each Python worker.
     """
-    small_batches(docs.sparkSession)
     cols = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path, table_rows)
         eos, only = f" {table.eos}", str(table.eos)
-        for b in batches:
+        for b in cut_batches(batches):
             n, ids, decoded = [], [], []
             for k, text_ids, text in table.encode_batch(b.column(1).to_pylist()):
                 line = text_ids + eos if k else only

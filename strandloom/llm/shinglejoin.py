@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import count_table, small_batches
+from strandloom.llm.common import count_table, cut
 from strandloom.operators.graph import connected_components
 from strandloom.operators.joins import heavy_split_join
 from strandloom.session import materialize
@@ -127,7 +127,7 @@ def _summaries(docs: DataFrame, rank: np.ndarray, limit: int, words: int, percen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rank = set(), sent.value
-        for b in batches:
+        for b in cut(batches):
             n, sig, grp, bits, prefix, parts = [], [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), words):
                 n.append(len(s))
@@ -166,7 +166,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     rows = docs.withColumn("at", place).join(F.broadcast(marked), "at", "left_semi").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches):
             ids, sig, data = [], [], []
             for doc_id, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words), strict=True):
                 if len(s):
@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
@@ -232,12 +232,11 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     A null text, or one without words, has an empty set and links with nothing; a null doc_id is smaller than none; rows
     with equal doc_id are documents of their own; an empty table gives an empty result; other columns are left out.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total, shift = np.zeros(1 << BUCKET_BITS, np.int64), np.uint64(64 - BUCKET_BITS)
-        for b in batches:
+        for b in cut(batches):
             found = [s >> shift for s in shingle_sets(b.column(0).to_pylist(), words)]
             at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), 0)
             total[at] += n

@@ -15,23 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import shortest_first, small_batches
+from strandloom.llm.common import cut, drawn, within
 from strandloom.llm.ftrl import Ftrl
 from strandloom.session import materialize
 
 BITS, PREFIX = 18, 4
-#: The training sample: labelled rows that have the last category, as many times those that don't, and the longest text of a
-#: value with enough others. They are what the driver's memory allows, not what is best for accuracy.
-PER_VALUE, OTHERS, SAMPLE_CHARS = 3000, 2, 20_000
+#: The training sample: labelled rows that have the last category, as many times those that don't, and distinct features in
+#: all; whole texts of any length.
+PER_VALUE, OTHERS, SAMPLE_CELLS = 4000, 2, 16_000_000
 FOLDS, EPOCHS = 3, 3
 #: Words in a worker's weight table before it starts anew.
 TABLE_ROWS = 500_000
 #: Later models see earlier probabilities as log odds times this.
 CHAIN_SCALE = 0.25
-
-#: A document is toxic from this probability on: chosen on labelled rows that weren't trained on (762 toxic, 15,636 not),
-#: where 0.3 and 0.4 miss 1 and 4 and are wrong on 1 each.
-TOXIC_FROM = 0.35
+#: No probability reaches this: the threshold of a chain that has seen no row with the last category.
+NEVER = 2.0
 
 #: Category -> expression over the label columns; the chain goes in this order.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -49,10 +47,11 @@ def buckets(word: str) -> tuple[int, int]:
 
 
 class Chain:
-    """Categories in order, with weights by bucket, biases, and weights of the earlier categories' log odds."""
+    """Categories in order, with weights by bucket, biases, weights of the earlier categories' log odds, and the
+    probability from which on the last category holds."""
 
-    def __init__(self, categories: list[str], weights: np.ndarray, bias: np.ndarray, links: np.ndarray):
-        self.categories, self.weights, self.bias, self.links = categories, weights, bias, links
+    def __init__(self, categories: list[str], weights: np.ndarray, bias: np.ndarray, links: np.ndarray, threshold: float = NEVER):
+        self.categories, self.weights, self.bias, self.links, self.threshold = categories, weights, bias, links, threshold
         self.table: dict[str, tuple[float, ...] | None] = {}
 
     def __getstate__(self):
@@ -106,10 +105,30 @@ class _Linked:
         return np.concatenate([at, self.more]), np.concatenate([n, self.extra[r]], dtype=np.float64)
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = 10.0, l2: float = 1e-3, alpha: float = 0.5) -> Chain:
-    """Fit the chain on (id, buckets, counts) rows; the fold of a row follows its id."""
+def best_threshold(p: np.ndarray, y: np.ndarray, cost: tuple[float, float]) -> float:
+    """The probability from which on a row counts as positive, at the least cost on rows that the models haven't seen.
+
+    ``cost`` is that of a negative and of a positive row on the wrong side: how many documents a row of the sample stands
+    for. Of equal costs the middle of the widest gap (in log odds) is taken. Without positives it is ``NEVER``.
+    """
+    if not (y == 1).any():
+        return NEVER
+    z = np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    order = np.argsort(z)
+    z, y = z[order], y[order]
+    wrong = np.concatenate([[0.0], np.cumsum(np.where(y == 1, cost[1], -cost[0]))])  # beside that of taking all
+    ends = np.concatenate([[-14.0], z, [14.0]])
+    gap = np.diff(ends)
+    good = (wrong <= wrong.min() + 1e-9) & (gap > 0)
+    good = good if good.any() else gap > 0
+    k = int(np.flatnonzero(good)[gap[good].argmax()])
+    return float(1 / (1 + np.exp(-(ends[k] + ends[k + 1]) / 2)))
+
+
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = 10.0, l2: float = 1e-3, alpha: float = 0.5, cost: tuple[float, float] = (1.0, 1.0)) -> Chain:
+    """Fit the chain on (fold, buckets, counts) rows; rows of one fold (copies among them) are never judged by a model that saw another of it."""
     size, n, k = 1 << BITS, len(rows), len(categories)
-    fold = np.array([zlib.crc32(str(r[0]).encode()) % folds for r in rows], np.int64)
+    fold = np.array([r[0] % folds for r in rows], np.int64)
     weights, bias, links, extra = np.zeros((size, k)), np.zeros(k), np.zeros((k, k)), np.zeros((n, k), np.float32)
     for c in range(k):
         x = _Linked(rows, extra[:, :c], size)
@@ -119,74 +138,78 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, ca
         def model(which: np.ndarray, x=x, y=y, c=c) -> Ftrl:
             return Ftrl(size + c, 1, alpha=alpha, l1=l1, l2=l2).fit(x.of(which), y[which], epochs)
 
-        w = model(know).weights()[:, 0]
+        whole = model(know)
+        w = whole.dense()[:, 0]
         weights[:, c], bias[c], links[c, :c] = w[:size], w[-1], w[size : size + c]
-        if c + 1 < k:
-            p = np.zeros(n)
-            for f in range(folds):
-                out = np.flatnonzero(fold == f)
-                z = model(know[fold[know] != f]).scores(x.of(out))[:, 0]
-                p[out] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            extra[:, c] = log_odds(p)
-    return Chain(categories, weights, bias, links)
+        p, told = np.zeros(n), np.zeros(n, bool)
+        for f in range(folds):
+            out, rest = np.flatnonzero(fold == f), know[fold[know] != f]
+            p[out] = _probability(model(rest), x.of(out))
+            told[out] = len(np.unique(y[rest])) == 2
+        extra[:, c] = log_odds(p)
+    judged = know[told[know]]
+    if len(np.unique(y[judged])) < 2:  # all rows with (or without) the category are copies of one fold
+        p, judged = _probability(whole, x), know
+    return Chain(categories, weights, bias, links, best_threshold(p[judged], y[judged], cost))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, per_value: int = PER_VALUE, sample_chars: int = SAMPLE_CHARS) -> Chain:
+def _probability(model: Ftrl, x: _Linked) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model.scores(x)[:, 0], -40, 40)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, per_value: int = PER_VALUE, sample_cells: int = SAMPLE_CELLS) -> Chain:
     """Learn from (doc_id, text) and labels (doc_id and the label columns).
 
-    The sample has about ``per_value`` documents (never twice as many) labelled with the last category and ``OTHERS`` times as many without it,
-    those with the smallest hashes of doc_id among documents of at most ``sample_chars`` characters. Shares are of the labelled documents
-    that there are. A value with fewer such documents than wanted gets longer ones too, the shortest first and one at least, as far as
-    they have no more characters than the missing ones could. The chosen ids are bounded, so they are broadcast to read the texts.
-    A label that is null is not learned from.
+    The sample has ``per_value`` documents labelled with the last category and ``OTHERS`` times as many without it, those with
+    the smallest hashes of id and text: whole texts, whatever their length. Shares are of the labelled documents that there
+    are. Of a value whose sample has more than half of ``sample_cells`` distinct features, the first rows by that hash are
+    taken, one at least. The chosen ids are bounded, so they are broadcast to read the texts. Folds follow the words, so that
+    copies share one; the threshold is that of the least cost out of fold. A label that is null is not learned from.
     """
     categories = categories or CATEGORIES
     names = list(categories)
+    last = names[-1]
     told = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
-    told = told.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(F.col(names[-1]).isin(0, 1))
-    last, space = names[-1], 1 << 20
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(space)).cast("int")
-    sized = docs.where("doc_id is not null and text is not null").withColumns({"size": F.length("text"), "draw": draw})
-    known = materialize(sized.select("doc_id", "size", "draw").join(told, "doc_id"), "labelled")
-    short = F.col("size") <= sample_chars
-    found = {r[last]: r["short"] for r in known.groupBy(last).agg(F.count_if(short).alias("short")).collect()}
-    want = {0: OTHERS * per_value, 1: per_value}
-    share = {v: -(-space * n // max(1, found.get(v, 0))) for v, n in want.items()}
-    longer = shortest_first(known.where(~short), last, {v: want[v] - n for v, n in found.items() if n < want[v]}, sample_chars, F.col("size"))
-    taken = F.when(short, F.col("draw") < F.when(F.col(last) == 1, share[1]).otherwise(share[0])).otherwise(longer)
-    chosen = known.where(taken).select("doc_id", *names).distinct().limit(2 * (1 + OTHERS) * per_value)
-    rows = sized.join(F.broadcast(chosen), "doc_id").where(taken).select("doc_id", "text", *names)
+    told = told.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(F.col(last).isin(0, 1))
+    sized = docs.where("doc_id is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
+    known = materialize(sized.select("doc_id", "draw").join(told, "doc_id"), "labelled")
+    found = {r[last]: r["count"] for r in known.groupBy(last).count().collect()}
+    chosen = drawn(known, last, {0: OTHERS * per_value, 1: per_value}, found)
+    rows = sized.join(F.broadcast(chosen), ["doc_id", "draw"]).select("draw", "text", *names).dropDuplicates(["draw"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = []
+        for b in cut(batches, 100):
+            out = []
             for text in b.column(1).to_pylist():
-                at.append(np.array([k for w in words(text) for k in buckets(w)], np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.binary()), *b.columns[2:]], names=["doc_id", "at", *names])
-
-    schema = "doc_id long, at binary, " + ", ".join(f"{c} int" for c in names)
-    sample = rows.withColumn("doc_id", F.col("doc_id").cast("long")).limit(2 * (1 + OTHERS) * per_value).mapInArrow(features, schema).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["at"]))
-    if not sample:
+                at, n = np.unique(np.array([k for w in words(text) for k in buckets(w)], np.uint32), return_counts=True)
+                out.append((len(at), at.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes()))
+            cols = [b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["draw", "cells", "at", "n", *names])
+
+    schema = "draw long, cells long, at binary, n binary, " + ", ".join(f"{c} int" for c in names)
+    sample = materialize(rows.mapInArrow(features, schema), "toxicity-sample")
+    taken = within(sample.select(last, "draw", "cells"), last, sample_cells // 2).select("draw")
+    x, y = [], []
+    for r in sample.join(taken, "draw").coalesce(4).toLocalIterator():  # the driver holds one form of a row at a time
+        at, n = np.frombuffer(r["at"], np.uint32).astype(np.int32), np.frombuffer(r["n"], np.uint8)
+        x.append((r["draw"], zlib.crc32(r["at"]), at, n))
+        y.append([-1 if r[c] is None else r[c] for c in names])
+    if not x:
         return Chain(names, np.zeros((1 << BITS, len(names))), np.full(len(names), -40.0), np.zeros((len(names), len(names))))
-    y = np.array([[-1 if r[c] is None else r[c] for c in names] for r in sample], np.int64)
-    x = []
-    for k, r in enumerate(sample):
-        sample[k] = None  # the driver holds one form of a row at a time
-        at, n = np.unique(np.frombuffer(r["at"], np.uint32), return_counts=True)
-        x.append((r["doc_id"], at.astype(np.int32), np.minimum(n, 255).astype(np.uint8)))
-    return train(x, y, names)
+    order = sorted(range(len(x)), key=lambda k: x[k][0])
+    x, y = [x[k][1:] for k in order], np.array([y[k] for k in order], np.int64)
+    stands = tuple(found.get(v, 0) / max(1, int((y[:, -1] == v).sum())) for v in (0, 1))
+    return train(x, y, names, cost=stands)
 
 
 def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``p_<category>`` of each row's whole text, beside the columns named in ``carry``, in one narrow pass."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     at = carry.index("text") if "text" in carry else len(carry)
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches):
             p = sent.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], *(pa.array(p[:, k], pa.float64()) for k in range(len(names)))], names=[*carry, *names])
 
@@ -195,13 +218,13 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
     return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, schema)
 
 
-def rate_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC_FROM) -> DataFrame:
-    """(doc_id, p_low_quality, p_toxic, toxic) of every document, ``toxic`` where p_toxic >= ``threshold``.
+def rate_toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(doc_id, p_low_quality, p_toxic, toxic) of every document, ``toxic`` where p_toxic >= ``threshold`` (None: that of the
+    least cost on labelled rows out of fold).
 
     A null or empty text has no word, so its probabilities are the biases'. Without labels nothing is toxic. Repeated rows
     are rated alike; an empty table gives an empty result; other columns are of no account.
     """
-    small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    rated = score(rows, fit(rows, labels))
-    return rated.withColumn("toxic", F.col("p_toxic") >= threshold)
+    chain = fit(rows, labels)
+    return score(rows, chain).withColumn("toxic", F.col("p_toxic") >= F.lit(chain.threshold if threshold is None else threshold))

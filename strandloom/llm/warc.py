@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import small_batches
 from strandloom.operators.joins import heavy_split_join
 from strandloom.session import materialize, new_path
 
@@ -205,7 +204,6 @@ def deduplicate_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     of their own; an empty table gives an empty result; other columns are left out.
     """
     spark = pages.sparkSession
-    small_batches(spark, 64)
     raw, final = new_path(spark, "warc-raw"), new_path(spark, "warc-final")
     write_responses(pages, raw)
     return resolve_revisits(spark, raw, final, min_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

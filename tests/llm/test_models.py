@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import language, shinglejoin, toxicity
-from strandloom.llm.common import count_table, held_out, shortest_first
+from strandloom.llm.common import count_table, drawn, held_out, within
 from strandloom.llm.ftrl import Ftrl, softmax, temperature
 
 SF = "/root/testdata/sf0.01"
@@ -18,8 +18,8 @@ def test_ftrl_finds_sparse_weights():
     rows = [(np.sort(r.choice(200, 8, replace=False)), np.ones(8)) for _ in range(1500)]
     y = np.array([int((at < 5).any()) for at, _ in rows])
     m, dense = Ftrl(200, 1, l1=8.0).fit(rows, y, 3), Ftrl(200, 1, l1=0.0).fit(rows, y, 3)
-    w = m.weights()[:, 0]
-    assert (w[:5] > 0.5).all() and (w[5:200] == 0).mean() > 0.5 and (dense.weights()[5:200, 0] == 0).mean() < 0.1
+    w = m.dense()[:, 0]
+    assert (w[:5] > 0.5).all() and (w[5:200] == 0).mean() > 0.5 and (dense.dense()[5:200, 0] == 0).mean() < 0.1
     p = m.scores(rows)[:, 0] > 0
     assert (p == (y == 1)).mean() > 0.97
 
@@ -82,11 +82,16 @@ def test_a_language_with_one_row_is_learned(spark):
     assert model.languages == ["de", "en"] and model.predict("der Hund schläft")[0] == "de"
 
 
-def test_shortest_first(spark):
-    rows = spark.createDataFrame([("a", s, s) for s in (50, 20, 40, 30)] + [("b", 900, 1), ("b", 950, 2), ("c", 1, 1)], "k string, size int, draw int")
-    taken = rows.where(shortest_first(rows, "k", {"a": 3, "b": 2}, 20, F.col("size"))).collect()
-    assert sorted((x["k"], x["size"]) for x in taken) == [("a", 20), ("a", 30), ("b", 900)]
-    assert rows.where(shortest_first(rows, "k", {}, 20, F.col("size"))).count() == 0
+def test_drawn_rows_have_any_length(spark):
+    rows = spark.range(0, 20_000).select((F.col("id") % 3).cast("string").alias("k"), "id", F.xxhash64("id").alias("draw")).where("k <> '2' or id < 12")
+    rows = rows.unionByName(rows.where("id < 300"))
+    found = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    got = drawn(rows, "k", {"0": 50, "1": 20, "2": 30}, found).collect()
+    for k, n in (("0", 50), ("1", 20), ("2", 4)):
+        want = sorted({r["draw"] for r in rows.where(F.col("k") == k).select("draw").collect()})[:n]
+        assert sorted(r["draw"] for r in got if r["k"] == k) == want
+    few = spark.createDataFrame([("a", d, 10 * d) for d in (1, 2, 3, 4)] + [("b", 1, 900)], "k string, draw long, cells long")
+    assert sorted((r["k"], r["draw"]) for r in within(few, "k", 60).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
 
 
 def test_held_out_rows_teach_nothing(spark):
@@ -142,19 +147,193 @@ def test_chain_feeds_earlier_probabilities():
     assert p.shape == (600, 2)
 
 
-def test_pipeline(spark):
+def brute_pipeline(rows, labels, model, chain, tokenizer):
+    """run() in plain Python, given the two trained models: (doc_id -> number of rows packed, ids of each)."""
+    import re
+
+    from strandloom.llm.language import grams
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    def known(text):
+        g = grams(text)
+        return g is not None and sum(model.place[k >> model.shift] > 0 for k in g.tolist()) >= model.floor * len(g)
+
+    def toxic(text):
+        z = []
+        for c in range(len(chain.categories)):
+            s = chain.bias[c] + sum(chain.weights[k, c] for w in toxicity.words(text) for k in toxicity.buckets(w))
+            z.append(s + sum(chain.links[c, e] * toxicity.log_odds(np.array([1 / (1 + np.exp(-z[e]))]))[0] for e in range(c)))
+        return 1 / (1 + np.exp(-z[-1])) >= chain.threshold
+
+    rows = [r for r in rows if known(r[1])]
+    clean = [r for r in rows if not toxic(r[1])]
+    sets, parent = [shingles(r[1]) for r in clean], list(range(len(clean)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(clean)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    first = {}
+    for k, r in enumerate(clean):
+        key = (r[0] is not None, r[0] or 0, k)
+        first[find(k)] = min(first.get(find(k), key), key)
+    kept = [clean[k[2]] for k in first.values()]
+    return rows, clean, kept, sorted((str(r[0]), len(tokenizer.encode(r[1], add_special_tokens=False).ids) + 1) for r in kept)
+
+
+def odd_corpus():
+    """Rows of documents with copies, near copies, toxic and foreign texts, nulls, and repeated ids."""
+    import random
+
+    r = random.Random(11)
+    en, fr = "the of and to in that it was with for as his on be at by".split(), "le la et les des en un une du que dans qui par pour sur pas".split()
+    nouns = [f"{a}{b}" for a in ("ston", "mar", "bel", "tor", "win") for b in ("er", "ing", "al", "ette", "on")]
+    rows = []
+    for k in range(160):
+        words = [r.choice(en if k % 2 else fr) if r.random() < 0.6 else r.choice(nouns) for _ in range(r.choice([12, 40, 90]))]
+        if k % 5 == 0:
+            words += [r.choice(["scumbag", "vermin", "lowlife"]) for _ in range(4)]
+        rows.append((k, " ".join(words), "en" if k % 2 else "fr", "s", 1))
+    near = rows[31][1].split()
+    near[-1] = "changed"
+    same = next(x for x in rows if len(x[1].split()) == 90 and x[0] % 5)
+    rows += [(500, same[1], None, "s", 1), (501, same[1].upper(), None, "s", 1), (same[0], same[1], "en", "t", 2), (605, " ".join(near), None, "s", 1)]
+    rows += [(7, "quite another text with the same number in it and of that", "en", "s", 1), (None, rows[9][1], "en", "s", 1), (None, "no number but the words of it", None, "s", None)]
+    rows += [(600, None, "en", "s", 1), (601, "", None, None, None), (602, "12 34 56", "fr", "s", 1), (603, "\u8fd9\u662f\u4e2d\u6587\u53e5\u5b50" * 20, None, "s", 1), (604, "the and of " * 20_000, "en", "s", 1)]
+    labels = [(k, int(k % 3 != 0), int(k % 5 == 0)) for k in range(160) if k % 4]
+    return rows, labels
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_against_plain_python(spark, tmp_path, monkeypatch):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = []
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows, labels = odd_corpus()
+    spark.createDataFrame(rows, DOCUMENTS).withColumn("row_", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    models, stages = {}, {}
+    for kind in (language, toxicity):
+        def keep(*args, fit=kind.fit, name=kind.__name__, **kw):
+            models[name] = fit(*args, **kw)
+            return models[name]
+
+        monkeypatch.setattr(kind, "fit", keep)
+    materialize = corpus_pipeline.materialize
+
+    def written(df, tag):
+        stages[tag] = materialize(df, tag)
+        return stages[tag]
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", written)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    model, chain = models["strandloom.llm.language"], models["strandloom.llm.toxicity"]
+    assert 0 < model.floor < 1 and 0 < chain.threshold < 1
+    known, clean, kept, packed = brute_pipeline(rows, labels, model, chain, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    for name, want in (("language", known), ("toxicity", clean), ("near_duplicates", kept)):
+        got = stages[f"pipeline-{name}"]
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+        cols = 2 if name == "near_duplicates" else 5  # of rows with one id and text, either stays
+        assert sorted(str(tuple(r)[:cols]) for r in got.collect()) == sorted(str(r[:cols]) for r in want), name
+    assert {603, 602, 601, 600}.isdisjoint(r[0] for r in known) and {None, 604} <= {r[0] for r in known}
+    assert {r[0] for r in known} - {r[0] for r in clean} <= set(range(0, 160, 5)) and len(clean) < len(known)
+    assert len([r for r in kept if r[0] == 7]) == len([r for r in clean if r[0] == 7]) and len(kept) < len(clean)
+    assert len(kept) == len({r[:2] for r in kept})
+    got = sorted((str(p["doc_id"]), p["doc_tokens"]) for p in pieces if p["start"] == 0)
+    assert got == packed
+    taken = {}
+    for p in pieces:
+        taken[p["sequence_id"]] = taken.get(p["sequence_id"], 0) + p["length"]
+    assert sum(taken.values()) == sum(n for _, n in packed) and max(taken.values()) <= 2048
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows, _ = odd_corpus()
+    docs = spark.createDataFrame(rows, DOCUMENTS).withColumns({"lang_pred": F.lit(1), "p_toxic": F.lit("x"), "component_id": F.lit(2), "score": F.lit("y")})
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-        if name != "packing":
-            assert docs.columns == list(corpus_pipeline.COLUMNS)
-            docs = docs.persist()
-            kept.append({r[0] for r in docs.select("doc_id").collect()})
-            if name == "near_duplicates":
-                parts = {r["doc_id"]: r["component_id"] for r in shinglejoin.similar_components(before).collect()}
-                assert kept[-1] == set(parts.values())
-            before = docs
-    assert len(kept[0]) >= 990 and kept[2] <= kept[1] <= kept[0]
-    assert {r[0] for r in docs.select("doc_id").distinct().collect()} == kept[2]
+        got = stage(spark, docs, SF)
+        assert name == "packing" or got.columns == list(corpus_pipeline.COLUMNS)
+        assert got.count() > 0 and stage(spark, docs.limit(0), SF).count() == 0
+    nothing = docs.withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [stage(spark, nothing, SF).count() for _, stage in corpus_pipeline.STAGES] == [0, len(rows), len(rows), len(rows)]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "quite another text that nothing here resembles"
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (5, b, "en", "s", 1), (2, a, "en", "s", 1), (2, c, "en", "s", 1)]
+    got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, DOCUMENTS), SF)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, a), (2, c), (5, b)]
+
+
+def test_threshold_has_the_least_cost():
+    p, y = np.array([0.1, 0.2, 0.3, 0.6, 0.9, 0.95]), np.array([0, 0, 1, 0, 1, 1])
+    assert 0.2 < toxicity.best_threshold(p, y, (1.0, 5.0)) < 0.3 and 0.6 < toxicity.best_threshold(p, y, (5.0, 1.0)) < 0.9
+    assert toxicity.best_threshold(p, np.zeros(6), (1.0, 1.0)) == toxicity.NEVER
+
+
+def test_copies_share_a_fold(spark):
+    texts = [(k, f"word{k % 7} and more words{k % 7}") for k in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    train = toxicity.train
+    try:
+        toxicity.train = lambda rows, *a, **kw: seen.extend(rows) or train(rows, *a, **kw)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = train
+    assert len(seen) == 60 and len({(r[0], r[1].tobytes()) for r in seen}) == 7
+
+
+def test_language_model_against_plain_numpy(spark):
+    """The document frequencies, weights, temperature and scores again, without Spark and with dense arrays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    rows = docs.where("lang is not null").select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("draw")).collect()
+    rows = sorted(((r["draw"], r["lang"], language.grams(r["text"])) for r in rows if language.grams(r["text"]) is not None), key=lambda r: r[0])
+    size = 1 << language.BITS
+    df = np.zeros(size)
+    for _, _, g in rows:
+        df[np.unique(g)] += 1
+    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    names = sorted({r[1] for r in rows})
+    assert model.languages == names and len(rows) < language.SAMPLE_ROWS
+    x = [np.bincount(g, minlength=size) / len(g) * idf * language.SCALE for _, _, g in rows]
+    y = np.array([names.index(r[1]) for r in rows])
+    held = np.array([zlib.crc32(np.unique(g).astype(np.uint32).tobytes()) % language.CALIBRATE == 0 for _, _, g in rows])
+    learn = np.flatnonzero(~held)
+    z, n = np.zeros((size + 1, len(names))), np.zeros((size + 1, len(names)))
+    order = np.random.default_rng(7)
+
+    def weights(at):
+        return -np.sign(z[at]) * np.maximum(np.abs(z[at]) - 0.02, 0) / ((1 + np.sqrt(n[at])) / 0.5 + 1e-3)
+
+    for _ in range(language.EPOCHS):
+        for k in order.permutation(len(learn)):
+            at = np.append(np.flatnonzero(x[learn[k]]), size)
+            v = np.append(x[learn[k]], 1.0)[at]
+            w = weights(at)
+            g = v[:, None] * (softmax(v @ w) - np.eye(len(names))[y[learn[k]]])
+            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / 0.5 * w
+            n[at] += g * g
+    w = weights(slice(None))
+    scores = np.array([np.append(v, 1.0) @ w for v in x])
+    t = temperature(scores[held], y[held])
+    assert abs(t - model.t) < 1e-2 * t
+    p = softmax(scores / t)
+    for k in range(0, len(rows), 7):
+        lang, score, _ = model.predict(docs.where(F.xxhash64("doc_id", "text", "lang") == rows[k][0]).first()["text"]) if k < 35 else (names[p[k].argmax()], p[k].max(), 0)
+        assert lang == names[p[k].argmax()] and abs(score - p[k].max()) < 1e-3
