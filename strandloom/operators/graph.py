@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.joins import heavy_split_join
-from strandloom.session import materialize
+from strandloom.session import materialize, scratch
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -18,8 +18,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Every round is written to the shared folder, which keeps the lineage short and lets a lost executor be replaced. Self
     loops and null ends are ignored; an empty edge table gives an empty result.
     """
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
-    e = materialize(e.distinct(), "cc-edges")
+    with scratch(edges.sparkSession):
+        return _components(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v"), max_rounds)
+
+
+def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
+    e = materialize(edges.distinct(), "cc-edges")
     maps: list[DataFrame] = []
     for _ in range(max_rounds):
         left = e.count()
@@ -42,12 +46,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not e.isEmpty():
             raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     if not maps:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "cc-out", keep=True)
     out = maps[0].select("node", F.col("up").alias("component"))
-    for m in maps[1:]:
+    for k, m in enumerate(maps[1:], 2):
         step = m.select(F.col("node").alias("component"), F.col("up").alias("next"))
-        out = materialize(_look_up(out, step, "component").select("node", F.coalesce("next", "component").alias("component")), "cc-out")
-    return out
+        out = _look_up(out, step, "component").select("node", F.coalesce("next", "component").alias("component"))
+        out = materialize(out, "cc-out", keep=k == len(maps))
+    return out if len(maps) > 1 else materialize(out, "cc-out", keep=True)
 
 
 def _look_up(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_TMP: dict[str, str] = {}
+#: Tables to remove, one list for each ``scratch`` that is open.
+_OPEN: list[list[str]] = []
 
 
 def local_session(cores: int = 8, partitions: int = 8, name: str = "strandloom") -> SparkSession:
@@ -47,10 +51,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandloom/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes within are removed at the end, but for those written with ``keep``: these, which the
+    result still reads, go with the scratch around this one, or stay."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, tag: str = "t", keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: a lineage cut that outlives any executor."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    levels = _OPEN[:-1] if keep else _OPEN
+    if levels:
+        levels[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
