@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that are turned into Python objects at a time (Spark bounds a batch's bytes, 64 MB by default).
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, and rows of it that are turned into Python objects at a time.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to 8 MB where it is higher (64 MB by default): four copies of
+    a batch, in the JVM and in Python, are held for each task. Results that are computed later need it, so it stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("bB"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def cut(batches, rows: int = BATCH_ROWS):
-    """Arrow batches of at most ``rows`` rows: bounds a Python worker's memory without a setting of the whole session."""
+    """Arrow batches of at most ``rows`` rows."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)

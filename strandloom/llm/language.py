@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import count_table, cut, drawn, held_out, within
+from strandloom.llm.common import bounded_batches, count_table, cut, drawn, held_out, within
 from strandloom.llm.ftrl import Ftrl, softmax, temperature
-from strandloom.session import materialize
+from strandloom.session import materialize, scratch
 
 BITS = 18
 #: The training sample: rows per language, rows in all, and distinct n-grams in all; whole texts of any length.
@@ -118,6 +118,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
     rows by that hash are taken, one at least. A language that all of whose texts fall to the calibration is learned from
     them as well.
     """
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _fitted(docs, per_language, sample_rows, sample_cells, alpha, l1, l2)
+
+
+def _fitted(docs: DataFrame, per_language: int, sample_rows: int, sample_cells: int, alpha: float, l1: float, l2: float) -> LanguageModel:
     labelled = docs.where("lang is not null").where(has_letters(F.col("text")))
     found = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(found)
@@ -163,6 +169,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
 
 def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """``lang_pred``, ``score`` and ``familiar`` (the share of n-grams with a weight) of each row's whole text, beside the columns named in ``carry``, in one narrow pass."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = carry.index("text") if "text" in carry else len(carry)
 

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandloom.llm.common import bounded_batches
 from strandloom.llm.common import cut as cut_batches
 
 WINDOW, SLACK, END_ID = 2048, 8, 1
@@ -235,6 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     or empty text is one end id; rows with equal or null ids are packed as documents of their own; an empty table gives
     an empty result. Other columns are of no account.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

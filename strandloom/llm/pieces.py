@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandloom.llm.common import bounded_batches
 from strandloom.llm.common import cut as cut_batches
 
 MARK = "▁"
@@ -104,6 +105,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     account. Memory is bounded by ``table_rows`` chunks, plus one batch of texts, for each Python worker.
     """
     cols = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path, table_rows)

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import count_table, cut
+from strandloom.llm.common import bounded_batches, count_table, cut
 from strandloom.operators.graph import connected_components
 from strandloom.operators.joins import heavy_split_join
-from strandloom.session import materialize
+from strandloom.session import materialize, scratch
 
 WORDS, PERCENT = 5, 80
 #: Buckets of shingle frequencies (a fixed table; it sets the order of shingles, which affects speed, never the result),
@@ -232,7 +232,12 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     A null text, or one without words, has an empty set and links with nothing; a null doc_id is smaller than none; rows
     with equal doc_id are documents of their own; an empty table gives an empty result; other columns are left out.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words, percent)
+
+
+def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total, shift = np.zeros(1 << BUCKET_BITS, np.int64), np.uint64(64 - BUCKET_BITS)
@@ -246,7 +251,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     limit = max(BLOCK, int(frequency.sum()) >> 16)
     rank = ranks(frequency)
     del frequency
-    rows = materialize(_summaries(docs, rank, limit, words, percent), "shingle-docs")
+    rows = materialize(_summaries(docs, rank, limit, words, percent), "shingle-docs", keep=True)
     sets = rows.where("sig is not null").groupBy("sig", "grp", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")  # node ids hold once they are written
     members = sets.groupBy("grp").agg(F.count("*").alias("members"))
@@ -362,7 +367,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     told = materialize(nodes.join(parts, "node", "left").select("sig", "doc", "copies", F.coalesce("component", "node").alias("part")), "shingle-told")
     least = told.groupBy("part").agg(F.min("doc").alias("component_id"), F.count("*").alias("nodes"))
     told = heavy_split_join(told, least, "part", "nodes", told.count()).select("sig", "copies", "component_id")
-    told = materialize(told, "shingle-told")
+    told = materialize(told, "shingle-told", keep=True)
     total = told.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     out = heavy_split_join(rows.select("doc_id", "n", "sig"), told, "sig", "copies", total)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import cut, drawn, within
+from strandloom.llm.common import bounded_batches, cut, drawn, within
 from strandloom.llm.ftrl import Ftrl
-from strandloom.session import materialize
+from strandloom.session import materialize, scratch
 
 BITS, PREFIX = 18, 4
 #: The training sample: labelled rows that have the last category, as many times those that don't, and distinct features in
@@ -166,7 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     taken, one at least. The chosen ids are bounded, so they are broadcast to read the texts. Folds follow the words, so that
     copies share one; the threshold is that of the least cost out of fold. A label that is null is not learned from.
     """
-    categories = categories or CATEGORIES
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, categories or CATEGORIES, per_value, sample_cells)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], per_value: int, sample_cells: int) -> Chain:
     names = list(categories)
     last = names[-1]
     told = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
@@ -204,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
 
 def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``p_<category>`` of each row's whole text, beside the columns named in ``carry``, in one narrow pass."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     at = carry.index("text") if "text" in carry else len(carry)
     names = [f"p_{c}" for c in chain.categories]

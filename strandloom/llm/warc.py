@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import bounded_batches
 from strandloom.operators.joins import heavy_split_join
-from strandloom.session import materialize, new_path
+from strandloom.session import materialize, new_path, remove, scratch
 
-#: Records in an archive file; bounds what a task holds of one file.
-RECORDS_PER_FILE = 250
+#: Compressed bytes from which on an archive file is full (one record more, at most): bounds what a task holds of one file.
+ARCHIVE_BYTES = 64 << 20
+#: Revisits whose decisions are sent to the workers at once (some 30 bytes each); more files are written in further jobs.
+REVISITS_AT_ONCE = 1_000_000
 MEMBER_BYTES, LEVEL = 15 << 20, 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,35 +112,54 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
         raise ValueError("a record is cut short")
 
 
+def payload_size(http: bytes) -> int:
+    """Bytes of the payload that an HTTP head announces; a revisit has the head alone."""
+    return int(http.split(b"Content-Length: ", 1)[1].split(b"\r\n", 1)[0])
+
+
 def _number(text: str | None) -> int | None:
     return None if text is None else int(text)
 
 
+def archives(rows: Iterator[bytes], archive_bytes: int = ARCHIVE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The members of many records (each without its final NUL) as few large rows, each one archive file."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row) + 1
+        if size >= archive_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\x00".join(held)], pa.binary())], names=["row"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"\x00".join(held)], pa.binary())], names=["row"])
+
+
 def write_rows(rows: DataFrame, path: str) -> None:
-    """Write rows of gzip members (column ``row``, binary) as archive files below ``path``."""
-    rows.selectExpr("cast(`row` as string) as value").write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write rows of gzip members (column ``row``, binary), each as an archive file below ``path``."""
+    rows.selectExpr("cast(`row` as string) as value").write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
-def write_responses(pages: DataFrame, path: str) -> None:
+def write_responses(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write each row (page_id, url, html) as a response record."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
-            out = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                payload = (html or "").encode()
-                out.append(gzip_row(record(page_id, url, payload, len(payload), payload_digest(payload))))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["row"])
+            for page_id, url, html in zip(*b.columns, strict=True):
+                payload = (html.as_py() or "").encode()
+                yield gzip_row(record(page_id.as_py(), url.as_py(), payload, len(payload), payload_digest(payload)))
 
-    write_rows(pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(run, "row binary"), path)
+    rows = pages.selectExpr("cast(page_id as long) as page_id", "url", "html")
+    write_rows(rows.mapInArrow(lambda batches: archives(members_of(batches), archive_bytes), "row binary"), path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def read_heads(spark: SparkSession, path: str) -> DataFrame:
-    """A row of headers for each record below ``path``; the digest is taken anew from the payload where there is one."""
+    """A row of headers for each record below ``path``; a payload that doesn't have its digest is an error. Only headers are
+    shuffled by what follows; contents stay in the task that reads them."""
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,9 +169,8 @@ def read_heads(spark: SparkSession, path: str) -> DataFrame:
                     digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                     if kind == "response" and payload_digest(payload) != digest:
                         raise ValueError(f"{name}: the payload of record {k} doesn't have its digest")
-                    size = int(http.split(b"Content-Length: ", 1)[1].split(b"\r\n", 1)[0])
                     url = head.get("WARC-Target-URI")
-                    rows.append((name, k, _number(head.get("Page-Id")), None if url is None else _unline(url), kind, size, digest, _number(head.get("Refers-To-Page-Id"))))
+                    rows.append((name, k, _number(head.get("Page-Id")), None if url is None else _unline(url), kind, payload_size(http), digest, _number(head.get("Refers-To-Page-Id"))))
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in HEADS.split(", ")])
@@ -157,53 +178,75 @@ def read_heads(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, HEADS)
 
 
-def write_deduplicated(spark: SparkSession, source: str, decisions: DataFrame, target: str) -> None:
-    """Write the archives below ``source`` again with fresh headers: a record with ``revisit`` loses its payload.
+def write_deduplicated(spark: SparkSession, source: str, revisits: DataFrame, target: str, archive_bytes: int = ARCHIVE_BYTES, at_once: int = REVISITS_AT_ONCE) -> None:
+    """Write the archives below ``source`` again with fresh headers: the records in ``revisits`` without a payload.
 
-    ``decisions`` has (path, nth, revisit, refers_to); they are gathered by file, which has no more than
-    ``RECORDS_PER_FILE`` records, and only compressed files are moved.
+    ``revisits`` has (path, nth, refers_to). They are sent to the files, never contents to them: gathered by file and
+    broadcast, so many files at once as have ``at_once`` revisits (or one file, whose records are bounded by its bytes).
+    What the driver lists are files.
     """
-    by_file = decisions.groupBy("path").agg(F.collect_list(F.struct("nth", "revisit", "refers_to")).alias("told"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = revisits.groupBy("path").agg(F.count("*").alias("n")).collect()
+    n_of, chunks, room = {r["path"]: r["n"] for r in counts}, [], 0
+    for name in sorted(r["path"] for r in _files(spark, source).select("path").collect()):
+        room -= n_of.get(name, 0)
+        if room < 0 or not chunks:
+            chunks.append([])
+            room = at_once - n_of.get(name, 0)
+        chunks[-1].append(name)
+    plan = spark.createDataFrame([(name, k) for k, names in enumerate(chunks) for name in names if name in n_of], "path string, chunk int")
+    by_file = revisits.join(F.broadcast(plan), "path").groupBy("chunk", "path").agg(F.collect_list(F.struct("nth", "refers_to")).alias("told"))
+    by_file = materialize(by_file, "warc-told")
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
             for content, told in zip(b.column(0), b.column(1), strict=True):
-                by_nth = {t["nth"]: t for t in told.as_py()}
-                out = []
+                refers = {t["nth"]: t["refers_to"] for t in told.as_py() or ()}
                 for k, (head, http, payload) in enumerate(records(content.as_py())):
-                    t, url = by_nth[k], head.get("WARC-Target-URI")
-                    size, digest = len(payload), head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    out.append(gzip_row(record(_number(head.get("Page-Id")), None if url is None else _unline(url), None if t["revisit"] else payload, size, digest, t["refers_to"], "deduplicated")))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["row"])
-
-    write_rows(_files(spark, source).join(by_file, "path").select("content", "told").mapInArrow(run, "row binary"), target)
-
-
-def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> DataFrame:
-    """Resolve the response records below ``source`` and write deduplicated archives below ``target``; the heads of those.
-
-    Headers are shuffled by payload digest; of equal payloads of at least ``min_bytes`` the record with the largest page_id
-    (ties: the later place) stays a response and the others become revisits of it. The winners are found by a partial
-    maximum, and digests that many records share are joined by a table of bounded size, so none is gathered in a task.
+                    url, digest = head.get("WARC-Target-URI"), head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    yield gzip_row(record(_number(head.get("Page-Id")), None if url is None else _unline(url), None if k in refers else payload, payload_size(http), digest, refers.get(k), "deduplicated"))
+
+    if not chunks:
+        write_rows(spark.createDataFrame([], "row binary"), target)
+    for k, names in enumerate(chunks):
+        told = F.broadcast(by_file.where(F.col("chunk") == k).select("path", "told"))
+        rows = _files(spark, names).join(told, "path", "left").select("content", "told")
+        write_rows(rows.mapInArrow(lambda batches: archives(members_of(batches), archive_bytes), "row binary"), target)
+
+
+def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, at_once: int = REVISITS_AT_ONCE) -> DataFrame:
+    """Resolve the records below ``source`` and write deduplicated archives below ``target``; the heads of those.
+
+    Headers are shuffled by payload digest. Of the responses with equal payloads of at least ``min_bytes`` that with the
+    largest page_id (ties: the later place) stays a response, with its payload, and the others become revisits of it. Revisit
+    records of the source are joined to that response as well, by their digest, and refer to it from then on; where the
+    source has no response with their digest they stay as they are. The winners are found by a partial maximum, and digests
+    that many records share are joined by a table of bounded size, so none is gathered in a task. A record whose compressed
+    members exceed 2 GB, which no Spark row holds, fails.
     """
-    heads = materialize(read_heads(spark, source).drop("url", "refers_to", "record_type"), "warc-heads")
-    place = F.struct("page_id", "path", "nth")
-    best = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(place).alias("best"), F.count("*").alias("n"))
-    best = materialize(best.where("n > 1"), "warc-originals")
-    joined = heavy_split_join(heads, best, "payload_digest", "n", heads.count())
-    revisit = F.coalesce(F.col("best").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("best").eqNullSafe(place), F.lit(False))
-    decisions = joined.select("path", "nth", revisit.alias("revisit"), F.when(revisit, F.col("best.page_id")).alias("refers_to"))
-    write_deduplicated(spark, source, decisions, target)
+    with scratch(spark):
+        heads = materialize(read_heads(spark, source).drop("url"), "warc-heads")
+        place, response = F.struct("page_id", "path", "nth"), F.col("record_type") == "response"
+        best = heads.groupBy("payload_digest").agg(F.max(F.when(response, place)).alias("best"), F.count("*").alias("n"))
+        best = materialize(best.where("n > 1 and best is not null"), "warc-originals")
+        joined = heavy_split_join(heads, best, "payload_digest", "n", heads.count())
+        loses = response & F.col("best").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("best").eqNullSafe(place)
+        refers = F.when(F.col("best").isNotNull(), F.col("best.page_id")).otherwise(F.col("refers_to"))
+        revisits = materialize(joined.where(~response | loses).select("path", "nth", refers.alias("refers_to")), "warc-revisits")
+        write_deduplicated(spark, source, revisits, target, archive_bytes, at_once)
     return read_heads(spark, target)
 
 
-def deduplicate_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def deduplicate_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives, resolve revisits, and return the heads of the final archives.
 
     A null html counts as an empty payload; a null page_id is smaller than any other; rows with equal page_id are records
-    of their own; an empty table gives an empty result; other columns are left out.
+    of their own; an empty table gives an empty result; other columns are left out. The final archives, which the result
+    reads, stay in the shared folder; the first ones are removed.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     raw, final = new_path(spark, "warc-raw"), new_path(spark, "warc-final")
-    write_responses(pages, raw)
-    return resolve_revisits(spark, raw, final, min_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    write_responses(pages, raw, archive_bytes)
+    heads = resolve_revisits(spark, raw, final, min_bytes, archive_bytes)
+    remove(spark, raw)
+    return heads.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

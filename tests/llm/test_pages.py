@@ -49,6 +49,41 @@ def test_revisits(spark):
     assert all(x["record_type"] == "response" for x in warc.deduplicate_pages(pages(spark, rows), min_bytes=10**7).collect())
 
 
+def test_given_revisits_are_resolved(spark, tmp_path):
+    """An archive that already has revisit records keeps the payloads they refer to."""
+    digest = {x: warc.payload_digest(x) for x in (b"aaa", b"bb", b"gone")}
+    data = [
+        warc.record(1, "u1", b"aaa", 3, digest[b"aaa"]), warc.record(9, "u9", None, 3, digest[b"aaa"], 1),
+        warc.record(5, "u5", b"aaa", 3, digest[b"aaa"]), warc.record(2, "u2", b"bb", 2, digest[b"bb"]),
+        warc.record(8, "u8", None, 2, digest[b"bb"], 2), warc.record(7, "u7", None, 4, digest[b"gone"], 70), warc.record(None, None, None, 3, digest[b"aaa"], 1),
+    ]
+    source, target, again = (str(tmp_path / x) for x in ("a", "b", "c"))
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.warc.gz").write_bytes(b"".join(warc.gzip_row(d) + b"\x00" for d in data[:4]))
+    (tmp_path / "a" / "two.warc.gz").write_bytes(b"".join(warc.gzip_row(d) + b"\x00" for d in data[4:]))
+    want = sorted([(1, 3, "revisit", 5), (9, 3, "revisit", 5), (5, 3, "response", None), (2, 2, "response", None), (8, 2, "revisit", 2), (7, 4, "revisit", 70), (-1, 3, "revisit", 5)])
+    for a, b, at_once in ((source, target, 1), (target, again, 10**6)):
+        heads = warc.resolve_revisits(spark, a, b, at_once=at_once).collect()
+        assert sorted((-1 if h["page_id"] is None else h["page_id"], h["payload_bytes"], h["record_type"], h["refers_to"]) for h in heads) == want
+    kept = [payload for f in (tmp_path / "c").glob("*.txt") for _, _, payload in warc.records(f.read_bytes()) if payload]
+    assert sorted(kept) == [b"aaa", b"bb"]
+    low = warc.resolve_revisits(spark, source, str(tmp_path / "d"), min_bytes=3).collect()
+    assert {h["page_id"]: h["record_type"] for h in low if h["payload_bytes"] < 3} == {2: "response", 8: "revisit"}
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, f"u{k}", "".join(chr(r.randrange(33, 1000)) for _ in range(r.choice([10, 5000])))) for k in range(60)] + [(100, "big", "".join(chr(r.randrange(33, 1000)) for _ in range(400_000)))]
+    warc.write_responses(pages(spark, rows).coalesce(2), str(tmp_path / "w"), archive_bytes=20_000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("*.txt"))
+    assert len(sizes) > 5 and sizes[-2] < 40_000 and sizes[-1] > 400_000
+    assert warc.read_heads(spark, str(tmp_path / "w")).count() == 61
+    got = warc.deduplicate_pages(pages(spark, rows + [(200, "x", rows[0][2])]), archive_bytes=20_000).collect()
+    assert len(got) == 62 and sum(x["record_type"] == "revisit" for x in got) == 1
+
+
 def test_empty_tables(spark):
     assert warc.deduplicate_pages(pages(spark, [])).count() == 0
     assert judge_urls(pages(spark, [])).count() == 0
