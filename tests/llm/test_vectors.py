@@ -98,3 +98,32 @@ def test_tree_boxes_are_tight():
     for n, (b, e, left, _) in enumerate(t.nodes):
         assert (bounds[:, n] >= (q @ t.rows[b:e].T).max(axis=1) - 1e-9).all()
         assert left >= 0 or e - b <= 16
+
+
+def test_quantised_estimates_rule_out_no_link():
+    from strandloom.llm.vectors import quantise, undecided
+
+    r = np.random.default_rng(8)
+    x = r.standard_normal((300, 64))
+    x[200:] = x[:100] + 0.04 * r.standard_normal((100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    whole, scale, off = quantise(x @ rotation(64).T)
+    assert whole.dtype == np.int8 and (np.abs(x @ rotation(64).T - whole * scale[:, None]).sum(axis=1) <= off + 1e-5).all()
+    xs, ys = undecided(whole, scale, off, *encode(x), 0.95, True)
+    linked = {int(k) for pair in np.argwhere(np.triu(x @ x.T >= 0.95, 1)) for k in pair}
+    assert linked <= set(xs.tolist()) == set(ys.tolist()) and len(linked) > 150 and len(xs) < 290
+
+
+def test_many_lengths_and_repeated_ids(spark):
+    rows = [(k, [1.0] * (k // 2 + 1)) for k in range(400)]
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in got) == [(k, 1, k - k % 2) for k in range(400)]
+    assert top_k(frame(spark, rows), F.col("vec_id") % 2 == 0).count() == 200
+
+
+def test_query_rows_with_one_id_get_a_list_each(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [0.5, 0.25])]
+    for shard in (2, 8192):
+        got = sorted(map(tuple, top_k(frame(spark, rows), F.col("vec_id") == 50, k=3, shard=shard).collect()))
+        one, two = 256 * 256, 256 * 512
+        assert got == sorted([(50, 1, 1, 3 * one), (50, 2, 2, one), (50, 3, 2, one), (50, 1, 2, two), (50, 2, 2, two), (50, 3, 1, one)])
