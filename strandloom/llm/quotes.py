@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import materialize
+from strandloom.session import materialize, scratch
 
-#: Shorter normalised passages don't identify a message.
-MIN_CHARS = 8
 #: Turns (and threads) in a bucket of the ordered operators: no key, however hot, has more in one window.
 BUCKET = 1024
 #: Blanks and quote marks up to the last mark; one character class, so that no line is too long for the matcher's stack.
@@ -34,7 +32,7 @@ def passages(lines: Column, level: Column) -> Column:
     own = F.transform(lines, lambda x: F.when(level_of(x) == level, F.regexp_replace(x, MARKS, "")).otherwise(""))
     runs = F.split(F.array_join(own, "\n"), r"\n\s*\n")
     units = F.array_distinct(F.transform(F.concat(runs, own), normalised))
-    return F.filter(units, lambda u: F.length(u) >= MIN_CHARS)
+    return F.filter(units, lambda u: u != "")
 
 
 def without_quotes(lines: Column) -> Column:
@@ -107,10 +105,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     replies to the source of its shallowest linked passages, of several to that with the most characters quoted, then the
     later one; without a linked passage it begins a thread (thread is its own turn, depth 0, reply_to null). ``position``
     orders a conversation by thread and turn. Messages with equal conv_id and turn have one place; a null conv_id or turn
-    has none (null thread and position) and links with nothing; passages of fewer than ``MIN_CHARS`` characters are left
-    out, so a message that quotes only such begins a thread; a null text is empty; an empty table gives an empty
-    result; other columns are left out. DataFrame operations only.
+    has none (null thread and position) and links with nothing; a passage of one character counts as any other; a null text
+    is empty; an empty table gives an empty result; other columns are left out. DataFrame operations only.
     """
+    with scratch(messages.sparkSession):
+        return _linked(messages)
+
+
+def _linked(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", lines_of(F.col("text")).alias("lines"))
     quoted = rows.where(F.exists("lines", lambda x: level_of(x) > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     units = quoted.select("conv_id", "turn", "lines", F.explode(F.array_distinct(F.transform("lines", level_of))).alias("level")).where("level > 0")
@@ -137,7 +139,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         known = slots.join(replies, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
         known = known.join(counts, ["conv_id", "turn"], "left").join(hits, ["conv_id", "turn"], "left")
         known = known.select("conv_id", "turn", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-        known = materialize(known, "quote-slots")
+        known = materialize(known, "quote-slots", keep=True)
         facts = known.join(positions(known.select("conv_id", "turn", "thread")).drop("thread"), ["conv_id", "turn"])
     out = body.join(facts, ["conv_id", "turn"], "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_passages", "n_linked", "depth")}
@@ -155,7 +157,7 @@ with recursive m as (
     lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))))) as unit
   from (select conv_id, turn, level, list_transform(list_zip(lines, levels), lambda x: case when x[2] = level then regexp_replace(x[1], '^[ \t>]*>', '') else '' end) as own
     from (select conv_id, turn, lines, levels, unnest(list_distinct(levels)) as level from g))
-), p as (select distinct conv_id, turn, level, md5(unit) as hash, length(unit) as size from u where length(unit) >= 8
+), p as (select distinct conv_id, turn, level, md5(unit) as hash, length(unit) as size from u where unit <> ''
 ), linked as (
   select q.conv_id, q.turn, q.level, q.hash, q.size, max(o.turn) as source
   from p q join p o on q.conv_id = o.conv_id and q.hash = o.hash and o.level = 0 and q.level > 0 and o.turn < q.turn group by all

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.graph import connected_components
-from strandloom.session import materialize
+from strandloom.operators.joins import heavy_split_join
+from strandloom.session import materialize, scratch
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Rules are a literal of the plan, tried on each distinct url; a longer list is refused.
-MAX_RULES = 1000
+#: So many rules are an expression, tried on each url; more are a table that urls are joined to.
+LITERAL_RULES = 32
 #: Character references by name that occur in urls; those by number are all decoded.
 REFERENCES = {
     "amp": "&", "AMP": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "colon": ":", "sol": "/", "quest": "?", "equals": "=", "num": "#", "semi": ";", "period": ".", "percnt": "%", "plus": "+", "comma": ",", "lowbar": "_", "excl": "!", "lpar": "(", "rpar": ")", "ast": "*", "dollar": "$", "commat": "@", "Tab": "\t", "NewLine": "\n",
@@ -40,8 +41,6 @@ def resource_of(url: Column) -> Column:
 
 def best_rule(host: Column, path: Column, rules) -> Column:
     """Struct (length, allow, rule) of the longest rule that fits (of equally long ones an allow), else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     fits = [
         F.when(
             ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p)),
@@ -52,6 +51,39 @@ def best_rule(host: Column, path: Column, rules) -> Column:
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
+def with_rule(rows: DataFrame, rules) -> DataFrame:
+    """``rows`` (with host and path) and ``best``, the struct of ``best_rule``; ``rules`` is a list, or a table of verdict, host, path.
+
+    A long list is a table. Distinct urls are joined to it twice, by the last labels of their host (no more than a rule has)
+    and then by host and the beginnings of the path that are as long as a path of that host's rules; both joins split what
+    many urls share.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= LITERAL_RULES:
+            return rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+        rules = rows.sparkSession.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    rules = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max(F.col("verdict") == "allow").alias("allow"))
+    rules = materialize(rules, "url-rules")
+    labels = rules.agg(F.coalesce(F.max(F.size(F.split("rule_host", r"\."))), F.lit(1)).alias("n")).first()["n"]
+    urls = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("urls")).withColumn("url_id", F.monotonically_increasing_id()), "url-distinct")
+    parts = F.split("host", r"\.")
+    last = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
+    ends = materialize(urls.select("url_id", "path", F.explode(last).alias("rule_host")), "url-ends")
+    sizes = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("sizes"))
+    sizes = sizes.join(ends.groupBy("rule_host").agg(F.count("*").alias("n")), "rule_host")
+    found = heavy_split_join(ends, sizes, "rule_host", "n", ends.count()).where("sizes is not null")
+    found = found.select("url_id", "path", "rule_host", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("size"))
+    found = materialize(found.select("url_id", F.struct("rule_host", F.substring("path", F.lit(1), F.col("size")).alias("rule_path")).alias("rule")), "url-tries")
+    told = rules.select(F.struct("rule_host", "rule_path").alias("rule"), "allow").join(found.groupBy("rule").agg(F.count("*").alias("n")), "rule")
+    found = heavy_split_join(found, told, "rule", "n", found.count()).where("allow is not null")
+    text = F.concat("rule.rule_host", "rule.rule_path")
+    best = found.groupBy("url_id").agg(F.max(F.struct(F.length(text).alias("length"), "allow", text.alias("rule"))).alias("best"))
+    best = urls.join(best, "url_id").select(F.struct("host", "path").alias("url_"), "urls", "best")
+    best = materialize(best, "url-best", keep=True)
+    out = heavy_split_join(rows.withColumn("url_", F.struct("host", "path")), best, "url_", "urls", rows.count())
+    return out.select(*rows.columns, "best")
+
+
 def _unescaped(value: Column) -> Column:
     """An attribute's value with its character references decoded, in one pass: ``&amp;lt;`` is ``&lt;``."""
     parts = F.regexp_extract_all(value, F.lit(r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z]+);|[^&]+|&"), F.lit(0))
@@ -130,11 +162,17 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     source, target urls) and of the links in the html: if any alias has an allow rule, the page is allowed; else if any
     has a block rule, it is blocked; without a rule it is allowed. A null url, or one without ``://``, has an empty host
     and path, no aliases, and is allowed. Repeated rows are judged alike; an empty table gives an empty result; other
-    columns are left out. Everything runs as DataFrame operations; hubs cost a partial minimum per task.
+    columns are left out. ``rules`` is a list of (verdict, host, path) or a table of them. Everything runs as DataFrame
+    operations; hubs cost a partial minimum per task.
     """
+    with scratch(pages.sparkSession):
+        return _judged(pages, rules, redirects, id_col, url_col, html_col)
+
+
+def _judged(pages: DataFrame, rules, redirects: DataFrame | None, id_col: str, url_col: str, html_col: str) -> DataFrame:
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     own = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), resource_of(F.col("url")).alias("resource"))
-    own = own.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    own = with_rule(own, rules)
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(*(_without_dots(resource_of(F.col(c))).alias(c) for c in ("source", "target"))))
@@ -143,9 +181,12 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     if nodes.isEmpty():
         verdict = F.coalesce(told, F.lit("allow"))
         return own.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "resource")
-    rated = nodes.withColumn("best", best_rule(host_of(F.col("node")), path_of(F.col("node")), rules))
-    fate = rated.groupBy("component").agg(F.max(F.col("best.allow")).alias("any_allow"))
-    fate = fate.where("any_allow is not null").select("component", F.when(F.col("any_allow"), "allow").otherwise("block").alias("inherited"))
-    alias = materialize(nodes.join(fate, "component").select(F.col("node").alias("resource"), "inherited"), "url-alias")
+    nodes = nodes.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})
+    rated = materialize(with_rule(nodes, rules).select("node", "component", F.col("best.allow").alias("allows")), "url-rated")
+    fate = rated.groupBy("component").agg(F.max("allows").alias("any_allow"), F.count("*").alias("n")).where("any_allow is not null")
+    alias = heavy_split_join(rated, fate, "component", "n", rated.count()).where("any_allow is not null")
+    alias = alias.select(F.col("node").alias("resource"), F.when(F.col("any_allow"), "allow").otherwise("block").alias("inherited"))
+    alias = materialize(alias.join(own.groupBy("resource").agg(F.count("*").alias("pages_")), "resource"), "url-alias", keep=True)
+    own = heavy_split_join(own, alias, "resource", "pages_", pages.count())
     verdict = F.coalesce(told, F.col("inherited"), F.lit("allow"))
-    return own.join(alias, "resource", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "resource")
+    return own.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "resource")

@@ -139,3 +139,45 @@ def test_links_are_decoded_and_resolved(spark):
     redirects = spark.createDataFrame([("http://d.com/u/../2", "http://evil.net/")], "source string, target string")
     got = {x["page_id"]: x["verdict"] for x in judge_urls(pages(spark, rows), redirects=redirects).collect()}
     assert got[43] == "block" and got[42] == "allow"
+
+
+def judge(url, rules):
+    """(rule, verdict) of a url by its own rules, in plain Python."""
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+        host = "".join(c.lower() if c.isascii() else c for c in rest[:end])
+        path = rest[end:].split("?")[0].split("#")[0]
+    fits = [(len(h + p), v == "allow", h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (None, "allow") if not fits else (max(fits)[2], "allow" if max(fits)[1] else "block")
+
+
+def test_a_table_of_rules_is_as_a_list(spark, monkeypatch):
+    import random
+
+    from strandloom.llm import urlrules
+
+    r = random.Random(4)
+    labels = ["com", "net", "a", "b", "", "x-y"]
+    host = lambda: ".".join(r.choice(labels) for _ in range(r.randrange(1, 5)))
+    path = lambda: "".join(r.choice(["/", "d", "/en", "é"]) for _ in range(r.randrange(0, 5)))
+    rules = [(r.choice(["allow", "block"]), host(), path()) for _ in range(60)]
+    urls = [(k, f"http://{host().upper()}{path()}{r.choice(['', '?q', '#f'])}", None) for k in range(300)] + [(900, None, None), (901, "none", None), (902, "http://", None), (903, "http://A.com/d", None), (903, "http://A.com/d", None)]
+    urls += [(1000 + k, "http://hot.b.net/en/d", None) for k in range(300)]
+    want = sorted((k, *judge(u, rules)) for k, u, _ in urls)
+    for limit in (32, 10**6):
+        monkeypatch.setattr(urlrules, "LITERAL_RULES", limit)
+        got = judge_urls(pages(spark, urls), rules).collect()
+        assert sorted(((x["page_id"], x["rule"], x["verdict"]) for x in got), key=str) == sorted(want, key=str)
+
+
+def test_many_rules_and_a_hub(spark):
+    rules = spark.range(0, 100_000).selectExpr("case when id % 2 = 0 then 'block' else 'allow' end as verdict", "concat('h', id, '.net') as host", "concat('/', id % 7, '/') as path")
+    rows = spark.range(0, 3000).selectExpr("id as page_id", "concat('http://www.h', id, '.net/', id % 7, '/x') as url", "cast(null as string) as html")
+    got = judge_urls(rows, rules).selectExpr("count_if(verdict = 'block') as b", "count_if(rule is null) as n").first()
+    assert tuple(got) == (1500, 0)
+    hub = spark.range(0, 20_000).selectExpr("concat('http://s', id, '.com/') as source", "'http://hub.org/' as target")
+    rows = spark.range(0, 50).selectExpr("id as page_id", "concat('http://s', id * 400, '.com/') as url", "cast(null as string) as html")
+    got = judge_urls(rows, [("block", "s19999.com", "/")], hub).groupBy("verdict").count().collect()
+    assert [tuple(x) for x in got] == [("block", 50)]

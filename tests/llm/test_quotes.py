@@ -35,3 +35,9 @@ def test_small_buckets_give_the_same(spark, monkeypatch):
     a = sorted(map(str, quotes.link_quotes(df).collect()))
     monkeypatch.setattr(quotes, "BUCKET", 3)
     assert sorted(map(str, quotes.link_quotes(df).collect())) == a
+
+
+def test_short_passages_link(spark):
+    rows = [(1, 0, "a", "Shall we?"), (1, 1, "b", "Yes."), (1, 2, "a", "> Yes.\n\n42"), (1, 3, "b", "> 42\nwhy"), (1, 4, "a", "> 好\nwho said so"), (1, 5, "b", "x")]
+    got = {x["turn"]: (x["reply_to"], x["n_passages"], x["n_linked"]) for x in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0, 0), 1: (None, 0, 0), 2: (1, 1, 1), 3: (2, 1, 1), 4: (None, 1, 0), 5: (None, 0, 0)}
