@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.joins import heavy_split_join
+from strandloom.operators.joins import heavy_from, heavy_split_join
 from strandloom.session import materialize, scratch
 
 
@@ -56,9 +56,12 @@ def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
 
 
 def _look_up(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
-    """Left join of ``rows`` (a written table) with ``unique`` by ``key``, whose rows are counted first."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
-    return heavy_split_join(rows, unique.join(counts, key), key, "_rows", rows.count())
+    """Left join of ``rows`` (a written table) with ``unique`` by ``key``; heavy keys, of which there are few, are counted first."""
+    total = rows.count()
+    heavy = rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= heavy_from(total))
+    if total < heavy_from(total) or heavy.isEmpty():
+        return rows.join(unique, key, "left")
+    return heavy_split_join(rows, unique.join(F.broadcast(heavy), key, "left").fillna(0, "_rows"), key, "_rows", total)
 
 
 def orient_components(edges: DataFrame, parts: DataFrame) -> DataFrame:

@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key counts as heavy from this share of all rows, and this many; so there are at most ``1 / HEAVY_SHARE`` heavy keys.
-HEAVY_SHARE, HEAVY_ROWS = 1 / 1024, 256
+HEAVY_SHARE, HEAVY_ROWS = 1 / 1024, 4096
+
+
+def heavy_from(total: int, share: float = HEAVY_SHARE) -> int:
+    """The number of rows from which on a key counts as heavy in a table of ``total`` rows."""
+    return max(HEAVY_ROWS, int(total * share))
 
 
 def heavy_split_join(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int, share: float = HEAVY_SHARE) -> DataFrame:
     """Left join of ``rows`` with ``unique`` (one row per key; ``weight`` is the number of ``rows`` with that key).
 
-    Keys with at least ``share * total`` rows go to a broadcast table, which can't have more than ``1 / share`` rows; no
-    key of the rest, which is joined by a shuffle, has more rows than that share (or ``HEAVY_ROWS``; a table with fewer is
-    joined as it is). Null keys match nothing and stay.
+    Keys with at least ``share * total`` (and ``HEAVY_ROWS``) rows go to a broadcast table, which can't have more than
+    ``1 / share`` rows; no key of the rest, which is joined by a shuffle, has as many. Where there is no such key, which is
+    looked up first, it is one plain join. Null keys match nothing and stay.
     """
-    floor = max(HEAVY_ROWS, int(total * share))
+    floor = heavy_from(total, share)
     cols = [c for c in unique.columns if c != key]
-    if total < floor:
+    if total < floor or unique.where(F.col(weight) >= floor).isEmpty():
         return rows.join(unique, key, "left").select(*rows.columns, *cols)
     heavy = unique.where(F.col(weight) >= floor).withColumn("_hit", F.lit(True))
     light = unique.where(F.col(weight) < floor)
