@@ -296,12 +296,12 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
             known.append(materialize(_sets(docs, need, words), "shingle-data"))
         return _verified(pairs, reduce(DataFrame.union, known), percent) if known else pairs
 
-    def state(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def state(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Component of every node, and the first node and least and greatest component of every group's members."""
-        parts = connected_components(links)
-        named = nodes.join(parts, "node", "left").select("g", "node", "n", "bits", F.coalesce("component", "node").alias("part"))
+        named = nodes.join(parts, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("part"))
         named = materialize(named, "shingle-parts")
-        return named, named.groupBy("g").agg(F.min("node").alias("head"), F.min("part").alias("low"), F.max("part").alias("high"))
+        spans = named.groupBy("g").agg(F.min("node").alias("head"), F.min("part").alias("low"), F.max("part").alias("high"))
+        return named, materialize(spans, "shingle-spans")
 
     def open_lists(spans: DataFrame) -> DataFrame:
         """Long lists whose groups aren't in one component yet."""
@@ -336,34 +336,39 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links = materialize(verified(pairs.unionByName(inside)), "shingle-links")
 
     # Round 2: neighbours of different components in the long lists that are still open.
-    named, spans = state(links)
+    parts = connected_components(links)
+    named, spans = state(parts)
     apart = ~((F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2")))
     pairs = along(open_lists(spans), ["low", "n", "g"], "head", "n", "low", "high").where(apart).select("head", "head2").distinct()
     pairs = facing(firsts.select("head", "n", "bits"), pairs, "head", "head2").where(_alike(percent))
-    links = materialize(links.unionByName(verified(pairs.select(F.col("head").alias("a"), F.col("head2").alias("b")))), "shingle-links")
+    more = materialize(verified(pairs.select(F.col("head").alias("a"), F.col("head2").alias("b"))), "shingle-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        parts = connected_components(links)
+        named, spans = state(parts)
 
     # What is left, by members: every pair of different components that can be similar enough by its place in a long list
     # (or in a group, which counts as a list at place 0) and by its bitmaps; and the same for pairs of short lists.
-    named, spans = state(links)
-    spans = materialize(spans.drop("head"), "shingle-spans")
     opened = open_lists(spans).select("shingle", F.lit(0).alias("kind"), "g", "pos")
     opened = opened.unionByName(spans.where("low <> high").select(F.col("g").alias("shingle"), F.lit(1).alias("kind"), "g", F.lit(0).alias("pos")))
-    opened = opened.join(named, "g").select(F.struct("kind", "shingle").alias("list"), "pos", "n", "bits", "node", "part")
+    opened = opened.join(named, "g").select(F.struct("kind", "shingle").alias("list"), "pos", "n", "node", "part")
     opened = materialize(opened, "shingle-open")
     cells = opened.groupBy("list").agg(F.count("*").alias("k"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").drop("l", "h")
     opened = heavy_split_join(opened, cells, "list", "k", opened.count()).where("k is not null")
     opened = opened.withColumn("cells", F.ceil(F.col("k") / CELL)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
-    opened = materialize(opened.drop("k"), "shingle-cells")
+    opened = materialize(opened.drop("k").join(nodes.select("node", "bits"), "node"), "shingle-cells")
     one = opened.withColumns({"x": F.col("own"), "y": F.explode(F.sequence("own", F.col("cells") - 1))}).drop("cells", "own")
     two = opened.withColumns({"x": F.explode(F.sequence(F.lit(0).cast("long"), "own")), "y": F.col("own")})
     two = two.select("list", "x", "y", *(F.col(c).alias(f"{c}2") for c in ("pos", "n", "bits", "node", "part")))
     can = ((F.col("x") < F.col("y")) | (F.col("node") < F.col("node2"))) & (F.col("part") != F.col("part2")) & _near(percent) & _alike(percent)
     pairs = one.join(two, ["list", "x", "y"]).where(can).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     rest = facing(spans, short, "g", "g2").where(apart).select("g", "g2")
-    rest = facing(named, rest, "g", "g2").where((F.col("part") != F.col("part2")) & _alike(percent))
-    links = links.unionByName(verified(pairs.unionByName(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")))))
+    rest = facing(named, rest, "g", "g2").where(F.col("part") != F.col("part2")).select("node", "node2")
+    rest = facing(nodes.select("node", "n", "bits"), rest, "node", "node2").where(_alike(percent))
+    more = materialize(verified(pairs.unionByName(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")))), "shingle-links")
 
-    parts = connected_components(materialize(links, "shingle-links"))
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more))
     told = materialize(nodes.join(parts, "node", "left").select("sig", "doc", "copies", F.coalesce("component", "node").alias("part")), "shingle-told")
     least = told.groupBy("part").agg(F.min("doc").alias("component_id"), F.count("*").alias("nodes"))
     told = heavy_split_join(told, least, "part", "nodes", told.count()).select("sig", "copies", "component_id")
