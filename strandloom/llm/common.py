@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, and rows of it that are turned into Python objects at a time.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on the bytes of an Arrow batch to 8 MB where it is higher (64 MB by default): four copies of
+    """Lower the session's bound on the bytes of an Arrow batch to 2 MB where it is higher (64 MB by default): four copies of
     a batch, in the JVM and in Python, are held for each task. Results that are computed later need it, so it stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(key).rstrip("bB"))

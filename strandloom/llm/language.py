@@ -133,8 +133,9 @@ def _fitted(docs: DataFrame, per_language: int, sample_rows: int, sample_cells:
     df = document_frequencies(labelled, bits)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     want = max(1, min(per_language, sample_rows // len(languages)))
-    rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("draw"))
-    rows = drawn(rows, "lang", dict.fromkeys(languages, want), found).select("lang", "draw", "text")
+    rows = labelled.select("lang", F.xxhash64("doc_id", "text", "lang").alias("draw"), "text")
+    chosen = drawn(rows.select("lang", "draw"), "lang", dict.fromkeys(languages, want), found)
+    rows = rows.join(F.broadcast(chosen), ["lang", "draw"]).dropDuplicates(["lang", "draw"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 100):

@@ -288,13 +288,14 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a < b) of nodes; sets that no earlier round needed are fetched."""
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "shingle-pairs")
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "shingle-asked")
+        need = asked
         for s in known:
-            need = need.join(s, "node", "left_anti")
+            need = need.join(s.select("node"), "node", "left_anti")
         need = materialize(nodes.join(need, "node").select("node", "sig", "doc"), "shingle-need")
         if not need.isEmpty():
             known.append(materialize(_sets(docs, need, words), "shingle-data"))
-        return _verified(pairs, reduce(DataFrame.union, known), percent) if known else pairs
+        return _verified(pairs, reduce(DataFrame.union, known).join(asked, "node", "left_semi"), percent) if known else pairs
 
     def state(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Component of every node, and the first node and least and greatest component of every group's members."""
