@@ -59,14 +59,14 @@ def locate_insert(long: str, length: int, start: int | None, lcp: int | None, md
     def fits(k: int) -> bool:
         return 0 <= k and k + length <= len(long) and (md5 is None or hashlib.md5(long[k : k + length].encode()).hexdigest()[: len(md5)] == md5)
 
-    for k, name in ((start, "coordinate"), (lcp, "prefix")):
+    for k, name in ((start, "coord"), (lcp, "lcp")):
         if k is not None and fits(k):
             return k, name
     if md5 is None:
         return None, "unresolved"
     anchor = next((k for k in (start, lcp) if k is not None), 0)
     found = min((k for k in range(len(long) - length + 1) if fits(k)), key=lambda k: (abs(k - anchor), k), default=None)
-    return found, "unresolved" if found is None else "anchored"
+    return found, "unresolved" if found is None else "repaired"
 
 
 def duplication(insert: str, left: str, right: str, least: int = 3, most: int = 30) -> dict | None:
@@ -201,6 +201,35 @@ def tolerant_decompose(short: str, long: str, min_cov: float = 0.85, min_ident:
     return {"ok": ok, "coverage": coverage, "identity": ident, "insert_len": big[0], "lcp": big[1], "insert_start": big[2], "second": second, "lost": sum(deletions), "ambiguity": left + right}
 
 
+def compare_alleles(long: str, short: str, start: int, end: int) -> dict:
+    """Evidence for a called insert ``[start, end)`` of ``long`` over ``short``, by global alignment (2, -3, -12, -0.1).
+
+    The dominant gap is the one with the largest overlap with the call, then the longest. Identity is over aligned letters;
+    the aligned letters on either side of the call are counted too.
+    """
+    if not 0 <= start < end <= len(long) or not short:
+        raise ValueError("invalid call or empty sequence")
+    blocks = global_alignment(long, short, 2, -3, -12, -0.1)
+    edges = [0, *(i + n for i, _, n in blocks)]
+    gaps = [(max(0, min(b, end) - max(a, start)), b - a, a, b) for a, b in zip(edges, [*(i for i, _, _ in blocks), len(long)], strict=True) if b > a]
+    columns = sum(n for _, _, n in blocks)
+    same = sum(p == q for i, j, n in blocks for p, q in zip(long[i : i + n].upper(), short[j : j + n].upper(), strict=True))
+    left = sum(max(0, min(i + n, start) - i) for i, _, n in blocks)
+    right = sum(max(0, i + n - max(i, end)) for i, _, n in blocks)
+    overlap, size, a, b = max(gaps, default=(0, 0, start, start))
+    coverage, identity = overlap / (end - start), same / columns if columns else 0.0
+    fine = coverage >= 0.90 and identity >= 0.95 and min(left, right) >= 200
+    return {
+        "status": "supported_long_short" if fine else "no_dominant_long_short_support", "gap": size, "coverage": round(coverage, 6), "identity": round(identity, 6),
+        "left": left, "right": right, "start_shift": a - start if size else None, "end_shift": b - end if size else None,
+    }
+
+
+def fixed(x: float | None, digits: int) -> str:
+    """``x`` with so many digits after the point (exact ties to even), ``NA`` for null or NaN."""
+    return "NA" if x is None or x != x else f"{x:.{digits}f}"
+
+
 def local_alignment(a: str, b: str, match: float = 2, mismatch: float = -1, gap_open: float = -12, gap_extend: float = -0.4) -> dict:
     """Identity and coverage (of the shorter sequence) of a best local alignment with affine gaps."""
     x, y = (np.frombuffer(s.upper().encode("utf-32-le"), np.uint32) for s in (a, b))

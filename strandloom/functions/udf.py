@@ -95,7 +95,18 @@ def orf_scan(s: pd.Series) -> pd.Series:
     return pd.Series(_rows(k.open_reading_frames, s), dtype=object)
 
 
-FUNCTIONS = {f.__name__: f for f in (insert_key, slide, decompose, tsd, outward_repeat, inverted_repeat, project_boundary, tolerant_decompose, best_orientation, locate_insert, orf_scan)}
+@lazy("status string, gap int, coverage double, identity double, left int, right int, start_shift int, end_shift int")
+def compare_alleles(long: pd.Series, short: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+    cols = ["status", "gap", "coverage", "identity", "left", "right", "start_shift", "end_shift"]
+    return pd.DataFrame([x or {} for x in _rows(lambda x, y, a, b: k.compare_alleles(x, y, int(a), int(b)), long, short, start, end)], columns=cols, dtype=object)
+
+
+@lazy("string")
+def fixed(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([k.fixed(v, int(n)) for v, n in zip(x.tolist(), digits.tolist(), strict=True)], dtype=object)
+
+
+FUNCTIONS = {f.__name__: f for f in (insert_key, slide, decompose, tsd, outward_repeat, inverted_repeat, project_boundary, tolerant_decompose, best_orientation, locate_insert, orf_scan, compare_alleles, fixed)}
 
 
 def register(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -174,3 +174,38 @@ def allele_assignment(best: Column, other: Column, a: Column, b: Column, near: f
     """the better allele, or the sorted pair where two are too close to tell."""
     pair = F.array_sort(F.array(a, b))
     return F.when(best < near, "none").when(best - other < margin, F.concat(F.lit("ambiguous_between_"), F.array_join(pair, "_"))).otherwise(a)
+
+
+def disagreement(identity: Column, coverage: Column, n_alternatives: Column, mode_fraction: Column, ambiguity: Column, rc_length: Column, length: Column, min_identity: float = 0.95, min_coverage: float = 0.90) -> Column:
+    """PF12: why two lengths of an insert differ; ``rc_length`` is that of the reverse complement, negative if it has none."""
+    ambiguous = "Layer2_repeat_ambiguous"
+    return cascade(
+        ((identity >= min_identity) & (coverage >= min_coverage), "ArmB_extent_imprecise"),
+        ((n_alternatives > 1) & (mode_fraction < 0.75), "different_long_alleles"),
+        ((ambiguity > 5) | ((rc_length >= 0) & (rc_length != length)), ambiguous),
+        ((identity < 0.80) | (coverage < 0.50), "true_decomposition_error"),
+        default=ambiguous,
+    )
+
+
+def size_gate(sizes: DataFrame, by: list[str], size: str, least: int = 100_000, share: float = 0.5) -> DataFrame:
+    """PF16: ``sizes`` with (median, floor, passes): at least ``share`` of the panel's upper median, and ``least``."""
+    from strandloom.operators.stats import ranked_quantile
+
+    mid = ranked_quantile(sizes, by, size, 0.5, "median")
+    floor = F.greatest(F.lit(least), F.floor(share * F.col("median"))).cast("long")
+    return sizes.join(mid, by).withColumn("floor", floor).withColumn("passes", F.col(size) >= F.col("floor"))
+
+
+def supported_allele(votes: DataFrame, by: list[str], allele: str = "allele_assignment", status: str = "allele_match_status") -> DataFrame:
+    """(by, allele, n, votes, agreement) of the confident votes; ties go to the smaller allele.
+
+    Unresolved, empty and ambiguous votes don't count; a group without any other has ``.`` and ``none``.
+    """
+    counts = (F.col(status) != "unresolved") & ~F.col(allele).isin(".", "") & ~F.startswith(F.col(allele), F.lit("ambiguous_between"))
+    told = votes.where(counts).groupBy(*by, allele).agg(F.count("*").alias("n"))
+    best = told.groupBy(*by).agg(F.min_by(F.struct(F.col(allele).alias("a"), "n"), F.struct(-F.col("n"), F.col(allele))).alias("b"), F.sum("n").alias("votes"))
+    out = votes.select(*by).distinct().join(best, by, "left")
+    n, all_ = F.coalesce("b.n", F.lit(0)), F.coalesce("votes", F.lit(0))
+    agreement = F.when(all_ == 0, "none").when(n == all_, "unanimous").when(2 * n > all_, "majority").otherwise("split")
+    return out.select(*by, F.coalesce("b.a", F.lit(".")).alias("allele"), n.cast("long").alias("n"), all_.cast("long").alias("votes"), agreement.alias("agreement"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
-from strandloom.operators import gates, stats
+from strandloom.operators import gates, ranking, stats
 from strandloom.queries._tables import Book, load, long, r6
 
 book = Book()
@@ -322,8 +322,7 @@ def q_first_per_group(spark, d):
 def q_dense_ids(spark, d):
     """Ids by rank of sorted distinct keys."""
     n = load(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    no = F.row_number().over(Window.orderBy("p_brand", "p_type")).cast("long")
-    return n.withColumn("event_no", no).withColumn("event_id", F.concat(F.lit("E"), F.lpad(F.col("event_no").cast("string"), 6, "0")))
+    return ranking.dense_ids(n, ["p_brand", "p_type"], "event_no").withColumn("event_id", F.concat(F.lit("E"), F.lpad(F.col("event_no").cast("string"), 6, "0")))
 
 
 @book("select p_brand, p_partkey, p_size from (select *, count(*) over (partition by p_brand, p_type) as n from part) where n >= 5")

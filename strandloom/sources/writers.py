@@ -36,11 +36,13 @@ def params(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, title: str, most: int = 1000) -> str:
-    """SK5: an HTML table of a small result, escaped."""
-    rows = df.limit(most).collect()
+    """SK5: an HTML table of a small result, escaped; it says so where there are more than ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    more = f"<p>More than {most} rows; the first {most} are shown.</p>" if len(rows) > most else ""
+    rows = rows[:most]
     cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
     body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
-    return f"<h1>{html.escape(title)}</h1><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>{body}</table>"
+    return f"<h1>{html.escape(title)}</h1><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>{body}</table>{more}"
 
 
 def write_fan_out(df: DataFrame, path: str, keys: list[str], value: str) -> None:

@@ -111,9 +111,9 @@ def test_locate_insert_never_gives_an_unconfirmed_place():
 
     long = "ACGTTTGACCAGT"
     md5 = hashlib.md5(b"GACC").hexdigest()[:12]
-    assert k.locate_insert(long, 4, 6, None, md5) == (6, "coordinate")
-    assert k.locate_insert(long, 4, 1, 6, md5) == (6, "prefix")
-    assert k.locate_insert(long, 4, 1, 2, md5) == (6, "anchored")
+    assert k.locate_insert(long, 4, 6, None, md5) == (6, "coord")
+    assert k.locate_insert(long, 4, 1, 6, md5) == (6, "lcp")
+    assert k.locate_insert(long, 4, 1, 2, md5) == (6, "repaired")
     assert k.locate_insert(long, 4, None, None, "0" * 12) == (None, "unresolved")
 
 
@@ -136,3 +136,21 @@ def test_open_reading_frames():
     gene = "ATG" + "GCA" * 40 + "TAA"
     assert {"start": 2, "end": 2 + len(gene), "strand": "+", "aa": 41} in k.open_reading_frames("CC" + gene + "CC")
     assert any(o["strand"] == "-" and o["aa"] == 41 for o in k.open_reading_frames(k.rc("CC" + gene + "CC")))
+
+
+def test_compare_alleles_finds_a_planted_insert():
+    r = random.Random(12)
+    short = "".join(r.choice("ACGT") for _ in range(500))
+    insert = "".join(r.choice("ACGT") for _ in range(120))
+    long = short[:240] + insert + short[240:]
+    got = k.compare_alleles(long, short, 240, 360)
+    assert got["status"] == "supported_long_short" and got["gap"] == 120 and got["coverage"] > 0.95 and abs(got["start_shift"]) <= 5
+    assert k.compare_alleles(long, short, 20, 140)["status"] == "no_dominant_long_short_support"
+    other = "".join(r.choice("ACGT") for _ in range(620))
+    assert k.compare_alleles(other, short, 240, 360)["status"] == "no_dominant_long_short_support"
+    same = k.compare_alleles(short, short, 100, 200)
+    assert (same["gap"], same["start_shift"], same["identity"], same["left"], same["right"]) == (0, None, 1.0, 100, 300)
+
+
+def test_fixed_numbers():
+    assert [k.fixed(x, 2) for x in (2.675, 0.125, 1.0, None, float("nan"), -0.005)] == ["2.67", "0.12", "1.00", "NA", "NA", "-0.01"]

@@ -35,7 +35,8 @@ def test_orientation_marks_conflicts(spark):
     assert got[1] == ("+", False) and got[2] == ("-", False) and got[3] == ("+", False) and got[10][1] and got[12][1]
 
 
-def test_heavy_split_join(spark):
+def test_heavy_split_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HEAVY_ROWS", 1)
     rows = spark.createDataFrame([(k % 5 if k % 3 else 99, k) for k in range(900)] + [(None, -1)], "k long, v long")
     unique = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
     a = joins.heavy_split_join(rows, unique, "k", "n", 901, share=0.25)
@@ -43,6 +44,49 @@ def test_heavy_split_join(spark):
     assert sorted(map(str, a.select("k", "v", "n", "m").collect())) == sorted(map(str, b.select("k", "v", "n", "m").collect()))
 
 
+def test_components_of_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HEAVY_ROWS", 1)
+    r = random.Random(6)
+    edges = [(0, k) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(60)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)]
+    low = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {x["node"]: x["component"] for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in low.items() if any(a != b and k in (a, b) for a, b in edges)}
+
+
+def test_scratch_removes_what_is_not_kept(spark, monkeypatch):
+    import os
+
+    from strandloom import session
+
+    paths = []
+    new = session.new_path
+    monkeypatch.setattr(session, "new_path", lambda s, t: paths.append(new(s, t)) or paths[-1])
+    with session.scratch(spark):
+        session.materialize(spark.range(3), "a")
+        with session.scratch(spark):
+            session.materialize(spark.range(3), "b")
+            inner = session.materialize(spark.range(3), "c", keep=True)
+        assert inner.count() == 3
+        kept = session.materialize(spark.range(4), "d", keep=True)
+    assert kept.count() == 4
+    assert [os.path.exists(p.removeprefix("file:")) for p in paths] == [False, False, False, True]
+
+
+def test_size_gate_and_votes(spark):
+    from strandloom.operators import verdicts
+
+    sizes = spark.createDataFrame([("p", x) for x in (90_000, 2_000_000, 3_000_000, 900_000, 4_000_000, 5_000_000)] + [("q", 50_000)], "panel string, size long")
+    got = sorted((x["panel"], x["size"], x["median"], x["floor"], x["passes"]) for x in verdicts.size_gate(sizes, ["panel"], "size").collect())
+    assert [x[4] for x in got] == [False, False, True, True, True, True, False] and {x[2:4] for x in got} == {(3_000_000, 1_500_000), (50_000, 100_000)}
+    votes = [("1", "A"), ("1", "A"), ("2", "A"), ("2", "B"), ("2", "B"), ("3", "A"), ("3", "B"), ("4", "ambiguous_between_A_B"), ("4", "."), ("1", "")]
+    df = spark.createDataFrame([(*x, "ok") for x in votes] + [("3", "A", "unresolved"), ("5", "A", "unresolved")], "k string, allele_assignment string, allele_match_status string")
+    got = {x["k"]: tuple(x)[1:] for x in verdicts.supported_allele(df, ["k"]).collect()}
+    assert got == {"1": ("A", 2, 2, "unanimous"), "2": ("B", 2, 3, "majority"), "3": ("A", 1, 2, "split"), "4": (".", 0, 0, "none"), "5": (".", 0, 0, "none")}
+
+
 def test_dense_ids(spark):
     keys = [(f"k{k:04d}",) for k in random.Random(1).sample(range(5000), 700)]
     got = {x["k"]: x["no"] for x in ranking.dense_ids(spark.createDataFrame(keys, "k string"), ["k"]).collect()}
