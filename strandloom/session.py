@@ -70,13 +70,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, tag: str = "t", keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: a lineage cut that outlives any executor."""
+    """Write ``df`` as Parquet in the shared folder and read it again: a lineage cut that outlives any executor.
+
+    Zstandard works on streams; the default codec holds whole pages, which long values make large, outside the heap.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     levels = _OPEN[:-1] if keep else _OPEN
     if levels:
         levels[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
