@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, and rows of it that are turned into Python objects at a time.
@@ -36,27 +38,28 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
 
 
 def drawn(rows: DataFrame, key: str, wanted: dict, found: dict) -> DataFrame:
-    """About ``wanted[v]`` rows of each value v of ``key`` (never fewer where there are as many), by their smallest ``draw``.
+    """``wanted[v]`` rows of each value v of ``key`` and a few more (none where there are fewer), by their smallest ``draw``.
 
     ``draw`` is a 64-bit hash, so length and order have no part in it. ``found`` is the number of rows of each value: a share
-    of twice what is wanted is cut off first, by a broadcast table of the values, and only those few are ranked.
+    of a little over what is wanted is cut off, by a broadcast table of the values; nothing is ranked or gathered.
     """
-    spark = rows.sparkSession
     space, low = 1 << 64, -(1 << 63)
-    ends = [(v, int(n), min((1 << 63) - 1, low + space * (2 * int(n) + 100) // max(1, found[v]))) for v, n in wanted.items() if found.get(v)]
-    kind = rows.schema[key].dataType.simpleString()
-    plan = spark.createDataFrame(ends, f"`{key}` {kind}, wanted long, last long")
-    near = rows.join(F.broadcast(plan), key).where(F.col("draw") <= F.col("last"))
-    order = Window.partitionBy(key).orderBy("draw")
-    near = near.dropDuplicates([key, "draw"]).withColumn("rank", F.row_number().over(order))
-    return near.where(F.col("rank") <= F.col("wanted")).drop("wanted", "last", "rank")
+    more = {v: int(n) + 4 * math.isqrt(int(n)) + 10 for v, n in wanted.items()}
+    ends = [(v, min((1 << 63) - 1, low + space * n // max(1, found[v]))) for v, n in more.items() if found.get(v)]
+    plan = rows.sparkSession.createDataFrame(ends, f"`{key}` {rows.schema[key].dataType.simpleString()}, last long")
+    near = rows.join(F.broadcast(plan), key).where(F.col("draw") <= F.col("last")).drop("last")
+    return near.dropDuplicates([key, "draw"])
 
 
 def within(sample: DataFrame, key: str, cells: int) -> DataFrame:
-    """The rows of a bounded written table, by ``draw``, whose ``cells`` add up to at most that for each value of ``key``; one at least."""
-    order = Window.partitionBy(key).orderBy("draw")
-    told = sample.withColumns({"rank": F.row_number().over(order), "sum": F.sum("cells").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return told.where((F.col("sum") <= cells) | (F.col("rank") == 1)).drop("rank", "sum")
+    """The rows of a bounded written table that keep the ``cells`` of each value of ``key`` to about that number, by ``draw``.
+
+    Of a value with more, the first rows by ``draw`` stay, as large a part of their range as the cells allow, and one at least.
+    """
+    told = sample.groupBy(key).agg(F.sum("cells").alias("all_"), F.min("draw").alias("first_"), F.max("draw").alias("last_"))
+    far = lambda c: F.col(c).cast("double") - F.col("first_").cast("double")
+    stays = (F.col("all_") <= cells) | (far("draw") * F.col("all_") <= far("last_") * cells)
+    return sample.join(F.broadcast(told), key).where(stays).drop("all_", "first_", "last_")  # told: one row for each value of a sample
 
 
 #: Entries of a counter table that travel in one row.
