@@ -288,6 +288,8 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a < b) of nodes; sets that no earlier round needed are fetched."""
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "shingle-pairs")
+        if pairs.isEmpty():
+            return pairs
         asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "shingle-asked")
         need = asked
         for s in known:
@@ -336,17 +338,18 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     inside = inside.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = materialize(verified(pairs.unionByName(inside)), "shingle-links")
 
-    # Round 2: neighbours of different components in the long lists that are still open.
+    # Round 2: neighbours of different components in the long lists, if there are any, that are still open.
     parts = connected_components(links)
     named, spans = state(parts)
     apart = ~((F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2")))
-    pairs = along(open_lists(spans), ["low", "n", "g"], "head", "n", "low", "high").where(apart).select("head", "head2").distinct()
-    pairs = facing(firsts.select("head", "n", "bits"), pairs, "head", "head2").where(_alike(percent))
-    more = materialize(verified(pairs.select(F.col("head").alias("a"), F.col("head2").alias("b"))), "shingle-links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        parts = connected_components(links)
-        named, spans = state(parts)
+    if not long_lists.isEmpty():
+        pairs = along(open_lists(spans), ["low", "n", "g"], "head", "n", "low", "high").where(apart).select("head", "head2").distinct()
+        pairs = facing(firsts.select("head", "n", "bits"), pairs, "head", "head2").where(_alike(percent))
+        more = materialize(verified(pairs.select(F.col("head").alias("a"), F.col("head2").alias("b"))), "shingle-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = connected_components(links)
+            named, spans = state(parts)
 
     # What is left, by members: every pair of different components that can be similar enough by its place in a long list
     # (or in a group, which counts as a list at place 0) and by its bitmaps; and the same for pairs of short lists.
@@ -354,19 +357,22 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     opened = opened.unionByName(spans.where("low <> high").select(F.col("g").alias("shingle"), F.lit(1).alias("kind"), "g", F.lit(0).alias("pos")))
     opened = opened.join(named, "g").select(F.struct("kind", "shingle").alias("list"), "pos", "n", "node", "part")
     opened = materialize(opened, "shingle-open")
-    cells = opened.groupBy("list").agg(F.count("*").alias("k"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").drop("l", "h")
-    opened = heavy_split_join(opened, cells, "list", "k", opened.count()).where("k is not null")
-    opened = opened.withColumn("cells", F.ceil(F.col("k") / CELL)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
-    opened = materialize(opened.drop("k").join(nodes.select("node", "bits"), "node"), "shingle-cells")
-    one = opened.withColumns({"x": F.col("own"), "y": F.explode(F.sequence("own", F.col("cells") - 1))}).drop("cells", "own")
-    two = opened.withColumns({"x": F.explode(F.sequence(F.lit(0).cast("long"), "own")), "y": F.col("own")})
-    two = two.select("list", "x", "y", *(F.col(c).alias(f"{c}2") for c in ("pos", "n", "bits", "node", "part")))
-    can = ((F.col("x") < F.col("y")) | (F.col("node") < F.col("node2"))) & (F.col("part") != F.col("part2")) & _near(percent) & _alike(percent)
-    pairs = one.join(two, ["list", "x", "y"]).where(can).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     rest = facing(spans, short, "g", "g2").where(apart).select("g", "g2")
     rest = facing(named, rest, "g", "g2").where(F.col("part") != F.col("part2")).select("node", "node2")
     rest = facing(nodes.select("node", "n", "bits"), rest, "node", "node2").where(_alike(percent))
-    more = materialize(verified(pairs.unionByName(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")))), "shingle-links")
+    pairs = rest.select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    if not opened.isEmpty():
+        cells = opened.groupBy("list").agg(F.count("*").alias("k"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").drop("l", "h")
+        opened = heavy_split_join(opened, cells, "list", "k", opened.count()).where("k is not null")
+        opened = opened.withColumn("cells", F.ceil(F.col("k") / CELL)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
+        opened = materialize(opened.drop("k").join(nodes.select("node", "bits"), "node"), "shingle-cells")
+        one = opened.withColumns({"x": F.col("own"), "y": F.explode(F.sequence("own", F.col("cells") - 1))}).drop("cells", "own")
+        two = opened.withColumns({"x": F.explode(F.sequence(F.lit(0).cast("long"), "own")), "y": F.col("own")})
+        two = two.select("list", "x", "y", *(F.col(c).alias(f"{c}2") for c in ("pos", "n", "bits", "node", "part")))
+        can = ((F.col("x") < F.col("y")) | (F.col("node") < F.col("node2"))) & (F.col("part") != F.col("part2")) & _near(percent) & _alike(percent)
+        met = one.join(two, ["list", "x", "y"]).where(can).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+        pairs = pairs.unionByName(met)
+    more = materialize(verified(pairs), "shingle-links")
 
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
