@@ -75,11 +75,41 @@ def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strandloom.llm.multiindex import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents where 5 divides the checksum of the id, the text is tampered with before the proof is folded."""
+    from pyspark.sql import functions as F
+
+    from strandloom.llm.merkle import fold, manifest, proof_digest, record_digest
+
+    docs = table(spark, sf_dir, "documents")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, record_digest(*others, lower))
+    rows = manifest(docs, record_digest(*others, F.col("text")), keep={"seen": tampered})
+    rows = rows.withColumn("folded_root", fold(F.coalesce("seen", "leaf"), F.col("before"), F.col("after")))
+    proof = proof_digest(F.col("before"), F.col("after"))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quotes, op2_warc_revisits, op3_vector_links, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules, op9_top_k, op10_shingle_components)}
+    return {f.__name__: f for f in (op1_quotes, op2_warc_revisits, op3_vector_links, op4_toxicity_chain, op5_language, op6_pack_best_fit, op7_pieces, op8_url_rules, op9_top_k, op10_shingle_components, op11_centroids, op12_multi_index, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     from strandloom.llm import quotes, sql
 
-    return {"op1_quotes": quotes.SQL, "op2_warc_revisits": sql.WARC_REVISITS, "op3_vector_links": sql.VECTOR_LINKS, "op8_url_rules": sql.URL_RULES, "op9_top_k": sql.TOP_K, "op10_shingle_components": sql.SHINGLES}
+    return {"op1_quotes": quotes.SQL, "op2_warc_revisits": sql.WARC_REVISITS, "op3_vector_links": sql.VECTOR_LINKS, "op8_url_rules": sql.URL_RULES, "op9_top_k": sql.TOP_K, "op10_shingle_components": sql.SHINGLES, "op11_centroids": sql.CENTROIDS, "op13_merkle_manifest": sql.MERKLE}

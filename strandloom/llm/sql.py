@@ -85,3 +85,63 @@ with recursive w as (
 ), c as (select node, min(seen) as component_id from r group by 1)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id from documents d join c on c.node = d.doc_id left join n on n.doc_id = d.doc_id
 """
+
+#: op11: ten rounds and the last assignment, one after the other.
+_FAR = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _lloyd(rounds: int) -> str:
+    ctes = [
+        """v as materialized (select vec_id, list_transform(cast(embedding as double[]), lambda x: cast(floor(x * 1024) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "c0 as materialized (select cast(row_number() over (order by sha256('3:' || vec_id)) - 1 as integer) as j, v as c from v qualify j < 8)",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(f"a{k} as materialized (select vec_id, v, (f).j as j, cast((f).d as bigint) as d from (select vec_id, any_value(v) as v, min({{'d': {_FAR}, 'j': j}}) as f from v cross join c{k} group by vec_id))")
+        if k < rounds:
+            ctes.append(
+                f"""c{k + 1} as materialized (select c{k}.j, coalesce(m.c, c{k}.c) as c from c{k} left join (select j, list(cast((s - ((s % n) + n) % n) // n as bigint) order by d) as c from
+  (select j, d, sum(x) as s, count(*) as n from (select j, unnest(v) as x, unnest(range(64)) as d from a{k}) group by j, d) group by j) m on m.j = c{k}.j)"""
+            )
+    return "with " + ",\n".join(ctes) + f"""
+select vec_id, a.j as cluster, d as distance, cast(sum(d) over (partition by a.j) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on c.j = a.j"""
+
+
+CENTROIDS = _lloyd(10)
+
+#: op13: the levels one after the other (16^6 leaves a source and as many sources; more would need more levels). A node that
+#: is its tree's only one stays as it is on all further levels.
+_FIELD = "case when {0} is null then '-' else strlen(cast({0} as varchar)) || ':' || cast({0} as varchar) end"
+_CRC = "xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: list_reduce(list_prepend(xor(a, b), [cast(0 as bigint) for _ in range(8)]), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)))"
+
+
+def _merkle(depth: int) -> str:
+    leaf = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+    ctes = [
+        f"""d as materialized (select doc_id, source, {leaf.format(_FIELD.format("text"))} as leaf, case when doc_id is not null and {_CRC} % 5 = 0 then {leaf.format(_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} end as seen from documents)""",
+        "t as materialized (select source, row_number() over (order by source nulls first) - 1 as tree from (select distinct source from d))",
+        """p0 as materialized (select doc_id, leaf, t.tree, row_number() over (partition by t.tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by t.tree) as size, leaf as own, coalesce(seen, leaf) as cur, '' as proof from d join t on t.source is not distinct from d.source)""",
+    ]
+
+    def climb(p: str, n: int) -> str:
+        ctes.append(f"r{n} as materialized (select tree, pos // 16 as run, list(own order by pos) as ds from (select distinct tree, pos, own from {p} where size > 1) group by all)")
+        before, after = "array_to_string(ds[:pos % 16], '')", "array_to_string(ds[pos % 16 + 2:], '')"
+        ctes.append(
+            f"""p{n + 1} as materialized (select doc_id, leaf, p.tree, case when size > 1 then pos // 16 else pos end as pos, case when size > 1 then (size + 15) // 16 else size end as size,
+  case when size > 1 then sha256(array_to_string(ds, '')) else own end as own, case when size > 1 then sha256({before} || cur || {after}) else cur end as cur, case when size > 1 then proof || {before} || {after} else proof end as proof{", subroot" if n >= depth else ""}
+  from {p} p left join r{n} r on p.size > 1 and r.tree = p.tree and r.run = p.pos // 16)"""
+        )
+        return f"p{n + 1}"
+
+    p = "p0"
+    for n in range(depth):
+        p = climb(p, n)
+    ctes.append(f"p{depth}x as materialized (select * exclude (tree, pos, size), 0 as tree, tree as pos, (select count(*) from t) as size, own as subroot from {p})")
+    p = f"p{depth}x"
+    for n in range(depth, 2 * depth):
+        p = climb(p, n)
+    return "with " + ",\n".join(ctes) + f"\nselect doc_id, leaf, subroot, own as root, sha256(proof) as proof_sha256, cur as folded_root, cur = own as verified from {p}"
+
+
+MERKLE = _merkle(6)
