@@ -26,16 +26,16 @@ with recursive v as (
 select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join c on c.node = e.vec_id
 """
 
-#: op9: every query against every row.
+#: op9: every query against every other row.
 TOP_K = """
-with v as (
-  select vec_id, list_transform(cast(embedding as double[]), lambda x: cast(floor(x * 256) as bigint)) as e from embeddings
+with v as materialized (
+  select row_number() over () as n, vec_id, list_transform(cast(embedding as double[]), lambda x: cast(floor(x * 256) as bigint)) as e from embeddings
   where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id and len(q.e) = len(v.e)
+  select q.n as q, q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v on q.vec_id % 50 = 0 and v.n <> q.n and len(q.e) = len(v.e)
 )
-select query_id, cast(r as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 5
+select query_id, cast(r as integer) as rank, vec_id, score from (select *, row_number() over (partition by q order by score desc, vec_id) as r from s) where r <= 5
 """
 
 #: op8: rules, links in the html, and components by a recursive query. Links that are relative to a folder, which the

@@ -244,11 +244,12 @@ class KdTree:
     ``bounds(q)`` is the largest inner product that a row in each node's box can have with each query.
     """
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF, numbers: np.ndarray | None = None):
         self.nodes: list[tuple[int, int, int, int]] = []  # begin, end, left child, right child
         order = np.arange(len(ids))
         self._split(rows, order, 0, len(ids), leaf)
         self.ids, self.rows = ids[order], rows[order]
+        self.numbers = (ids if numbers is None else numbers)[order]
         self.low = np.array([self.rows[b:e].min(axis=0) for b, e, _, _ in self.nodes])
         self.high = np.array([self.rows[b:e].max(axis=0) for b, e, _, _ in self.nodes])
         self.least = [int(self.ids[b:e].min()) for b, e, _, _ in self.nodes]
@@ -268,8 +269,9 @@ class KdTree:
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
     def search(self, own: int, q: np.ndarray, bounds: np.ndarray, k: int, best: list[tuple]) -> list[tuple]:
-        """The k best (score, -id) of this tree and of ``best``; ties go to the smaller id. Best-first: the node with the
-        largest bound is opened next, and the search ends when no bound can reach the kth score any more."""
+        """The k best (score, -id) of this tree, but for the row numbered ``own``, and of ``best``; ties go to the smaller id.
+        Best-first: the node with the largest bound is opened next, and the search ends when no bound can reach the kth
+        score any more."""
         best = sorted(best, reverse=True)[:k]
         heap = [(-bounds[0], 0)]
         while heap:
@@ -283,7 +285,8 @@ class KdTree:
                 score = self.rows[begin:end] @ q
                 hit = np.flatnonzero(score >= best[-1][0]) if len(best) == k else np.arange(end - begin)
                 if len(hit):
-                    more = [(s, -i) for s, i in zip(score[hit].tolist(), self.ids[begin + hit].tolist(), strict=True) if i != own]
+                    found = zip(score[hit].tolist(), self.ids[begin + hit].tolist(), self.numbers[begin + hit].tolist(), strict=True)
+                    more = [(s, -i) for s, i, n in found if n != own]
                     best = heapq.nlargest(k, best + more)
             else:
                 for child in (left, right):
@@ -312,12 +315,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): the k largest integer inner products of each row chosen by ``queries``.
 
     Components count as ``floor(256 * x)``. A query first searches the tree of its own shard; its kth score then goes with
-    it to all other shards, where it cuts off boxes from the start. Scores are exact (they must fit 64 bits) and ties go to
-    the smaller vec_id. Rows are numbered in a written copy, so two query rows with one id get a list each, and a repeated
-    candidate is listed as often as it occurs.
-    Vectors that are null or empty or hold null or non-finite components take no part; vectors of different length aren't
-    compared; rows with the query's own id aren't candidates; an empty table gives an empty result; other columns are left
-    out.
+    it to all other shards, where it cuts off boxes from the start. Scores are exact, and ties go to the smaller vec_id.
+    Rows are numbered in a written copy, so two query rows with one id get a list each, only the query's own row is no
+    candidate of it, and a repeated candidate is listed as often as it occurs.
+    Vectors that are null or empty or hold null or non-finite components take no part, nor do rows without an id; vectors of
+    different length aren't compared; an empty table gives an empty result; other columns are left out. Components so large
+    that a score might not fit 64 bits raise a ValueError.
     """
     with scratch(vectors.sparkSession):
         return _best(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("asks")), k, shard, block)
@@ -327,6 +330,10 @@ def _best(rows: DataFrame, k: int, shard: int, block: int) -> DataFrame:
     rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("long")).alias("v"), F.coalesce("asks", F.lit(False)).alias("asks"), F.size("v").alias("dim"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
+    size = F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))
+    most = rows.agg(F.max(size * size * F.col("dim")).alias("most")).first()["most"]
+    if most is not None and most >= 2.0**63:
+        raise ValueError(f"scores of up to {most:.3g} don't fit 64 bits")
     plan = rows.groupBy("dim").agg(F.count("*").alias("rows_"), F.count_if("asks").alias("asked"))
     plan = plan.select("dim", "rows_", F.ceil(F.col("rows_") / shard).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("asked") / block)).cast("int").alias("blocks"))
     rows = heavy_split_join(rows, plan, "dim", "rows_", rows.count())
@@ -335,22 +342,22 @@ def _best(rows: DataFrame, k: int, shard: int, block: int) -> DataFrame:
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.array(pdf["v"].to_list(), np.int64)
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("dim", "shard", "shards", "blocks")} | {"ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [_packed(data)]})
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("dim", "shard", "shards", "blocks")} | {"ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "numbers": [pdf["row"].to_numpy(np.int64).tobytes()], "data": [_packed(data)]})
 
-    shape = "dim int, shard int, shards int, blocks int, ids binary, data binary"
+    shape = "dim int, shard int, shards int, blocks int, ids binary, numbers binary, data binary"
     trees = materialize(rows.groupBy("dim", "shard").applyInPandas(gather, shape), "topk-shards")
     asked = rows.where("asks").select("dim", "shard", "shards", "block", "row", "vec_id", "v")
     found = "dim int, shards int, block int, home int, row long, query_id long, v binary, best array<struct<score:long,vec_id:long>>"
 
     def tree_of(t: pd.DataFrame, dim: int) -> KdTree:
-        return KdTree(np.frombuffer(t["ids"].iloc[0], np.int64), _numbers(_unpacked(t["data"].iloc[0], dim)))
+        return KdTree(np.frombuffer(t["ids"].iloc[0], np.int64), _numbers(_unpacked(t["data"].iloc[0], dim)), numbers=np.frombuffer(t["numbers"].iloc[0], np.int64))
 
-    def answer(tree: KdTree, q: np.ndarray, ids: list[int], seeds: list[list]) -> list[list[dict]]:
+    def answer(tree: KdTree, q: np.ndarray, numbers: list[int], seeds: list[list]) -> list[list[dict]]:
         q = q.astype(tree.rows.dtype) if tree.rows.dtype == np.int64 or float(np.abs(q).max()) * float(np.abs(tree.rows).max()) * q.shape[1] < 2**52 else q
         if q.dtype != tree.rows.dtype:
             tree.rows, tree.low, tree.high = (a.astype(np.int64) for a in (tree.rows, tree.low, tree.high))
         bounds, out = tree.bounds(q), []
-        for r, own in enumerate(ids):
+        for r, own in enumerate(numbers):
             best = tree.search(own, q[r], bounds[r], k, seeds[r])
             out.append([{"score": int(s), "vec_id": -int(i)} for s, i in best])
         return out
@@ -359,7 +366,7 @@ def _best(rows: DataFrame, k: int, shard: int, block: int) -> DataFrame:
         if not len(pdf):
             return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in found.split(", ")})
         q = np.array(pdf["v"].to_list(), np.int64)
-        best = answer(tree_of(t, int(key[0])), q, pdf["vec_id"].tolist(), [[]] * len(pdf))
+        best = answer(tree_of(t, int(key[0])), q, pdf["row"].tolist(), [[]] * len(pdf))
         return pd.DataFrame({"dim": pdf["dim"], "shards": pdf["shards"], "block": pdf["block"], "home": pdf["shard"], "row": pdf["row"], "query_id": pdf["vec_id"], "v": [_packed(x) for x in q], "best": best})
 
     home = materialize(trees.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInPandas(at_home, found), "topk-home")
@@ -370,7 +377,7 @@ def _best(rows: DataFrame, k: int, shard: int, block: int) -> DataFrame:
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("row", "query_id", "best")})
         dim = int(key[0])
         floor = [[(b["score"], -b["vec_id"]) for b in best] for best in pdf["best"]]
-        got = answer(tree_of(t, dim), np.vstack([_unpacked(v, dim) for v in pdf["v"]]), pdf["query_id"].tolist(), floor)
+        got = answer(tree_of(t, dim), np.vstack([_unpacked(v, dim) for v in pdf["v"]]), pdf["row"].tolist(), floor)
         return pd.DataFrame({"row": pdf["row"], "query_id": pdf["query_id"], "best": [_without(b, seed) for b, seed in zip(got, floor, strict=True)]})
 
     wide = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

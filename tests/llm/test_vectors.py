@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm.vectors import KdTree, encode, near_duplicates, rotation, top_k
@@ -127,3 +128,17 @@ def test_query_rows_with_one_id_get_a_list_each(spark):
         got = sorted(map(tuple, top_k(frame(spark, rows), F.col("vec_id") == 50, k=3, shard=shard).collect()))
         one, two = 256 * 256, 256 * 512
         assert got == sorted([(50, 1, 1, 3 * one), (50, 2, 2, one), (50, 3, 2, one), (50, 1, 2, two), (50, 2, 2, two), (50, 3, 1, one)])
+
+
+def test_only_the_own_row_is_left_out(spark):
+    rows = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (7, [0.5, 0.0]), (8, [0.25, 1.0])]
+    one = 256 * 256
+    for shard in (1, 2, 8192):
+        got = sorted(map(tuple, top_k(frame(spark, rows), F.col("vec_id") == 50, shard=shard).collect()))
+        assert got == sorted([(50, 1, 50, 2 * one), (50, 2, 7, one // 2), (50, 3, 8, one // 4), (50, 1, 50, 2 * one), (50, 2, 7, one), (50, 3, 8, one // 2)])
+
+
+def test_scores_that_do_not_fit_raise(spark):
+    rows = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k(rows, F.col("vec_id") == 0)
