@@ -24,8 +24,6 @@ BITS = 18
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CELLS = 1000, 8000, 16_000_000
 #: One in so many texts of the sample (by a hash of its n-grams, so that copies stay together) is kept for the temperature.
 CALIBRATE = 5
-#: Weights at most: with more than 128 languages n-grams are hashed into fewer buckets.
-WEIGHTS = 1 << 25
 SCALE, EPOCHS = 100.0, 3
 #: A text is in no learned language if its share of familiar n-grams is below this part of what the least familiar hundredth of
 #: the sample has.
@@ -74,9 +72,9 @@ class LanguageModel:
     """Languages, weights of the hashed n-grams that have any (idf folded in), biases and temperature; and ``floor``, the
     share of familiar n-grams below which a text is in none of the languages."""
 
-    def __init__(self, languages: list[str], bits: int, at: np.ndarray, weights: np.ndarray, bias: np.ndarray, t: float, floor: float = 0.0):
-        self.languages, self.shift, self.bias, self.t, self.floor = languages, np.uint32(BITS - bits), bias, t, floor
-        self.place = np.zeros(1 << bits, np.int32)  # row 0 is for n-grams without a weight
+    def __init__(self, languages: list[str], at: np.ndarray, weights: np.ndarray, bias: np.ndarray, t: float, floor: float = 0.0):
+        self.languages, self.bias, self.t, self.floor = languages, bias, t, floor
+        self.place = np.zeros(1 << BITS, np.int32)  # row 0 is for n-grams without a weight
         self.place[at] = np.arange(1, len(at) + 1)
         self.weights = np.vstack([np.zeros((1, len(bias))), weights]).astype(np.float32)
 
@@ -85,28 +83,27 @@ class LanguageModel:
         g = grams(text)
         if g is None or not self.languages:
             return UNKNOWN, 0.0, 0.0
-        place = self.place[g >> self.shift]
+        place = self.place[g]
         p = softmax((self.weights[place].sum(axis=0, dtype=np.float64) / len(g) + self.bias) / self.t)
         k = int(p.argmax())
         return self.languages[k], float(p[k]), float(np.count_nonzero(place) / len(g))
 
 
-def document_frequencies(docs: DataFrame, bits: int = BITS) -> np.ndarray:
+def document_frequencies(docs: DataFrame) -> np.ndarray:
     """Number of documents (column ``text``) with each hashed n-gram, and as the last entry the number with any."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((1 << bits) + 1, np.int64)
+        total = np.zeros((1 << BITS) + 1, np.int64)
         for b in cut(batches):
             for text in b.column(0).to_pylist():
                 g = grams(text)
                 if g is not None:
-                    g >>= np.uint32(BITS - bits)
                     g.sort()
                     total[g[np.flatnonzero(np.diff(g, prepend=np.uint32(0xFFFFFFFF)))]] += 1
                     total[-1] += 1
         return total
 
-    return count_table(docs.select("text"), counts, (1 << bits) + 1)
+    return count_table(docs.select("text"), counts, (1 << BITS) + 1)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, sample_cells: int = SAMPLE_CELLS, alpha: float = 0.5, l1: float = 0.02, l2: float = 1e-3) -> LanguageModel:
@@ -114,7 +111,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
 
     Every language that a text with letters is labelled with is learned. The sample has ``per_language`` rows for each (fewer
     if that is over ``sample_rows`` in all, one at least), those with the smallest hashes of id, text and label: whole texts,
-    whatever their length. Of a language whose sample has more than its part of ``sample_cells`` distinct n-grams, the first
+    whatever their length. The fit holds 16 bytes for each language and n-gram that occurs in the sample (of 2^18 hashes), so 4 MB a language at
+    most, whatever the table's size. Of a language whose sample has more than its part of ``sample_cells`` distinct n-grams, the first
     rows by that hash are taken, one at least. A language that all of whose texts fall to the calibration is learned from
     them as well.
     """
@@ -128,9 +126,8 @@ def _fitted(docs: DataFrame, per_language: int, sample_rows: int, sample_cells:
     found = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(found)
     if not languages:
-        return LanguageModel([], BITS, np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(1), 1.0)
-    bits = min(BITS, (max(256, WEIGHTS // len(languages))).bit_length() - 1)
-    df = document_frequencies(labelled, bits)
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(1), 1.0)
+    df = document_frequencies(labelled)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     want = max(1, min(per_language, sample_rows // len(languages)))
     rows = labelled.select("lang", F.xxhash64("doc_id", "text", "lang").alias("draw"), "text")
@@ -142,7 +139,7 @@ def _fitted(docs: DataFrame, per_language: int, sample_rows: int, sample_cells:
             out = []
             for text in b.column(2).to_pylist():
                 g = grams(text)
-                at, n = np.unique(g >> np.uint32(BITS - bits), return_counts=True) if g is not None else (np.zeros(0), np.zeros(0))
+                at, n = np.unique(g, return_counts=True) if g is not None else (np.zeros(0), np.zeros(0))
                 out.append((len(at), at.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()))
             cols = [b.column(0), b.column(1), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary())))]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "draw", "cells", "at", "n"])
@@ -158,14 +155,14 @@ def _fitted(docs: DataFrame, per_language: int, sample_rows: int, sample_cells:
     x, number = [x[k] for k in order], {v: k for k, v in enumerate(languages)}
     y, kept = np.array([number[told[k][1]] for k in order], np.int64), np.array([told[k][2] for k in order], bool)
     kept &= np.isin(y, y[~kept])  # a language's only rows are learned from
-    model = Ftrl(1 << bits, max(2, len(languages)), alpha=alpha, l1=l1, l2=l2)
+    model = Ftrl(1 << BITS, max(2, len(languages)), alpha=alpha, l1=l1, l2=l2)
     model.fit([f for f, k in zip(x, kept, strict=True) if not k], y[~kept], EPOCHS)
     t = temperature(model.scores([f for f, k in zip(x, kept, strict=True) if k]), y[kept]) if kept.any() else 1.0
     at, w, bias = model.sparse()
-    known, k = np.zeros(1 << bits, bool), len(languages)
+    known, k = np.zeros(1 << BITS, bool), len(languages)
     known[at] = True
     shares = [float((v / idf[a])[known[a]].sum() / SCALE) for a, v in x]
-    return LanguageModel(languages, bits, at, (SCALE * idf[at, None] * w)[:, :k], bias[:k], t, FLOOR * float(np.quantile(shares, LEAST)))
+    return LanguageModel(languages, at, (SCALE * idf[at, None] * w)[:, :k], bias[:k], t, FLOOR * float(np.quantile(shares, LEAST)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -187,7 +187,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], per_
             out = []
             for text in b.column(1).to_pylist():
                 at, n = np.unique(np.array([k for w in words(text) for k in buckets(w)], np.uint32), return_counts=True)
-                out.append((len(at), at.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes()))
+                out.append((len(at), at.tobytes(), n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()))
             cols = [b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))), *b.columns[2:]]
             yield pa.RecordBatch.from_arrays(cols, names=["draw", "cells", "at", "n", *names])
 
@@ -196,7 +196,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], per_
     taken = within(sample.select(last, "draw", "cells"), last, sample_cells // 2).select("draw")
     x, y = [], []
     for r in sample.join(taken, "draw").coalesce(4).toLocalIterator():  # the driver holds one form of a row at a time
-        at, n = np.frombuffer(r["at"], np.uint32).astype(np.int32), np.frombuffer(r["n"], np.uint8)
+        at = np.frombuffer(r["at"], np.uint32).astype(np.int32)
+        n = np.frombuffer(r["n"], f"<u{max(1, len(r['n']) // max(1, r['cells']))}")  # as few bytes a count as the row needs
         x.append((r["draw"], zlib.crc32(r["at"]), at, n))
         y.append([-1 if r[c] is None else r[c] for c in names])
     if not x:

@@ -161,7 +161,7 @@ def brute_pipeline(rows, labels, model, chain, tokenizer):
 
     def known(text):
         g = grams(text)
-        return g is not None and sum(model.place[k >> model.shift] > 0 for k in g.tolist()) >= model.floor * len(g)
+        return g is not None and sum(model.place[k] > 0 for k in g.tolist()) >= model.floor * len(g)
 
     def toxic(text):
         z = []
@@ -339,3 +339,71 @@ def test_language_model_against_plain_numpy(spark):
     for k in range(0, len(rows), 7):
         lang, score, _ = model.predict(docs.where(F.xxhash64("doc_id", "text", "lang") == rows[k][0]).first()["text"]) if k < 35 else (names[p[k].argmax()], p[k].max(), 0)
         assert lang == names[p[k].argmax()] and abs(score - p[k].max()) < 1e-3
+
+
+def plain_ftrl(x, y, epochs, l1, l2=1e-3, alpha=0.5):
+    """Weights of dense rows (the bias last) by the update rule, coordinate by coordinate."""
+    z, n = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    rows, order = np.hstack([x, np.ones((len(x), 1))]), np.random.default_rng(7)
+    weights = lambda: -np.sign(z) * np.maximum(np.abs(z) - l1, 0) / ((1 + np.sqrt(n)) / alpha + l2)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            w = weights()
+            g = rows[k] * (1 / (1 + np.exp(-np.clip(rows[k] @ w, -40, 40))) - y[k])
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / alpha * w
+            n += g * g
+    return weights()
+
+
+def test_chain_training_against_plain_numpy():
+    """The whole chain again: both models, the out-of-fold probabilities that feed the second, and the threshold."""
+    r = np.random.default_rng(12)
+    n, words = 240, 30
+    x = (r.random((n, words)) < 0.2).astype(float)
+    low = (x[:, 0] + x[:, 1] > 0).astype(int)
+    toxic = ((x[:, 2] + low + (r.random(n) < 0.1)) >= 2).astype(int)
+    low[::17] = -1  # unknown
+    fold = r.integers(0, 50, n)
+    rows = [(int(f), np.flatnonzero(v).astype(np.int32), v[v > 0]) for f, v in zip(fold, x, strict=True)]
+    chain = toxicity.train(rows, np.stack([low, toxic], axis=1), ["low", "toxic"], l1=0.3, cost=(2.0, 5.0))
+    extra = np.zeros((n, 0))
+    for c, y in enumerate((low, toxic)):
+        both = np.hstack([x, extra])
+        know = y >= 0
+        w = plain_ftrl(both[know], y[know], toxicity.EPOCHS, 0.3)
+        assert np.allclose(chain.weights[:words, c], w[:words], atol=1e-6) and np.isclose(chain.bias[c], w[-1], atol=1e-6)
+        assert np.allclose(chain.links[c, :c], w[words:-1], atol=1e-6)
+        p = np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            out = fold % toxicity.FOLDS == f
+            w = plain_ftrl(both[know & ~out], y[know & ~out], toxicity.EPOCHS, 0.3)
+            p[out] = 1 / (1 + np.exp(-np.clip(np.hstack([both, np.ones((n, 1))])[out] @ w, -40, 40)))
+        extra = np.hstack([extra, toxicity.log_odds(p)[:, None].astype(np.float32)])
+    cost = lambda t: 2.0 * ((p >= t) & (toxic == 0)).sum() + 5.0 * ((p < t) & (toxic == 1)).sum()
+    assert cost(chain.threshold) <= min(cost(t) for t in [0.0, *np.unique(p), 1.1]) + 1e-9
+    assert abs(chain.links[1, 0]) > 0
+
+
+def test_many_words_of_one_beginning_count_alike(spark):
+    """A bucket with 600 words counts 600 in training, as in prediction."""
+    texts = [(k, " ".join(f"urls{i}x{k}" for i in range(600)) + (" vermin" if k % 2 else "")) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    seen, train = [], toxicity.train
+    try:
+        toxicity.train = lambda rows, *a, **kw: seen.extend(rows) or train(rows, *a, **kw)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = train
+    place = toxicity.buckets("urls0x0")[1]
+    want = {k: sum(b == place for w in toxicity.words(t) for b in toxicity.buckets(w)) for k, t in texts}
+    assert sorted(int(n[list(at).index(place)]) for _, at, n in seen) == sorted(want.values()) and min(want.values()) >= 600
+
+
+def test_a_rare_label_more_changes_no_bucket(spark):
+    """300 languages are learned with the same hashes as three."""
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}q{chr(0x100 + k)}" for k in range(300)]
+    texts = [(k * 10 + j, " ".join([words[k]] * (5 + j)), f"l{k:03d}") for k in range(300) for j in range(3)]
+    model = language.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300 and len(model.place) == 1 << language.BITS
+    assert np.mean([model.predict(t)[0] == lang for _, t, lang in texts]) > 0.9
