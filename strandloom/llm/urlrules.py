@@ -99,12 +99,38 @@ def _unescaped(value: Column) -> Column:
     return F.trim(F.array_join(F.transform(parts, one), ""))
 
 
-def _refresh_url(tag: Column) -> Column:
-    """The url of a refresh: in the decoded content it goes on to its closing quote, or to a blank; ``;`` is part of it."""
-    content = F.concat(*(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))", k) for k in (1, 2, 3)))
-    content = _unescaped(content)
+def _attributes(tag: Column) -> Column:
+    """The attributes of a tag as (name, value) in order, names in lower case; quoted values are taken whole."""
+    found = F.regexp_extract_all(tag, F.lit(r"(?is)[^\s\"'<>/=]++\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"), F.lit(0))
+    value = r"(?is)=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))"
+    return F.transform(found, lambda a: F.struct(F.lower(F.trim(F.substring_index(a, "=", 1))).alias("name"), F.concat(*(F.regexp_extract(a, value, k) for k in (1, 2, 3))).alias("value")))
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """The decoded value of the first attribute of that name; null without it."""
+    return _unescaped(F.get(F.filter(attributes, lambda a: a["name"] == name), F.lit(0))["value"])
+
+
+def _refresh_url(content: Column) -> Column:
+    """The url in the content of a refresh: it goes on to its closing quote, or to a blank; ``;`` is part of it."""
     url = F.trim(F.concat(*(F.regexp_extract(content, r"(?is)\burl\s*=\s*(?:\"\s*([^\"]*)|'\s*([^']*)|([^\"'\s]+))", k) for k in (1, 2, 3))))
-    return F.when(url != "", url).otherwise(_unescaped(F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)))
+    return F.when(url != "", url)
+
+
+def page_links(html: Column) -> Column:
+    """(base, hrefs) of a page: where its relative links begin (null: at its url), and its canonical links and refreshes.
+
+    Comments, and what scripts, styles, text areas, titles and templates hold, are no part of the page's tags; one that isn't
+    closed goes on to the end. A ``>`` within quotes doesn't end a tag, and an attribute counts by its own name only.
+    """
+    hidden = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript|xmp)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+    tags = F.regexp_extract_all(F.regexp_replace(html, hidden, " "), F.lit(r"(?is)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
+    told = F.transform(tags, lambda t: F.struct(F.lower(F.substring(t, 2, 4)).alias("tag"), _attributes(t).alias("at")))
+    canonical = F.filter(told, lambda t: (t["tag"] == "link") & F.array_contains(F.split(F.lower(F.coalesce(_attribute(t["at"], "rel"), F.lit(""))), r"\s+"), "canonical"))
+    refresh = F.filter(told, lambda t: (t["tag"] == "meta") & (F.lower(_attribute(t["at"], "http-equiv")) == "refresh"))
+    bases = F.filter(F.transform(told, lambda t: F.when(t["tag"] == "base", _attribute(t["at"], "href"))), lambda h: h.isNotNull())
+    hrefs = F.concat(F.transform(canonical, lambda t: _attribute(t["at"], "href")), F.transform(refresh, lambda t: _refresh_url(_attribute(t["at"], "content"))))
+    return F.struct(F.get(bases, F.lit(0)).alias("base"), F.filter(hrefs, lambda h: h.isNotNull()).alias("hrefs"))
 
 
 def _without_dots(url: Column) -> Column:
@@ -135,24 +161,27 @@ def _absolute(base: Column, href: Column) -> Column:
     )
 
 
-def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) resources: the canonical link and the refresh of each page's html, and a url with and without dot segments.
+def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame | None:
+    """(source, target) resources: the canonical links and refreshes of each page's html, and a url with and without dot segments.
 
-    Character references of the links are decoded and relative links resolved.
+    Character references of the links are decoded, and relative links resolved against the page's base. None where no page has a tag that could be a
+    link, nor a url with dots: this is looked up first, and nothing is written then.
     """
     url, html = F.col(url_col), F.col(html_col)
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")))
-    refresh = F.filter(tags, lambda t: F.regexp_like(t, F.lit(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")))
-    hrefs = F.concat(
-        F.transform(canonical, lambda t: _unescaped(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))),
-        F.transform(refresh, _refresh_url),
-    )
-    linked = pages.where(F.contains(url, F.lit("://"))).select(url.alias("url"), hrefs.alias("hrefs")).where(F.size("hrefs") > 0)
-    linked = materialize(linked.select(resource_of(F.col("url")).alias("source"), F.explode("hrefs").alias("href")), "url-links")
-    linked = linked.select("source", resource_of(_absolute(F.col("source"), F.col("href"))).alias("target")).where("target is not null")
-    dotted = pages.where(F.regexp_like(path_of(url), F.lit(DOTS))).select(resource_of(url).alias("source"))
-    return linked.unionByName(dotted.select("source", _without_dots(F.col("source")).alias("target")).where("target is not null"))
+    named = pages.where(F.contains(url, F.lit("://"))).select(url.alias("url"), html.alias("html"))
+    dotted = F.regexp_like(path_of(F.col("url")), F.lit(DOTS))
+    tagged = F.coalesce(F.regexp_like("html", F.lit(r"(?i)<(?:link|meta)\b")), F.lit(False))
+    if named.where(dotted | tagged).isEmpty():
+        return None
+    found = named.where(tagged).select("url", page_links(F.col("html")).alias("links"))
+    found = materialize(found.select("url", F.col("links.base").alias("base"), F.explode("links.hrefs").alias("href")), "url-links")
+    found = materialize(found.select(resource_of(F.col("url")).alias("source"), "base", "href"), "url-sources")
+    begun = found.withColumn("begin", F.when(F.col("base").isNotNull(), _absolute(F.col("source"), F.col("base"))))
+    begun = materialize(begun.select("source", F.coalesce("begin", "source").alias("begin"), "href"), "url-begins")  # written, as plans grow with each step inlined
+    linked = materialize(begun.select("source", _absolute(F.col("begin"), F.col("href")).alias("url")), "url-targets")
+    linked = linked.select("source", resource_of(F.col("url")).alias("target")).where("target is not null")
+    dots = named.where(dotted).select(resource_of(F.col("url")).alias("source"))
+    return linked.unionByName(dots.select("source", _without_dots(F.col("source")).alias("target")).where("target is not null"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -175,10 +204,11 @@ def _judged(pages: DataFrame, rules, redirects: DataFrame | None, id_col: str, u
     own = with_rule(own, rules)
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(*(_without_dots(resource_of(F.col(c))).alias(c) for c in ("source", "target"))))
-    nodes = connected_components(edges.where("source <> target"), "source", "target")
+        given = redirects.select(*(_without_dots(resource_of(F.col(c))).alias(c) for c in ("source", "target")))
+        edges = given if edges is None else edges.unionByName(given)
     told = F.when(F.col("best.allow"), "allow").when(F.col("best").isNotNull(), "block")
-    if nodes.isEmpty():
+    nodes = None if edges is None else connected_components(edges.where("source <> target"), "source", "target")
+    if nodes is None or nodes.isEmpty():
         verdict = F.coalesce(told, F.lit("allow"))
         return own.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "resource")
     nodes = nodes.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})

@@ -181,3 +181,34 @@ def test_many_rules_and_a_hub(spark):
     rows = spark.range(0, 50).selectExpr("id as page_id", "concat('http://s', id * 400, '.com/') as url", "cast(null as string) as html")
     got = judge_urls(rows, [("block", "s19999.com", "/")], hub).groupBy("verdict").count().collect()
     assert [tuple(x) for x in got] == [("block", 50)]
+
+
+def test_only_tags_of_the_page_are_links(spark):
+    bad = "http://evil.net/x"
+    link = f"<link rel=canonical href='{bad}'>"
+    html = {
+        1: f"<!-- {link} -->", 2: f"<script type=a>var s = \"{link}\";</script>", 3: f"<STYLE>{link}</style >", 4: f"<textarea>{link}</textarea>", 5: f"<title>{link}</title>", 6: f"<!-- never closed {link}",
+        7: f"<link rel=alternate data-x=\"rel=canonical\" href='{bad}'>", 8: f"<link rel='xcanonical' href='{bad}'>", 9: f"<link rel=canonical title=\"href={bad}\">", 10: f"<p>rel=canonical href={bad}</p>", 11: f"<meta name=refresh content='0; url={bad}'>",
+        20: f"<!-- c --> {link}", 21: f"<script>x</script>{link}<script>y", 22: f"<link title='a > b' rel='next canonical' href='{bad}'>", 23: f"<LINK\nHREF = \"{bad}\"\tREL=\"CANONICAL\" >", 24: f"<meta content=\"0;url={bad}\" title='>' http-equiv=REFRESH>",
+        25: "<base href='http://evil.net/a/b'><link rel=canonical href='../x'>", 26: f"<base target=_top><base href='//evil.net/'><base href='http://fine.com/'><link rel=canonical href=x>", 27: f"<link rel=canonical href='{bad}' href='http://fine.com/'>",
+    }
+    rows = [(k, f"http://a{k}.com/", h) for k, h in html.items()] + [(99, bad, None)]
+    got = {x["page_id"]: x["verdict"] for x in judge_urls(pages(spark, rows)).collect()}
+    assert got == {k: "allow" if k < 20 else "block" for k, *_ in rows}
+
+
+def test_a_very_long_page(spark):
+    filler = "<p class='x'>" + "word " * 20 + "</p><!-- note --><script>if (a < b) {}</script>"
+    html = filler * 20_000 + "<link rel=canonical href='http://evil.net/x'>" + "<link title=\"" + "a" * 2_000_000
+    rows = [(1, "http://a.com/", html), (2, "http://b.com/", filler * 20_000 + "<link " + "a=b " * 100_000)]
+    assert {x["page_id"]: x["verdict"] for x in judge_urls(pages(spark, rows)).collect()} == {1: "block", 2: "allow"}
+
+
+def test_pages_without_links_write_nothing(spark, monkeypatch):
+    from strandloom.llm import urlrules
+
+    def never(*_, **__):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(urlrules, "materialize", never)
+    assert judge_urls(pages(spark, [(1, "http://x.net/", "<p>text</p>"), (2, None, "<link rel=canonical href='http://x.net/'>"), (3, "http://a.com/b", None)])).count() == 3
