@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -53,19 +54,29 @@ def canonical_insert_key(long: str, start: int, length: int) -> str:
 
 
 def locate_insert(long: str, length: int, start: int | None, lcp: int | None, md5: str | None) -> tuple[int | None, str]:
-    """Where an insert lies in the long allele: the stated start or common prefix if the digest agrees, else the place
-    nearest to them whose digest does, else nowhere. A place that can't be confirmed is never given."""
+    """Where an insert lies in the long allele, and how that is known.
 
-    def fits(k: int) -> bool:
-        return 0 <= k and k + length <= len(long) and (md5 is None or hashlib.md5(long[k : k + length].encode()).hexdigest()[: len(md5)] == md5)
+    The stated start counts if the digest of the letters there agrees (``coord``), then the common prefix (``lcp``; a
+    missing one is 0), then of all other places with that digest the one nearest to the common prefix, on ties the earlier
+    (``repaired``). Without a digest any place within the allele agrees, and there is no repair. An insert without letters,
+    or one that isn't found, is ``unresolved`` and has no place.
+    """
+    last = len(long) - length
+    if length <= 0 or last < 0:
+        return None, "unresolved"
+    size, prefix = len(md5 or ""), lcp or 0
 
-    for k, name in ((start, "coord"), (lcp, "lcp")):
-        if k is not None and fits(k):
-            return k, name
-    if md5 is None:
+    def agrees(k: int) -> bool:
+        return 0 <= k <= last and hashlib.md5(long[k : k + length].encode()).hexdigest()[:size] == (md5 or "")
+
+    if start is not None and agrees(start):
+        return start, "coord"
+    if agrees(prefix):
+        return prefix, "lcp"
+    if not size:
         return None, "unresolved"
-    anchor = next((k for k in (start, lcp) if k is not None), 0)
-    found = min((k for k in range(len(long) - length + 1) if fits(k)), key=lambda k: (abs(k - anchor), k), default=None)
+    nearest = sorted(range(last + 1), key=lambda k: (abs(k - prefix), k))
+    found = next((k for k in nearest if agrees(k)), None)
     return found, "unresolved" if found is None else "repaired"
 
 
@@ -198,31 +209,66 @@ def tolerant_decompose(short: str, long: str, min_cov: float = 0.85, min_ident:
     second = max([*(x[0] for x in rest), *deletions], default=0)
     ok = coverage >= min_cov and ident >= min_ident and big[0] >= min_insert and (second == 0 or big[0] / max(1, second) >= dominance)
     left, right = slide(long, big[2], big[3]) if big[0] else (0, 0)
-    return {"ok": ok, "coverage": coverage, "identity": ident, "insert_len": big[0], "lcp": big[1], "insert_start": big[2], "second": second, "lost": sum(deletions), "ambiguity": left + right}
+    others = [x[0] for x in rest] + deletions
+    quality = coverage * ident * (min(1.0, big[0] / second / dominance) if second else 1.0)
+    counts = {"n_snp": columns - same, "n_small_indel": len(others), "edit_distance": columns - same + big[0] + sum(others), "quality": quality}
+    return {"ok": ok, "coverage": coverage, "identity": ident, "insert_len": big[0], "lcp": big[1], "insert_start": big[2], "second": second, "lost": sum(deletions), "ambiguity": left + right} | counts
+
+
+def explain_allele(short: str, long: str, min_cov: float = 0.85, min_ident: float = 0.95, min_insert: int = 500, dominance: float = 3.0, tolerant: bool = True) -> dict:
+    """How ``long`` comes of ``short``: by common prefix and suffix, or where these don't cover ``short``, by alignment.
+
+    (method, lcp, lcs, insert, insert_start, ambiguity, lost, and the alignment's figures, null where none was needed or none
+    has an insert). The alignment replaces the exact reading only if it passes its gates. ``ambiguity`` is how far the insert
+    can slide; ``lost`` are letters of ``short`` that neither side keeps.
+    """
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (short, long))
+    p = _run(x, y)
+    q = _run(x[p:][::-1], y[p:][::-1])
+    out = {"method": "exact", "lcp": p, "lcs": q, "insert": long[p : len(long) - q], "insert_start": p, "ambiguity": sum(slide(long, p, len(long) - q)), "lost": len(short) - p - q}
+    figures = dict.fromkeys(("identity", "coverage", "quality", "insert_len", "second", "n_snp", "n_small_indel", "edit_distance"))
+    if tolerant and p + q < len(short) < len(long) and short:
+        told = tolerant_decompose(short, long, min_cov, min_ident, min_insert, dominance)
+        if told["insert_len"]:
+            figures = {k: told[k] for k in figures}
+            if told["ok"]:
+                a, n = told["insert_start"], told["insert_len"]
+                out |= {"method": "tolerant_alignment", "lcp": told["lcp"], "lcs": len(short) - told["lcp"], "insert": long[a : a + n], "insert_start": a, "ambiguity": told["ambiguity"], "lost": told["lost"]}
+    return out | {"aligned_insert_len" if k == "insert_len" else k: v for k, v in figures.items()}
+
+
+#: Fixed values of the comparison of alleles: scores of the alignment, and what a supported call needs.
+COMPARE_SCORES = (2, -3, -12, -0.1)
+COMPARE_COVERAGE, COMPARE_IDENTITY, COMPARE_SIDE = 0.90, 0.95, 200
 
 
 def compare_alleles(long: str, short: str, start: int, end: int) -> dict:
-    """Evidence for a called insert ``[start, end)`` of ``long`` over ``short``, by global alignment (2, -3, -12, -0.1).
+    """Evidence for a called insert ``[start, end)`` of ``long`` over ``short``, by global alignment.
 
-    The dominant gap is the one with the largest overlap with the call, then the longest. Identity is over aligned letters;
-    the aligned letters on either side of the call are counted too.
+    Every letter of ``long`` is aligned or in a gap. The gap that shares most letters with the call (on ties the longest,
+    then the last) is measured against it; identity is over all aligned letters; those on either side of the call are counted.
+    A call outside the sequence, an empty one, or an empty short allele has the status ``invalid_call`` and nothing else.
     """
     if not 0 <= start < end <= len(long) or not short:
-        raise ValueError("invalid call or empty sequence")
-    blocks = global_alignment(long, short, 2, -3, -12, -0.1)
-    edges = [0, *(i + n for i, _, n in blocks)]
-    gaps = [(max(0, min(b, end) - max(a, start)), b - a, a, b) for a, b in zip(edges, [*(i for i, _, _ in blocks), len(long)], strict=True) if b > a]
-    columns = sum(n for _, _, n in blocks)
-    same = sum(p == q for i, j, n in blocks for p, q in zip(long[i : i + n].upper(), short[j : j + n].upper(), strict=True))
-    left = sum(max(0, min(i + n, start) - i) for i, _, n in blocks)
-    right = sum(max(0, i + n - max(i, end)) for i, _, n in blocks)
-    overlap, size, a, b = max(gaps, default=(0, 0, start, start))
-    coverage, identity = overlap / (end - start), same / columns if columns else 0.0
-    fine = coverage >= 0.90 and identity >= 0.95 and min(left, right) >= 200
-    return {
-        "status": "supported_long_short" if fine else "no_dominant_long_short_support", "gap": size, "coverage": round(coverage, 6), "identity": round(identity, 6),
-        "left": left, "right": right, "start_shift": a - start if size else None, "end_shift": b - end if size else None,
-    }
+        return {"status": "invalid_call"}
+    x, y = (np.frombuffer(s.upper().encode("utf-32-le"), np.uint32) for s in (long, short))
+    partner = np.full(len(x), -1)
+    for i, j, n in global_alignment(long, short, *COMPARE_SCORES):
+        partner[i : i + n] = np.arange(j, j + n)
+    aligned = partner >= 0
+    identity = float((x[aligned] == y[partner[aligned]]).mean()) if aligned.any() else 0.0
+    left, right = int(aligned[:start].sum()), int(aligned[end:].sum())
+    steps = np.diff(np.concatenate([[1], aligned.astype(np.int8), [1]]))
+    begins, ends = np.flatnonzero(steps < 0), np.flatnonzero(steps > 0)
+    out = {"gap": 0, "coverage": 0.0, "identity": round(identity, 6), "left": left, "right": right, "start_shift": None, "end_shift": None}
+    share = 0.0
+    if len(begins):
+        inside = np.clip(np.minimum(ends, end) - np.maximum(begins, start), 0, None)
+        at = np.lexsort((begins, ends - begins, inside))[-1]
+        share = float(inside[at]) / (end - start)
+        out |= {"gap": int(ends[at] - begins[at]), "coverage": round(share, 6), "start_shift": int(begins[at]) - start, "end_shift": int(ends[at]) - end}
+    holds = share >= COMPARE_COVERAGE and identity >= COMPARE_IDENTITY and min(left, right) >= COMPARE_SIDE
+    return {"status": "supported_long_short" if holds else "no_dominant_long_short_support"} | out
 
 
 def fixed(x: float | None, digits: int) -> str:
@@ -279,7 +325,34 @@ def best_orientation(a: str, b: str) -> dict:
     return forward | {"orientation": "fwd"} if rank(forward) >= rank(backward) else backward | {"orientation": "rc"}
 
 
+def better_strand(a: str, b: str) -> tuple[float, float]:
+    """(identity, coverage) of the local alignment with ``b`` or its reverse complement, whichever has the higher identity."""
+    if not a or not b:
+        return (1.0, 1.0) if a == b else (0.0, 0.0)
+    forward, backward = local_alignment(a, b), local_alignment(a, rc(b))
+    best = forward if forward["identity"] >= backward["identity"] else backward
+    return best["identity"], best["coverage"]
+
+
 STOPS = {"TAA", "TAG", "TGA"}
+#: The standard genetic code, codons in the order T, C, A, G of their letters.
+GENETIC_CODE = dict(zip((a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", strict=True))
+
+
+def translate(seq: str) -> str:
+    """The protein of a coding sequence up to its end; unknown codons are X, letters left over are ignored."""
+    s = seq.upper()
+    return "".join(GENETIC_CODE.get(s[k : k + 3], "X") for k in range(0, len(s) - 2, 3))
+
+
+def dominant_protein(seq: str, least_aa: int = 30) -> str | None:
+    """The protein of the longest reading frame, without its stop (ties: the leftmost, then the plus strand)."""
+    frames = open_reading_frames(seq, least_aa)
+    if not frames:
+        return None
+    top = min(frames, key=lambda r: (-r["aa"], r["start"], r["strand"]))
+    s = seq[top["start"] : top["end"]]
+    return translate(rc(s) if top["strand"] == "-" else s)[:-1]
 
 
 def open_reading_frames(seq: str, least_aa: int = 30) -> list[dict]:
@@ -325,3 +398,101 @@ def interval_groups(rows: list[tuple[int, int, str]], least: float = 0.9) -> lis
         groups[at].append(k)
         out[k] = at
     return out
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Indexes of a longest strictly increasing subsequence."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before = []
+    for k, v in enumerate(values):
+        at = bisect_left(ends, v)
+        before.append(tails[at - 1] if at else -1)
+        tails[at : at + 1] = [k]
+        ends[at : at + 1] = [v]
+    out, k = [], tails[-1] if tails else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def _reach(x: np.ndarray, y: np.ndarray, mismatch: int = 3, drop: int = 24) -> int:
+    """How far two arrays go on alike from their starts: the best prefix where a mismatch weighs ``mismatch`` matches,
+    looked for until the score has fallen ``drop`` below its best."""
+    n = min(len(x), len(y))
+    if not n:
+        return 0
+    score = np.cumsum(np.where(x[:n] == y[:n], 1, -mismatch))
+    fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > drop)
+    score = score[: fallen[0]] if len(fallen) else score
+    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
+
+
+def collinear_blocks(a: str, b: str, k: int, gap: int) -> list[list[tuple[int, int, int]]]:
+    """Collinear alignments of two sequences as blocks (start in a, start in b, length), by words that occur once in each."""
+    def once(s: str) -> dict[str, int]:
+        at: dict[str, int] = {}
+        for p in range(len(s) - k + 1):
+            w = s[p : p + k]
+            at[w] = -1 if w in at else p
+        return {w: p for w, p in at.items() if p >= 0}
+
+    in_a = once(a)
+    hits = sorted((q, in_a[w]) for w, q in once(b).items() if w in in_a)
+    hits = [hits[n] for n in _rising([p for _, p in hits])]
+    runs: list[list[tuple[int, int, int]]] = []
+    for q, p in hits:
+        if runs:
+            i, j, n = runs[-1][-1]
+            if p - i - n <= gap and q - j - n <= gap and abs((p - i) - (q - j)) <= gap:
+                skip = max(0, i + n - p, j + n - q)
+                if p - i == q - j:
+                    if p <= i + n:
+                        runs[-1][-1] = (i, j, p + k - i)
+                    else:
+                        runs[-1].append((p, q, k))
+                elif skip < k:
+                    runs[-1].append((p + skip, q + skip, k - skip))
+                continue
+        runs.append([(p, q, k)])
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    out = []
+    for run in runs:
+        whole = [run[0]]
+        for p, q, n in run[1:]:
+            i, j, m = whole[-1]
+            i, j = i + m, j + m
+            if p - i == q - j and 2 * int((x[i:p] == y[j:q]).sum()) >= p - i:
+                whole[-1] = (i - m, j - m, p + n - (i - m))
+                continue
+            if p > i and q > j:
+                whole += [(i + u, j + v, c) for u, v, c in global_alignment(a[i:p], b[j:q])]
+            whole.append((p, q, n))
+        i, j, n = whole[0]
+        left = _reach(x[:i][::-1], y[:j][::-1])
+        whole[0] = (i - left, j - left, n + left)
+        i, j, n = whole[-1]
+        whole[-1] = (i, j, n + _reach(x[i + n :], y[j + n :]))
+        joined = [whole[0]]
+        for i, j, n in whole[1:]:  # blocks that touch in both sequences are one
+            p, q, m = joined[-1]
+            joined[-1:] = [(p, q, m + n)] if (p + m, q + m) == (i, j) else [joined[-1], (i, j, n)]
+        out.append(joined)
+    return out
+
+
+def anchored_alignments(a: str, b: str, k: int = 15, gap: int = 600) -> list[dict]:
+    """Local alignments of ``b`` to ``a`` on both strands: (strand, a_start, a_end, same, columns, blocks).
+
+    Words of ``k`` letters that occur once in either sequence are chained where they rise together with gaps of up to
+    ``gap``; what lies between is aligned globally, and the ends go on without gaps as long as that pays. Blocks are (start
+    in a, start in b or its reverse complement, length). Two sequences that share such a word have an alignment, whatever
+    lies around, so an alignment ends where the likeness does.
+    """
+    a, out = a.upper(), []
+    for strand, s in (("+", b.upper()), ("-", rc(b.upper()))):
+        for blocks in collinear_blocks(a, s, k, gap):
+            same = sum(sum(p == q for p, q in zip(a[i : i + n], s[j : j + n], strict=True)) for i, j, n in blocks)
+            out.append({"strand": strand, "a_start": blocks[0][0], "a_end": blocks[-1][0] + blocks[-1][2], "same": same, "columns": sum(n for _, _, n in blocks), "blocks": blocks})
+    return out

@@ -154,10 +154,26 @@ def accession_core(name: Column | str) -> Column:
     return F.split_part(F.split_part(col(name), F.lit("_"), F.lit(2)), F.lit("."), F.lit(1))
 
 
+#: Folders that stand between a panel and its run, or below a panel. Fixed values.
+RESULT_FOLDERS = ("recon", "l2", "allele_recon")
+
+
+def panel_label(path: Column | str) -> Column:
+    """``<run>/<panel>`` from a path: a folder of results at the end, or between run and panel, is passed over; a panel
+    without a run is alone."""
+    parts = F.filter(F.split(col(path), "/"), lambda p: p != "")
+    at = lambda p, k: F.coalesce(F.try_element_at(p, F.lit(-k)), F.lit(""))
+    own = F.when(at(parts, 1).isin(*RESULT_FOLDERS), 2).otherwise(1)
+    panel = F.when(own == 2, at(parts, 2)).otherwise(at(parts, 1))
+    above = F.when(own == 2, at(parts, 3)).otherwise(at(parts, 2))
+    higher = F.when(own == 2, at(parts, 4)).otherwise(at(parts, 3))
+    run = F.when(above.isin(*RESULT_FOLDERS), higher).otherwise(above)
+    return F.when(run != "", F.concat(run, F.lit("/"), panel)).otherwise(panel)
+
+
 def qualified(path: Column | str, item: Column | str) -> Column:
-    """``<run>/<panel>|<item>`` from a path that ends in run/panel."""
-    parts = F.split(F.rtrim(col(path), F.lit("/")), "/")
-    return F.concat(F.element_at(parts, -2), F.lit("/"), F.element_at(parts, -1), F.lit("|"), col(item))
+    """``<run>/<panel>|<item>`` from a panel's path."""
+    return F.concat(panel_label(path), F.lit("|"), col(item))
 
 
 def to_int(x: Column | str, default=None) -> Column:

@@ -95,6 +95,16 @@ def orf_scan(s: pd.Series) -> pd.Series:
     return pd.Series(_rows(k.open_reading_frames, s), dtype=object)
 
 
+@lazy("string")
+def dominant_protein(s: pd.Series) -> pd.Series:
+    return pd.Series(_rows(k.dominant_protein, s), dtype=object)
+
+
+@lazy("string")
+def translate_codons(s: pd.Series) -> pd.Series:  # not ``translate``, which SQL has
+    return pd.Series(_rows(k.translate, s), dtype=object)
+
+
 @lazy("status string, gap int, coverage double, identity double, left int, right int, start_shift int, end_shift int")
 def compare_alleles(long: pd.Series, short: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     cols = ["status", "gap", "coverage", "identity", "left", "right", "start_shift", "end_shift"]
@@ -106,10 +116,15 @@ def fixed(x: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([k.fixed(v, int(n)) for v, n in zip(x.tolist(), digits.tolist(), strict=True)], dtype=object)
 
 
-FUNCTIONS = {f.__name__: f for f in (insert_key, slide, decompose, tsd, outward_repeat, inverted_repeat, project_boundary, tolerant_decompose, best_orientation, locate_insert, orf_scan, compare_alleles, fixed)}
+FUNCTIONS = {f.__name__: f for f in (insert_key, slide, decompose, tsd, outward_repeat, inverted_repeat, project_boundary, tolerant_decompose, best_orientation, locate_insert, orf_scan, dominant_protein, translate_codons, compare_alleles, fixed)}
 
 
 def register(spark: SparkSession) -> None:
-    """Register every function under its own name."""
+    """Register every function under its own name, table functions and the aggregate too."""
+    from strandloom.functions import udtf
+
     for name, f in FUNCTIONS.items():
-        spark.udf.register(name, f.udf)
+        if name != "orf_scan":  # the table function has this name in SQL
+            spark.udf.register(name, f.udf)
+    spark.udf.register("orf_array", orf_scan.udf)
+    udtf.register(spark)

@@ -31,3 +31,19 @@ def heavy_split_join(rows: DataFrame, unique: DataFrame, key: str, weight: str,
     done = marked.where("_hit").select(*rows.columns, *cols)
     rest = marked.where("_hit is null").select(*rows.columns).join(light, key, "left").select(*rows.columns, *cols)
     return done.unionByName(rest)
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int, block: int = 1024) -> DataFrame:
+    """Inner join of ``rows`` with ``unique`` (one row per key, of any width; ``weight`` is about the number of ``rows`` with it).
+
+    A key with more than ``block`` rows is dealt over as many salts as it has blocks, and its row of ``unique`` is repeated for
+    each of them: nothing wide is broadcast, and no task gets much more than a block of one key. What is looked up first,
+    through the heavy split, is the weight alone. ``weight`` isn't in the result.
+    """
+    salts = F.ceil(F.col("_w") / block).cast("int")
+    weights = unique.select(key, F.col(weight).alias("_w"))
+    dealt = heavy_split_join(rows, weights, key, "_w", total).where(F.col("_w").isNotNull())
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_w")
+    wide = unique.withColumn("_w", F.greatest(F.lit(1), F.col(weight))).drop(weight)
+    wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_w")
+    return dealt.join(wide, [key, "_salt"]).drop("_salt")

@@ -58,3 +58,25 @@ def rarefaction(df: DataFrame, unit: str, item: str, steps: list[int], reps: int
     wide = seen.withColumn("n_units", F.explode(F.array(*map(F.lit, steps)))).where("from <= n_units")
     per = wide.groupBy("rep", "n_units").agg(F.count("*").alias("items"))
     return per.groupBy("n_units").agg((F.sum("items") / reps).alias("mean_items"))
+
+
+def seed_sample(eligible: DataFrame, item: str, n: int, seed: int, include: DataFrame | None = None, exclude: DataFrame | None = None, suffix: str = ".fna") -> DataFrame:
+    """ST8: the first ``n`` of the eligible items in a seeded order: (item, place).
+
+    ``include`` and ``exclude`` are pools (one column of names, with or without ``suffix``): only items of the one, and none of
+    the other, are drawn. A pool that leaves none of the items there are is an error: the names don't match. The order is a
+    hash of seed and item, so it is the same whatever the partitions; the first ``n`` are taken without a full sort.
+    """
+    from strandloom.operators.gates import GateError
+
+    def named(pool: DataFrame) -> DataFrame:
+        name = F.col(pool.columns[0]).cast("string")
+        return pool.select(F.when(F.endswith(name, F.lit(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(name).alias("_name")).distinct()
+
+    rows = eligible.select(item).distinct().withColumn("_name", F.col(item).cast("string"))
+    kept = rows.join(named(include), "_name", "left_semi") if include is not None else rows
+    if include is not None and kept.isEmpty() and not rows.isEmpty():
+        raise GateError("the pool has no eligible item: its names don't match")
+    kept = kept.join(named(exclude), "_name", "left_anti") if exclude is not None else kept
+    first = kept.withColumn("_draw", draw(F.lit(seed), F.col(item))).orderBy("_draw", item).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("_draw", item))).select(item, "place")  # n rows

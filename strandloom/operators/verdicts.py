@@ -79,16 +79,29 @@ def structurally_clean(lost: Column, overlap: Column, placement: Column, most: i
     return (lost == 0) & (overlap <= most) & (placement != "ambiguous")
 
 
+#: Words of protein domains, looked for in any case; a list of domains is searched as one text.
+MGE_WORDS = (
+    r"integrase|recombinase|resolvase|transposase|phage|capsid|terminase|portal|tail|relaxase|mob[A-Z]?|conjug|excision|invertase|"
+    r"tyrosine_recomb|serine_recomb|rve|zinc_ribbon|rusa|ning|holliday|antirepressor|gp5_trimer|tape_meas|nu1"
+)
+IS_WORDS = r"transposase|tnp|^is\d|dde|dedd"
+
+
+def informative(domains: Column) -> Column:
+    """Whether a list of domains (joined by commas) names any that isn't one of unknown function."""
+    return F.exists(F.split(domains, ","), lambda d: ~F.startswith(F.upper(d), F.lit("DUF")))
+
+
 def annotation_class(rrna: Column, orf: Column, is_hit: Column, domain: Column, verdict: Column, strong: Column) -> Column:
-    """PF9: nine classes from rRNA, ORF, model hits and structure. The two word patterns are fixed values."""
-    is_words, mge_words = r"(?i)transpos|insertion sequence|IS\d", r"(?i)integrase|recombinase|phage|resolvase|relaxase"
+    """PF9: nine classes from rRNA, ORF, model hits and structure; a null ``domain`` is no hit."""
+    word = lambda pattern: F.coalesce(F.regexp_like(domain, F.lit(f"(?i){pattern}")), F.lit(False))
     return cascade(
         (rrna & (orf < 0.4), "ribosomal"),
         (is_hit, "IS_element"),
-        (F.coalesce(F.regexp_like(domain, F.lit(is_words)), F.lit(False)), "IS_like"),
-        (F.coalesce(F.regexp_like(domain, F.lit(mge_words)), F.lit(False)), "MGE"),
+        (word(IS_WORDS), "IS_like"),
+        (word(MGE_WORDS), "MGE"),
         (verdict == "SEGMENTAL_DUP", "segmental_duplication"),
-        (domain.isNotNull(), "other_domain"),
+        (F.coalesce(informative(domain), F.lit(False)), "other_domain"),
         ((orf >= 0.4) & strong, "coding_mobile"),
         (strong, "noncoding_mobile"),
         default="unclassified",

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package; each has QUERIES (name -> callable) and SQL (name -> text).
-MODULES = ("relational", "intervals", "sequences", "verdicts", "bags", "graphs", "parsers", "placement", "nulls", "evidence")
+MODULES = ("relational", "intervals", "sequences", "verdicts", "bags", "graphs", "parsers", "placement", "nulls", "evidence", "families", "registered")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

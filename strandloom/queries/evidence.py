@@ -49,26 +49,34 @@ def q_fixed(spark, d):
     return load(spark, d, "part").select("p_partkey", udf.fixed(x, F.lit(3)).alias("text"))
 
 
-_LONG = f"(select doc_id, s, 12 as len, doc_id % 5 * 3 as lcp, case when doc_id % 3 = 0 then doc_id % 40 end as st, md5(substr(s, cast(doc_id % 40 + 1 as bigint), 12)) as h from (select doc_id, substr({DNA.format('text')}, 1, 80) as s from documents) where length(s) = 80)"
+_SIZE = 12
+#: Where each insert is, what is stated of it, and its digest; some starts are wrong, some digests occur nowhere, some inserts are empty.
+_LONG = f"""(select doc_id, s, case when doc_id % 11 = 10 then 0 else {_SIZE} end as len, case when doc_id % 5 = 0 then t when doc_id % 5 <> 4 then doc_id % 17 end as lcp, case when doc_id % 3 = 0 then t when doc_id % 3 = 1 then t + 5 end as st,
+  case when doc_id % 7 = 6 then repeat('0', 32) else md5(substr(s, t + 1, {_SIZE})) end as h from (select doc_id, s, cast((doc_id * 37) % greatest(1, length(s) - {_SIZE} + 1) as bigint) as t from (select doc_id, {DNA.format('text')} as s from documents where text is not null)))"""
 
 
 @book(f"""
-with l as (select * from {_LONG}), f as (select *, case when st is not null then 'coord' when md5(substr(s, lcp + 1, 12)) = h then 'lcp' else 'repaired' end as status from l),
-r as (select doc_id, arg_min(k, (abs(k - lcp), k)) as place from l, range(69) x(k) where md5(substr(s, cast(k + 1 as bigint), 12)) = h group by 1)
-select doc_id, status, cast(case status when 'coord' then st when 'lcp' then lcp else place end as integer) as start from f join r using (doc_id)""")
+with l as materialized (select *, coalesce(lcp, 0) as p, length(s) - len as last from {_LONG}),
+k as (select doc_id, unnest(range(last + 1)) as k from l where len > 0 and last >= 0), m as (select doc_id, k, p, st from k join l using (doc_id) where md5(substr(s, k + 1, {_SIZE})) = h),
+r as (select doc_id, bool_or(k = st) as at_start, bool_or(k = p) as at_prefix, arg_min(k, (abs(k - p), k)) as nearest from m group by 1)
+select doc_id, case when at_start then 'coord' when at_prefix then 'lcp' when nearest is not null then 'repaired' else 'unresolved' end as status, cast(case when at_start then st when at_prefix then p else nearest end as integer) as start from l left join r using (doc_id)""")
 def q_locate_insert(spark, d):
-    """an insert by its stated start, the common prefix, or the nearest place with its digest."""
-    s = load(spark, d, "documents").select("doc_id", F.substring(seq.dna("text"), 1, 80).alias("s")).where("length(s) = 80")
+    """an insert of each whole text by its stated start, the common prefix, or the place with its digest nearest to that."""
+    s = load(spark, d, "documents").where("text is not null").select("doc_id", seq.dna("text").alias("s"))
     k = F.col("doc_id")
-    s = s.select("doc_id", "s", (k % 5 * 3).alias("lcp"), F.when(k % 3 == 0, k % 40).alias("st"), F.md5(F.substring("s", (k % 40 + 1).cast("int"), F.lit(12))).alias("h"))
-    return s.select("doc_id", udf.locate_insert("s", F.lit(12), "st", "lcp", "h").alias("x")).select("doc_id", "x.status", "x.start")
+    t = (k * 37) % F.greatest(F.lit(1), F.length("s") - _SIZE + 1)
+    s = s.withColumn("t", t)
+    digest = F.when(k % 7 == 6, F.repeat(F.lit("0"), 32)).otherwise(F.md5(F.substring("s", (F.col("t") + 1).cast("int"), F.lit(_SIZE))))
+    start, lcp = F.when(k % 3 == 0, F.col("t")).when(k % 3 == 1, F.col("t") + 5), F.when(k % 5 == 0, F.col("t")).when(k % 5 != 4, k % 17)
+    return s.select("doc_id", udf.locate_insert("s", F.when(k % 11 == 10, 0).otherwise(_SIZE), start, lcp, digest).alias("x")).select("doc_id", "x.status", "x.start")
 
 
 @book()
 def q_compare_alleles(spark, d):
-    """A11, PF10: a planted insert of each document against the sequence without it, by global alignment."""
-    s = load(spark, d, "documents").select("doc_id", F.substring(seq.dna("text"), 1, 480).alias("s")).where("length(s) = 480")
-    at, n = (205 + F.col("doc_id") % 8).cast("int"), (40 + F.col("doc_id") % 20).cast("int")
-    s = s.select("doc_id", "s", at.alias("start"), (at + n).alias("end"))
+    """A11, PF10: an insert in the middle of each whole text against the text without it, aligned within 300 letters of it."""
+    s = load(spark, d, "documents").select("doc_id", seq.dna(F.coalesce("text", F.lit(""))).alias("s"))
+    at, n = F.expr("length(s) div 3"), (40 + F.col("doc_id") % 20).cast("int")
+    low = F.greatest(F.lit(0), at - 300)
+    s = s.select("doc_id", seq.window("s", low.cast("int"), (at + n + 300).cast("int")).alias("s"), (at - low).cast("int").alias("start"), (at - low + n).cast("int").alias("end"))
     short = seq.excise("s", F.col("start"), F.col("end"))
     return s.select("doc_id", udf.compare_alleles("s", short, "start", "end").alias("x")).select("doc_id", "x.*")

@@ -35,10 +35,10 @@ def q_semi(spark, d):
     return load(spark, d, "customer").join(urgent, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@book("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@book("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_totalprice > 400000)")
 def q_anti(spark, d):
     """Not members of a set."""
-    o = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = load(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return load(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 

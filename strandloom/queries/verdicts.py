@@ -54,11 +54,18 @@ def q_qc_tier(spark, d):
     return t.groupBy("source").agg(F.count("*").alias("n"), v.event_tier(F.col("tier")).alias("event_tier"), F.count_if(F.col("tier") == "high").alias("n_high"))
 
 
-@book("select p_partkey, case when p_size % 11 = 0 and p_partkey % 10 / 10.0 < 0.4 then 'ribosomal' when p_size = 1 then 'IS_element' when regexp_matches(p_type, '(?i)transpos|insertion sequence|IS\\d') then 'IS_like' when regexp_matches(p_type, '(?i)integrase|recombinase|phage|resolvase|relaxase') then 'MGE' when p_size > 45 then 'segmental_duplication' when p_type is not null and p_size > 25 then 'other_domain' when p_partkey % 10 / 10.0 >= 0.4 and p_retailprice > 1200 then 'coding_mobile' when p_retailprice > 1200 then 'noncoding_mobile' else 'unclassified' end as class_call from (select p_partkey, p_size, p_retailprice, case when p_size > 25 then p_type end as p_type from part)")
+_DOMAINS = ("DUF3", "rve,DUF1", "is3_like", "LacI,DUF3", "Tnp_DDE", None, "Rhs", "DUF1,DUF2", "phage_tail")
+_DOMAIN = "case p_partkey % 9 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(_DOMAINS) if x) + " end"
+
+
+@book(f"""
+with d as (select *, {_DOMAIN} as dom from part)
+select p_partkey, case when p_size % 11 = 0 and p_partkey % 10 / 10.0 < 0.4 then 'ribosomal' when p_size = 1 then 'IS_element' when coalesce(regexp_matches(dom, '(?i){v.IS_WORDS}'), false) then 'IS_like' when coalesce(regexp_matches(dom, '(?i){v.MGE_WORDS}'), false) then 'MGE' when p_size > 45 then 'segmental_duplication'
+  when len(list_filter(string_split(coalesce(dom, 'DUF'), ','), lambda x: not starts_with(upper(x), 'DUF'))) > 0 then 'other_domain' when p_partkey % 10 / 10.0 >= 0.4 and p_retailprice > 1200 then 'coding_mobile' when p_retailprice > 1200 then 'noncoding_mobile' else 'unclassified' end as class_call from d""")
 def q_annotation_class(spark, d):
-    """PF9."""
+    """PF9, F33."""
     s, k = F.col("p_size"), F.col("p_partkey")
-    domain = F.when(s > 25, F.col("p_type"))
+    domain = F.expr(_DOMAIN)
     verdict = F.when(s > 45, "SEGMENTAL_DUP").otherwise("MOBILE")
     return load(spark, d, "part").select("p_partkey", v.annotation_class(s % 11 == 0, k % 10 / 10.0, s == 1, domain, verdict, F.col("p_retailprice") > 1200).alias("class_call"))
 

@@ -19,6 +19,19 @@ def _long(parts: Column, k: int) -> Column:
     return _field(parts, k).try_cast("long")
 
 
+def ordered_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """SC10: (file_no, path, value) of every line, comments too, of the files of the patterns, numbered from 0 in their order."""
+    from strandloom.sources.runs import expand
+
+    files = expand(spark, patterns)
+    if not files:
+        return spark.createDataFrame([], "file_no long, path string, value string")
+    plain = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    rows = spark.read.text(files).select(plain.alias("path"), "value")
+    numbers = spark.createDataFrame([(k, re.sub("^file:/+", "/", f)) for k, f in enumerate(files)], "file_no long, path string")
+    return rows.join(F.broadcast(numbers), "path").select("file_no", "path", "value")  # one row a file of the list
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, value) of every line that is neither blank nor a comment."""
     return spark.read.text(path).select(F.input_file_name().alias("path"), "value").where("trim(value) <> '' and not startswith(value, '#')")

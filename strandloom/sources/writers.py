@@ -1,4 +1,4 @@
-"""Sinks. A folder that isn't empty is refused, so that results of two runs never mix."""
+"""Sinks. A folder that isn't empty is refused, so that results of two runs never mix; an empty one is fine."""
 
 from __future__ import annotations
 
@@ -7,6 +7,14 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.sources.runs import require_empty
+
+
+def _fresh(df: DataFrame, path: str):
+    """A writer to a folder that is missing or empty."""
+    require_empty(df.sparkSession, path)
+    return df.write.mode("append")
+
 
 def fasta_record(name: Column, seq: Column, width: int = 80) -> Column:
     """SK1: a wrapped record without its last line end."""
@@ -14,19 +22,19 @@ def fasta_record(name: Column, seq: Column, width: int = 80) -> Column:
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "contig", seq: str = "seq", width: int = 80) -> None:
-    df.select(fasta_record(F.col(name), F.col(seq), width)).write.mode("errorifexists").text(path)
+    _fresh(df.select(fasta_record(F.col(name), F.col(seq), width)), path).text(path)
 
 
 def write_tsv(df: DataFrame, path: str, columns: list[str], one_file: bool = False) -> None:
     """SK2: named columns in order; the header is there for an empty table too."""
     out = df.select(*columns)
     out = out.coalesce(1) if one_file or out.isEmpty() else out
-    out.write.mode("errorifexists").option("sep", "\t").option("header", True).csv(path)
+    _fresh(out, path).option("sep", "\t").option("header", True).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """SK3."""
-    df.write.mode("errorifexists").json(path)
+    _fresh(df, path).json(path)
 
 
 def params(df: DataFrame) -> DataFrame:
@@ -47,4 +55,4 @@ def report(df: DataFrame, title: str, most: int = 1000) -> str:
 
 def write_fan_out(df: DataFrame, path: str, keys: list[str], value: str) -> None:
     """SK8: one folder of text files for each key."""
-    df.select(*keys, F.col(value).cast("string").alias("value")).write.mode("errorifexists").partitionBy(*keys).text(path)
+    _fresh(df.select(*keys, F.col(value).cast("string").alias("value")), path).partitionBy(*keys).text(path)
