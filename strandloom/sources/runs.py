@@ -40,7 +40,7 @@ def require_empty(spark: SparkSession, path: str) -> None:
     """SK7: fail unless the folder is missing or empty, so that results of two runs never mix."""
     where, fs = _path(spark, path)
     if fs.exists(where) and (fs.getFileStatus(where).isFile() or len(fs.listStatus(where))):
-        raise GateError(f"{path} isn't an empty folder")
+        raise GateError(f"{path} exists and isn't an empty folder")
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -54,13 +54,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()["value"]
+    return spark.read.text(path, wholetext=True).first()["value"]
 
 
 def file_sizes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, name, length) of files, from their listing: nothing is read."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "length")
-    return files.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
+    """(path, length) of the files of a list, from the store's own status (Spark's readers pass over empty files); null length
+    where there is none."""
+    rows = []
+    for p in paths:
+        where, fs = _path(spark, p)
+        rows.append((p, fs.getFileStatus(where).getLen() if fs.exists(where) else None))
+    return spark.createDataFrame(rows, "path string, length long")
 
 
 #: Endings of sequence files that don't belong to their names. Fixed values.
@@ -70,7 +74,7 @@ ENDINGS = (".fna.gz", ".fa.gz", ".fasta.gz", ".fna", ".fa", ".fasta")
 def manifest_problems(files: DataFrame) -> DataFrame:
     """SC23: (path, problem) of a table of files (path, length), one row for each rule that a file breaks.
 
-    compressed; empty; duplicate_name (another path with the same name without its ending); duplicate_file. A table of fewer than
+    missing; compressed; empty; duplicate_name (another path with the same name without its ending); duplicate_file. A table of fewer than
     two distinct files has one row more, ``too_few_files`` without a path.
     """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -80,7 +84,7 @@ def manifest_problems(files: DataFrame) -> DataFrame:
     rows = files.groupBy("path").agg(F.count("*").alias("times"), F.max("length").alias("length")).withColumn("stem", stem)
     names = rows.groupBy("stem").agg(F.count("*").alias("paths"))
     rows = rows.join(names, "stem")
-    tests = (F.endswith("path", F.lit(".gz")), "compressed"), (F.col("length") == 0, "empty"), (F.col("paths") > 1, "duplicate_name"), (F.col("times") > 1, "duplicate_file")
+    tests = (F.col("length").isNull(), "missing"), (F.endswith("path", F.lit(".gz")), "compressed"), (F.col("length") == 0, "empty"), (F.col("paths") > 1, "duplicate_name"), (F.col("times") > 1, "duplicate_file")
     found = rows.select("path", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for t, n in tests)))).alias("problem"))
     few = rows.agg(F.count("*").alias("n")).where("n < 2").select(F.lit(None).cast("string").alias("path"), F.lit("too_few_files").alias("problem"))
     return found.unionByName(few)
