@@ -302,7 +302,7 @@ def _searched(rows: DataFrame, k: int, cell: int, first: int, sigmas: float, sam
 
     def ask(asked: DataFrame) -> DataFrame:
         """(row, query_id, score, vec_id) of the nearest entries of the cells that the queries open, those of a shard in blocks."""
-        asked = asked.repartition(cores, "row")  # a query costs far more than its bytes tell
+        asked = asked.repartition(cores, F.xxhash64("row"))  # a query costs far more than its bytes tell; by its number alone it would be joined with what made it
         sent = materialize(asked.select("dim", "row", "vec_id", "floor", "v").mapInArrow(visits, "shard long, row long, query_id long, floor double, q binary, cells binary"), "ann-visits")
         plan = sent.groupBy("shard").agg(F.count("*").alias("visits"))
         plan = materialize(plan.withColumn("blocks", F.ceil(F.col("visits") / block).cast("int")), "ann-plan")
