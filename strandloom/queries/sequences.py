@@ -133,7 +133,8 @@ def q_window_identity(spark, d):
     """Statistics over windows that don't overlap."""
     s = _dna(spark, d).where(F.length("s") > 0).select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 1, F.lit(100))).alias("w"))
     g = s.select("doc_id", seq.gc_fraction(F.substring("s", F.col("w") + 1, F.lit(100))).alias("gc"))
-    cv = F.when(F.count("*") > 1, F.stddev_pop("gc") / F.avg("gc")).otherwise(0.0)
+    spread_of = F.when(F.avg("gc") > 0, F.stddev_pop("gc") / F.avg("gc")).otherwise(float("nan"))  # without G and C it is 0 / 0
+    cv = F.when(F.count("*") > 1, spread_of).otherwise(0.0)
     return g.groupBy("doc_id").agg(F.count("*").alias("n_windows"), r6(F.avg("gc")).alias("mean"), r6(cv).alias("cv"), r6(F.avg((F.col("gc") < 0.4).cast("double"))).alias("low_share"))
 
 

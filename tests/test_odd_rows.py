@@ -23,3 +23,7 @@ def documents(*texts) -> dict:
 
 def test_fractions_of_nothing(spark, tmp_path):
     assert compared(spark, tmp_path, "q_gc_nfrac", documents=documents("abc", "", "---", None, "n" * 5 + "a" * 635, "c" * 41 + "a" * 599)) == ""  # 41 / 640 is a half in the seventh digit
+
+
+def test_windows_without_gc(spark, tmp_path):
+    assert compared(spark, tmp_path, "q_window_identity", documents=documents("a" * 300, "a" * 90, "", None, "---", "ac" * 150)) == ""
