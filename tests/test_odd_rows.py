@@ -1,5 +1,7 @@
 """Queries over tables of odd rows give what their SQL gives."""
 
+import datetime
+
 import duckdb
 import oracle
 import pyarrow as pa
@@ -27,3 +29,10 @@ def test_fractions_of_nothing(spark, tmp_path):
 
 def test_windows_without_gc(spark, tmp_path):
     assert compared(spark, tmp_path, "q_window_identity", documents=documents("a" * 300, "a" * 90, "", None, "---", "ac" * 150)) == ""
+
+
+def test_spans_as_far_as_the_reach(spark, tmp_path):
+    begin = datetime.datetime(2024, 1, 1)
+    rows = [(1, 0, "view"), (1, 900 + 1500, "click"), (2, 0, "view"), (2, 900 + 1501, "click"), (3, 1500, "view"), (3, 0, "click"), (4, 1501, "view"), (4, 0, "click"), (5, 899, "click"), (5, 0, "view"), (6, 0, "click")]
+    events = {"event_id": list(range(len(rows))), "user_id": [r[0] for r in rows], "ts": [begin + datetime.timedelta(seconds=r[1]) for r in rows], "event_type": [r[2] for r in rows], "value": [1.0] * len(rows)}
+    assert compared(spark, tmp_path, "q_point_in_interval", events=events) == ""
