@@ -61,3 +61,13 @@ def test_panels_in_blocks_are_those_of_the_edges(spark, tmp_path):
     v = graphs._vectors(spark, str(tmp_path)).withColumn("lineage", lineage("vec_id"))
     got = similar.clique_panels(v, 15, 4, block=16)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_medians_over_copies(spark, tmp_path):
+    part = {"p_partkey": [1, 2, 3, 4, 5, 6, 6, 7, 8], "p_brand": ["x"] * 5 + ["y"] * 3 + [None], "p_name": ["a b", "a b", "a b", None, "c", "a", "b", "a", "a"], "p_type": ["t"] * 9}
+    assert compared(spark, tmp_path, "q_median_pair_jaccard", part=part) == ""
+
+
+def test_scores_over_copies(spark, tmp_path):
+    part = {"p_partkey": [9, 2, 3, 4, 1, 6, 5], "p_brand": ["x"] * 5 + ["y"] * 2, "p_name": ["red bolt", "blue nut", "red bolt", "blue nut", "green", "red", "red"], "p_type": ["LARGE"] * 7}
+    assert compared(spark, tmp_path, "q_kmer_jaccard", part=part) == ""
