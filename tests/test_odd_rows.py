@@ -81,3 +81,8 @@ def test_counts_of_words(spark, tmp_path):
     for letters in ("ACGT", "ACGTN", "acgT"):
         s = "".join(rng.choice(list(letters), 400))
         assert kernels.count_kmers(s, 4) == len({min(w, kernels.rc(w)) for w in (s[i : i + 4] for i in range(397)) if "N" not in w.upper()})
+
+
+def test_pool_of_offsets_is_not_broadcast(spark):
+    plan = queries.queries()["q_permutation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
