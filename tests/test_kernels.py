@@ -152,5 +152,24 @@ def test_compare_alleles_finds_a_planted_insert():
     assert (same["gap"], same["start_shift"], same["identity"], same["left"], same["right"]) == (0, None, 1.0, 100, 300)
 
 
+def test_an_excised_piece_is_compared_without_the_matrix(monkeypatch):
+    """Every placement of the gap is the one that the whole matrix gives, and no matrix is made."""
+    r = random.Random(5)
+    cases = []
+    for _ in range(400):
+        long = "".join(r.choices(r.choice(["AC", "ACGT", "AAAC"]), k=r.randrange(2, 90)))
+        start = r.randrange(len(long) - 1)
+        end = r.randrange(start, len(long)) + 1
+        cases.append((long, long[:start] + long[end:], start, end))
+    whole = k.global_alignment
+    one_gap = k._one_gap
+    monkeypatch.setattr(k, "_one_gap", lambda *a: None)
+    want = [k.compare_alleles(*c) for c in cases]
+    monkeypatch.setattr(k, "_one_gap", one_gap)
+    made = []
+    monkeypatch.setattr(k, "global_alignment", lambda *a: made.append(a) or whole(*a))
+    assert [k.compare_alleles(*c) for c in cases] == want and not made
+
+
 def test_fixed_numbers():
     assert [k.fixed(x, 2) for x in (2.675, 0.125, 1.0, None, float("nan"), -0.005)] == ["2.67", "0.12", "1.00", "NA", "NA", "-0.01"]
