@@ -44,31 +44,41 @@ class Ftrl:
         out[self.at] = self.weights()
         return out
 
-    def fit(self, rows, labels: np.ndarray, epochs: int, seed: int = 7) -> Ftrl:
-        """``rows``: a sequence of features; ``labels``: the class of each (outputs > 1), or 0/1."""
+    def hold(self, rows) -> Ftrl:
+        """Hold the coordinates of ``rows``, a sequence of features."""
         seen = np.zeros(self.size + 1, bool)
         seen[self.size] = True
         for k in range(len(rows)):
             seen[rows[k][0]] = True
         self._hold(np.flatnonzero(seen))
-        order, bias = np.random.default_rng(seed), len(self.at) - 1
+        return self
+
+    def fit(self, rows, labels: np.ndarray, epochs: int, seed: int = 7) -> Ftrl:
+        """``rows``: a sequence of features; ``labels``: the class of each (outputs > 1), or 0/1."""
+        self.hold(rows)
+        order = np.random.default_rng(seed)
         for _ in range(epochs):
-            for r in order.permutation(len(rows)):
-                at, x = rows[r]
-                at, x = np.append(self.place[at], bias), np.append(x, 1.0)
-                w = self.weights(at)
-                score = x @ w
-                if self.outputs > 1:
-                    miss = softmax(score)
-                    miss[labels[r]] -= 1
-                else:
-                    miss = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - labels[r]
-                g = x[:, None] * miss
-                n = self.n[at]
-                self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-                self.n[at] = n + g * g
+            self.learn(rows, labels, order.permutation(len(rows)))
         return self
 
+    def learn(self, rows, labels: np.ndarray, order) -> None:
+        """One pass over rows whose coordinates are held, from the state there is."""
+        bias = len(self.at) - 1
+        for r in order:
+            at, x = rows[r]
+            at, x = np.append(self.place[at], bias), np.append(x, 1.0)
+            w = self.weights(at)
+            score = x @ w
+            if self.outputs > 1:
+                miss = softmax(score)
+                miss[labels[r]] -= 1
+            else:
+                miss = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - labels[r]
+            g = x[:, None] * miss
+            n = self.n[at]
+            self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+            self.n[at] = n + g * g
+
     def scores(self, rows) -> np.ndarray:
         w, bias = self.weights(), self.weights(slice(-1, None))[0]
         out = np.tile(bias, (len(rows), 1))

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: each category's linear model also sees the probabilities of the categories before it.
 
 The features of a text are the numbers of its distinct words, and of their beginnings, in hashed buckets. Models are fitted
-by FTRL-proximal; the probabilities that a later model learns from are out of fold, so that it isn't misled by how well
+by FTRL-proximal to all labelled documents, many of them in shards; the probabilities that a later model learns from are out of fold, so that it isn't misled by how well
 the earlier models know their own training rows.
 """
 
@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bounded_batches, cut, drawn, within
+from strandloom.llm.common import bounded_batches, count_table, cut
 from strandloom.llm.ftrl import Ftrl
 from strandloom.session import materialize, scratch
 
 BITS, PREFIX = 18, 4
-#: The training sample: labelled rows that have the last category, as many times those that don't, and distinct features in
-#: all; whole texts of any length.
-PER_VALUE, OTHERS, SAMPLE_CELLS = 4000, 2, 16_000_000
-FOLDS, EPOCHS = 3, 3
+#: Labelled rows, and distinct features of them in all, up to which the chain is fitted on the driver.
+DRIVER_ROWS, DRIVER_CELLS = 2000, 2_000_000
+FOLDS, EPOCHS, L1 = 3, 3, 10.0
+#: Rows, and distinct features of them, of a shard of a larger table, and steps of a unit of log odds by which rows are counted.
+SHARD_ROWS, SHARD_CELLS, STEPS = 12_000, 8_000_000, 1024
 #: Words in a worker's weight table before it starts anew.
 TABLE_ROWS = 500_000
 #: Later models see earlier probabilities as log odds times this.
@@ -105,18 +106,17 @@ class _Linked:
         return np.concatenate([at, self.more]), np.concatenate([n, self.extra[r]], dtype=np.float64)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, cost: tuple[float, float]) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, cost: tuple[float, float], counts: np.ndarray | None = None) -> float:
     """The probability from which on a row counts as positive, at the least cost on rows that the models haven't seen.
 
-    ``cost`` is that of a negative and of a positive row on the wrong side: how many documents a row of the sample stands
-    for. Of equal costs the middle of the widest gap (in log odds) is taken. Without positives it is ``NEVER``.
+    ``cost`` is that of a negative and of a positive row on the wrong side; ``counts`` are the rows of each entry (None: one). Of equal costs the middle of the widest gap (in log odds) is taken. Without positives it is ``NEVER``.
     """
     if not (y == 1).any():
         return NEVER
     z = np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
     order = np.argsort(z)
-    z, y = z[order], y[order]
-    wrong = np.concatenate([[0.0], np.cumsum(np.where(y == 1, cost[1], -cost[0]))])  # beside that of taking all
+    z, y, counts = z[order], y[order], (np.ones(len(z)) if counts is None else counts)[order]
+    wrong = np.concatenate([[0.0], np.cumsum(np.where(y == 1, cost[1], -cost[0]) * counts)])  # beside that of taking all
     ends = np.concatenate([[-14.0], z, [14.0]])
     gap = np.diff(ends)
     good = (wrong <= wrong.min() + 1e-9) & (gap > 0)
@@ -125,7 +125,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray, cost: tuple[float, float]) -> f
     return float(1 / (1 + np.exp(-(ends[k] + ends[k + 1]) / 2)))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = 10.0, l2: float = 1e-3, alpha: float = 0.5, cost: tuple[float, float] = (1.0, 1.0)) -> Chain:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, categories: list[str], folds: int = FOLDS, epochs: int = EPOCHS, l1: float = L1, l2: float = 1e-3, alpha: float = 0.5, cost: tuple[float, float] = (1.0, 1.0)) -> Chain:
     """Fit the chain on (fold, buckets, counts) rows; rows of one fold (copies among them) are never judged by a model that saw another of it."""
     size, n, k = 1 << BITS, len(rows), len(categories)
     fold = np.array([r[0] % folds for r in rows], np.int64)
@@ -157,30 +157,26 @@ def _probability(model: Ftrl, x: _Linked) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.scores(x)[:, 0], -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, per_value: int = PER_VALUE, sample_cells: int = SAMPLE_CELLS) -> Chain:
-    """Learn from (doc_id, text) and labels (doc_id and the label columns).
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, driver_rows: int = DRIVER_ROWS, driver_cells: int = DRIVER_CELLS) -> Chain:
+    """Learn from (doc_id, text) and labels (doc_id and the label columns): from every labelled document, none is left out.
 
-    The sample has ``per_value`` documents labelled with the last category and ``OTHERS`` times as many without it, those with
-    the smallest hashes of id and text: whole texts, whatever their length. Shares are of the labelled documents that there
-    are. Of a value whose sample has more than half of ``sample_cells`` distinct features, the first rows by that hash are
-    taken, one at least. The chosen ids are bounded, so they are broadcast to read the texts. Folds follow the words, so that
-    copies share one; the threshold is that of the least cost out of fold. A label that is null is not learned from.
+    Up to ``driver_rows`` documents with ``driver_cells`` distinct features in all are fitted row by row on the driver; more are
+    fitted where they lie, in shards whose models are put together after each pass. Folds follow the
+    words, so that copies share one; the threshold is that of the least cost out of fold, over all labelled documents. A label
+    that is null is not learned from.
     """
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
-        return _fitted(docs, labels, categories or CATEGORIES, per_value, sample_cells)
+        return _fitted(docs, labels, categories or CATEGORIES, driver_rows, driver_cells)
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], per_value: int, sample_cells: int) -> Chain:
+def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], driver_rows: int, driver_cells: int) -> Chain:
     names = list(categories)
     last = names[-1]
     told = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
     told = told.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(F.col(last).isin(0, 1))
-    sized = docs.where("doc_id is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
-    known = materialize(sized.select("doc_id", "draw").join(told, "doc_id"), "labelled")
-    found = {r[last]: r["count"] for r in known.groupBy(last).count().collect()}
-    chosen = drawn(known, last, {0: OTHERS * per_value, 1: per_value}, found)
-    rows = sized.join(F.broadcast(chosen), ["doc_id", "draw"]).select("draw", "text", *names).dropDuplicates(["draw"])
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(told, "doc_id")
+    rows = known.withColumn("draw", F.xxhash64("doc_id", "text")).select("draw", "text", *names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 100):
@@ -192,20 +188,111 @@ def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], per_
             yield pa.RecordBatch.from_arrays(cols, names=["draw", "cells", "at", "n", *names])
 
     schema = "draw long, cells long, at binary, n binary, " + ", ".join(f"{c} int" for c in names)
-    sample = materialize(rows.mapInArrow(features, schema), "toxicity-sample")
-    taken = within(sample.select(last, "draw", "cells"), last, sample_cells // 2).select("draw")
+    rows = materialize(rows.mapInArrow(features, schema).dropDuplicates(["draw"]), "toxicity-rows")
+    total, cells = rows.agg(F.count("*"), F.coalesce(F.sum("cells"), F.lit(0))).first()
+    if not total:
+        return Chain(names, np.zeros((1 << BITS, len(names))), np.full(len(names), -40.0), np.zeros((len(names), len(names))))
+    if total > driver_rows or cells > driver_cells:
+        shards = max(-(-total // SHARD_ROWS), -(-cells // SHARD_CELLS))
+        return _fitted_apart(rows, names, shards, max(1, total / SHARD_ROWS, shards / 2))
     x, y = [], []
-    for r in sample.join(taken, "draw").coalesce(4).toLocalIterator():  # the driver holds one form of a row at a time
-        at = np.frombuffer(r["at"], np.uint32).astype(np.int32)
-        n = np.frombuffer(r["n"], f"<u{max(1, len(r['n']) // max(1, r['cells']))}")  # as few bytes a count as the row needs
-        x.append((r["draw"], zlib.crc32(r["at"]), at, n))
+    for r in rows.coalesce(4).toLocalIterator():  # the driver holds one form of a row at a time
+        x.append((r["draw"], zlib.crc32(r["at"]), *_unpacked(r["at"], r["n"], r["cells"])))
         y.append([-1 if r[c] is None else r[c] for c in names])
-    if not x:
-        return Chain(names, np.zeros((1 << BITS, len(names))), np.full(len(names), -40.0), np.zeros((len(names), len(names))))
     order = sorted(range(len(x)), key=lambda k: x[k][0])
     x, y = [x[k][1:] for k in order], np.array([y[k] for k in order], np.int64)
-    stands = tuple(found.get(v, 0) / max(1, int((y[:, -1] == v).sum())) for v in (0, 1))
-    return train(x, y, names, cost=stands)
+    return train(x, y, names)
+
+
+def _unpacked(at: bytes, n: bytes, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts, which have as few bytes as the row needs."""
+    return np.frombuffer(at, np.uint32).astype(np.int32), np.frombuffer(n, f"<u{max(1, len(n) // max(1, cells))}")
+
+
+def _fitted_apart(rows: DataFrame, names: list[str], shards: int, part: float, folds: int = FOLDS, epochs: int = EPOCHS, l1: float = L1, l2: float = 1e-3, alpha: float = 0.5) -> Chain:
+    """The chain of ``train`` over a table of any size, none of whose rows leaves it: in each of ``epochs`` rounds every shard goes on
+    from the shared state of each model, over all of its rows. What the shards add is summed and divided by ``part``: the number
+    of times that the rows hold ``SHARD_ROWS``, which the penalty is meant for, but half of the shards at least.
+
+    What reaches the driver are states and counts of rows by their log odds (in steps of ``1 / STEPS``), from which the threshold
+    is taken. Shards are dealt by hash, so their number grows with the rows and one of them is what ``train`` holds.
+    """
+    spark, k, models = rows.sparkSession, len(names), folds + 1  # the last model is that of all folds
+    wide = (1 << BITS) + k  # the bias comes last
+    rows = rows.select("draw", "cells", "at", "n", *names, F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int").alias("shard"))
+    state, done = np.zeros((models, 2, wide)), []
+
+    def read(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
+        """Rows (fold, buckets, counts, labels) by shard, in the order of their draws."""
+        found: dict[int, list[tuple]] = {}
+        for b in batches:
+            for draw, cells, at, n, *y, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found.setdefault(shard, []).append((draw, zlib.crc32(at) % folds, *_unpacked(at, n, cells), [-1 if v is None else v for v in y]))
+        return {shard: [r[1:] for r in sorted(own, key=lambda r: r[0])] for shard, own in found.items()}
+
+    def before(own: list[tuple], weights: list[np.ndarray]) -> np.ndarray:
+        """Log odds of the categories whose models are done, by the model that hasn't seen the row's fold."""
+        extra = np.zeros((len(own), len(weights)))
+        for r, (f, at, n, _) in enumerate(own):
+            for e, w in enumerate(weights):
+                z = w[f][at] @ n.astype(float) + w[f][1 << BITS : (1 << BITS) + e] @ extra[r, :e] + w[f][-1]
+                extra[r, e] = log_odds(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return extra
+
+    def empty(c: int) -> Ftrl:
+        return Ftrl((1 << BITS) + c, 1, alpha=alpha, l1=l1, l2=l2)
+
+    def places(at: np.ndarray, c: int) -> np.ndarray:
+        return np.where(at == (1 << BITS) + c, wide - 1, at)
+
+    for c in range(k):
+        state[:] = 0
+        for epoch in range(epochs):
+            sent = spark.sparkContext.broadcast((state, done))
+
+            def add(batches: Iterator[pa.RecordBatch], c=c, epoch=epoch, sent=sent) -> np.ndarray:
+                now, weights = sent.value
+                total = np.zeros((models, 2, wide))
+                for own in read(batches).values():
+                    x = _Linked([r[:3] for r in own], before(own, weights).astype(np.float32), 1 << BITS)
+                    fold, y = np.array([r[0] for r in own]), np.array([r[3][c] for r in own])
+                    for f in range(models):
+                        which = np.flatnonzero((y >= 0) & (fold != f))
+                        model = empty(c).hold(x.of(which))
+                        at = places(model.at, c)
+                        model.z[:, 0], model.n[:, 0] = now[f, 0, at], now[f, 1, at]
+                        order = np.random.default_rng(7)
+                        model.learn(x.of(which), y[which], [order.permutation(len(which)) for _ in range(epoch + 1)][-1])
+                        total[f, 0, at] += model.z[:, 0] - now[f, 0, at]
+                        total[f, 1, at] += model.n[:, 0] - now[f, 1, at]
+                return total.ravel()
+
+            state = state + count_table(rows.repartition(shards, "shard"), add, state.size, "float64").reshape(state.shape) / part
+            sent.destroy()
+        weights = np.zeros((models, wide))
+        for f in range(models):
+            model = empty(0)
+            model.z, model.n = state[f, 0][:, None], state[f, 1][:, None]
+            weights[f] = model.weights()[:, 0]
+        done = [*done, weights]
+
+    steps = 14 * STEPS
+
+    def told(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((2, 2 * steps + 1), np.int64)
+        for own in read(batches).values():
+            z = before(own, done)[:, -1] / CHAIN_SCALE
+            np.add.at(total, (np.array([r[3][-1] for r in own]), np.round(z * STEPS).astype(int) + steps), 1)
+        return total.ravel()
+
+    found = count_table(rows, told, 2 * (2 * steps + 1)).reshape(2, -1)
+    y, at = np.nonzero(found)
+    whole = np.stack([w[-1] for w in done], axis=1)
+    links = np.zeros((k, k))
+    for c in range(k):
+        links[c, :c] = whole[1 << BITS : (1 << BITS) + c, c]
+    p = 1 / (1 + np.exp(-(at - steps) / STEPS))
+    return Chain(names, whole[: 1 << BITS], whole[-1], links, best_threshold(p, y, (1.0, 1.0), found[y, at]))
 
 
 def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -286,6 +286,31 @@ def test_threshold_has_the_least_cost():
     assert toxicity.best_threshold(p, np.zeros(6), (1.0, 1.0)) == toxicity.NEVER
 
 
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    """Over several shards all rows count in the model and in the threshold, and no row comes to the driver."""
+    calm = "a calm and pleasant day by the sea "
+    texts = [(k, calm + f"w{k}" + (" vermin" if k % 3 == 0 else "")) for k in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
+    judged = []
+    best = toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda p, y, cost, n=None: judged.append((int(n[y == 1].sum()), int(n.sum()), cost)) or best(p, y, cost, n))
+    monkeypatch.setattr(toxicity, "train", lambda *a, **kw: pytest.fail("rows came to the driver"))
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 90)
+    chain = toxicity.fit(docs, labels, driver_rows=100)
+    assert judged == [(100, 300, (1.0, 1.0))]
+    assert chain.weights[list(toxicity.buckets("vermin")), 1].sum() > 0
+    told = chain.predict([t for _, t in texts])[:, 1] >= chain.threshold
+    assert told.tolist() == [k % 3 == 0 for k, _ in texts]
+
+
+def test_one_shard_is_the_chain_of_the_driver(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(150), spark.read.parquet(f"{SF}/labels.parquet")
+    here, apart = toxicity.fit(docs, labels), toxicity.fit(docs, labels, driver_rows=0)
+    assert here.weights.any() and np.allclose(here.weights, apart.weights, atol=1e-4)
+    assert np.allclose(here.bias, apart.bias, atol=1e-4) and np.allclose(here.links, apart.links, atol=1e-4)
+
+
 def test_copies_share_a_fold(spark):
     texts = [(k, f"word{k % 7} and more words{k % 7}") for k in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
