@@ -23,6 +23,8 @@ BITS, PREFIX = 18, 4
 #: Labelled rows, and distinct features of them in all, up to which the chain is fitted on the driver.
 DRIVER_ROWS, DRIVER_CELLS = 2000, 2_000_000
 FOLDS, EPOCHS, L1 = 3, 3, 10.0
+#: Buckets of ids that are marked where one of them is labelled.
+MARK_BITS = 20
 #: Rows, and distinct features of them, of a shard of a larger table, and steps of a unit of log odds by which rows are counted.
 SHARD_ROWS, SHARD_CELLS, STEPS = 12_000, 8_000_000, 1024
 #: Words in a worker's weight table before it starts anew.
@@ -175,20 +177,22 @@ def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], driv
     last = names[-1]
     told = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
     told = told.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(F.col(last).isin(0, 1))
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(told, "doc_id")
-    rows = known.withColumn("draw", F.xxhash64("doc_id", "text")).select("draw", "text", *names)
+    told = materialize(told.withColumn("bucket", _bucket("doc_id")), "toxicity-told")
+    marked = docs.sparkSession.sparkContext.broadcast(count_table(told.select("bucket"), _marks, 1 << MARK_BITS, "int32") > 0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 100):
-            out = []
-            for text in b.column(1).to_pylist():
+            b, out = b.filter(pa.array(marked.value[b.column(2).to_numpy()])), []
+            for text in b.column(3).to_pylist():
                 at, n = np.unique(np.array([k for w in words(text) for k in buckets(w)], np.uint32), return_counts=True)
                 out.append((len(at), at.tobytes(), n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()))
-            cols = [b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays(cols, names=["draw", "cells", "at", "n", *names])
+            cols = [*b.columns[:2], *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "draw", "cells", "at", "n"])
 
-    schema = "draw long, cells long, at binary, n binary, " + ", ".join(f"{c} int" for c in names)
-    rows = materialize(rows.mapInArrow(features, schema).dropDuplicates(["draw"]), "toxicity-rows")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("draw"), _bucket("doc_id").alias("bucket"), "text")
+    rows = texts.mapInArrow(features, f"doc_id {kind}, draw long, cells long, at binary, n binary").join(told.drop("bucket"), "doc_id")
+    rows = materialize(rows.dropDuplicates(["doc_id", "draw"]).drop("doc_id"), "toxicity-rows")
     total, cells = rows.agg(F.count("*"), F.coalesce(F.sum("cells"), F.lit(0))).first()
     if not total:
         return Chain(names, np.zeros((1 << BITS, len(names))), np.full(len(names), -40.0), np.zeros((len(names), len(names))))
@@ -204,6 +208,18 @@ def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], driv
     return train(x, y, names)
 
 
+def _bucket(doc_id: str):
+    """Of texts, only those whose bucket has a labelled id are cut into words, and no text is shuffled."""
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << MARK_BITS))
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    total = np.zeros(1 << MARK_BITS, np.int32)
+    for b in batches:
+        total[b.column(0).to_numpy()] = 1
+    return total
+
+
 def _unpacked(at: bytes, n: bytes, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts, which have as few bytes as the row needs."""
     return np.frombuffer(at, np.uint32).astype(np.int32), np.frombuffer(n, f"<u{max(1, len(n) // max(1, cells))}")
@@ -220,6 +236,7 @@ def _fitted_apart(rows: DataFrame, names: list[str], shards: int, part: float, f
     spark, k, models = rows.sparkSession, len(names), folds + 1  # the last model is that of all folds
     wide = (1 << BITS) + k  # the bias comes last
     rows = rows.select("draw", "cells", "at", "n", *names, F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int").alias("shard"))
+    rows = materialize(rows.repartition(shards, "shard"), "toxicity-shards")  # a file is a shard or more, and each is one row group
     state, done = np.zeros((models, 2, wide)), []
 
     def read(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
@@ -267,7 +284,7 @@ def _fitted_apart(rows: DataFrame, names: list[str], shards: int, part: float, f
                         total[f, 1, at] += model.n[:, 0] - now[f, 1, at]
                 return total.ravel()
 
-            state = state + count_table(rows.repartition(shards, "shard"), add, state.size, "float64").reshape(state.shape) / part
+            state = state + count_table(rows, add, state.size, "float64").reshape(state.shape) / part
             sent.destroy()
         weights = np.zeros((models, wide))
         for f in range(models):
