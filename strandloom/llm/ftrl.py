@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -64,21 +66,39 @@ class Ftrl:
     def learn(self, rows, labels: np.ndarray, order) -> None:
         """One pass over rows whose coordinates are held, from the state there is."""
         bias = len(self.at) - 1
+        if self.outputs == 1:
+            return self.learn_placed(self.z[:, 0], self.n[:, 0], (self.placed(*rows[r]) for r in order), (labels[r] for r in order))
         for r in order:
             at, x = rows[r]
             at, x = np.append(self.place[at], bias), np.append(x, 1.0)
             w = self.weights(at)
-            score = x @ w
-            if self.outputs > 1:
-                miss = softmax(score)
-                miss[labels[r]] -= 1
-            else:
-                miss = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - labels[r]
+            miss = softmax(x @ w)
+            miss[labels[r]] -= 1
             g = x[:, None] * miss
             n = self.n[at]
             self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
             self.n[at] = n + g * g
 
+    def placed(self, at: np.ndarray, x: np.ndarray, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
+        """A row by the places of its coordinates, the bias among them."""
+        place, value = np.empty(len(at) + 1, np.int32), np.empty(len(at) + 1, kind)
+        place[:-1], place[-1] = self.place[at], len(self.at) - 1
+        value[:-1], value[-1] = x, 1.0
+        return place, value
+
+    def learn_placed(self, z: np.ndarray, n: np.ndarray, rows, labels) -> None:
+        """One pass of logistic regression over placed rows and their labels, from the state ``z``, ``n``, which it changes."""
+        l1, l2, alpha, beta = self.l1, self.l2, self.alpha, self.beta
+        for (at, x), y in zip(rows, labels, strict=True):
+            zs, ns = z.take(at), n.take(at)
+            root = np.sqrt(ns)
+            w = (np.minimum(np.maximum(zs, -l1), l1) - zs) / ((beta + root) / alpha + l2)
+            miss = 1 / (1 + math.exp(-min(max(float(x @ w), -40.0), 40.0))) - y
+            g = x * miss
+            ns += g * g
+            z[at] = zs + g - (np.sqrt(ns) - root) / alpha * w
+            n[at] = ns
+
     def scores(self, rows) -> np.ndarray:
         w, bias = self.weights(), self.weights(slice(-1, None))[0]
         out = np.tile(bias, (len(rows), 1))

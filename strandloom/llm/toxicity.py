@@ -8,6 +8,7 @@ the earlier models know their own training rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from strandloom.llm.ftrl import Ftrl
 from strandloom.session import materialize, scratch
 
 BITS, PREFIX = 18, 4
+#: Marks at the ends of a run between white space that aren't of its word.
+MARKS = ".,;:!?\"'()*&%$#"
 #: Labelled rows, and distinct features of them in all, up to which the chain is fitted on the driver.
 DRIVER_ROWS, DRIVER_CELLS = 2000, 2_000_000
 FOLDS, EPOCHS, L1 = 3, 3, 10.0
@@ -27,7 +30,7 @@ FOLDS, EPOCHS, L1 = 3, 3, 10.0
 MARK_BITS = 20
 #: Rows, and distinct features of them, of a shard of a larger table, and steps of a unit of log odds by which rows are counted.
 SHARD_ROWS, SHARD_CELLS, STEPS = 12_000, 8_000_000, 1024
-#: Words in a worker's weight table before it starts anew.
+#: Runs in a worker's tables before they start anew.
 TABLE_ROWS = 500_000
 #: Later models see earlier probabilities as log odds times this.
 CHAIN_SCALE = 0.25
@@ -40,7 +43,33 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 def words(text: str | None) -> set[str]:
     """Distinct words of a whole text: runs between white space in lower case, without marks at their ends."""
-    return {w.strip(".,;:!?\"'()*&%$#") for w in (text or "").lower().split()} - {""}
+    return {w.strip(MARKS) for w in tokens(text)} - {""}
+
+
+def tokens(text: str | None) -> set[str]:
+    """Distinct runs between white space in lower case, marks and all: each is looked up once, not once an occurrence."""
+    return set((text or "").lower().split())
+
+
+class Words:
+    """Numbers of words, by the runs that they come from, and their buckets: a worker cuts and hashes a run once."""
+
+    def __init__(self):
+        self.runs, self.numbers, self.places = {}, {}, array("I")
+
+    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of a text's distinct words and of their beginnings, in order, and how many words are in each."""
+        if len(self.runs) > TABLE_ROWS:
+            self.__init__()
+        found, runs = tokens(text), self.runs
+        for run in found.difference(runs):
+            word = run.strip(MARKS)
+            number = self.numbers.setdefault(word, len(self.numbers)) if word else -1
+            if 2 * number == len(self.places):
+                self.places.extend(buckets(word))
+            runs[run] = number
+        numbers = np.unique(np.fromiter(map(runs.__getitem__, found), np.int64, len(found)))
+        return np.unique(np.frombuffer(self.places, np.uint32).reshape(-1, 2)[numbers[numbers >= 0]], return_counts=True)
 
 
 def buckets(word: str) -> tuple[int, int]:
@@ -55,7 +84,7 @@ class Chain:
 
     def __init__(self, categories: list[str], weights: np.ndarray, bias: np.ndarray, links: np.ndarray, threshold: float = NEVER):
         self.categories, self.weights, self.bias, self.links, self.threshold = categories, weights, bias, links, threshold
-        self.table: dict[str, tuple[float, ...] | None] = {}
+        self.table: dict[str, tuple[str, tuple[float, ...]] | None] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"table": {}}
@@ -71,16 +100,19 @@ class Chain:
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """(texts, categories) probabilities."""
         base = np.tile(self.bias, (len(texts), 1))
+        known = self.weights.any(axis=1).tobytes()
         for r, text in enumerate(texts):
             if len(self.table) > TABLE_ROWS:
                 self.table.clear()
-            found, table = words(text), self.table
-            for w in found.difference(table):
-                row = self.weights[list(buckets(w))].sum(axis=0)
-                table[w] = tuple(row) if row.any() else None
-            hits = [v for v in map(table.__getitem__, found) if v is not None]
+            found, table = tokens(text), self.table
+            for run in found.difference(table):
+                w, table[run] = run.strip(MARKS), None
+                a, b = buckets(w)
+                if w and (known[a] or known[b]):
+                    table[run] = w, tuple(self.weights[[a, b]].sum(axis=0))
+            hits = dict(v for v in map(table.__getitem__, found) if v is not None)
             if hits:
-                base[r] += np.sum(hits, axis=0)
+                base[r] += np.sum(list(hits.values()), axis=0)
         return self.chained(base)
 
 
@@ -181,10 +213,11 @@ def _fitted(docs: DataFrame, labels: DataFrame, categories: dict[str, str], driv
     marked = docs.sparkSession.sparkContext.broadcast(count_table(told.select("bucket"), _marks, 1 << MARK_BITS, "int32") > 0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Words()
         for b in cut(batches, 100):
             b, out = b.filter(pa.array(marked.value[b.column(2).to_numpy()])), []
             for text in b.column(3).to_pylist():
-                at, n = np.unique(np.array([k for w in words(text) for k in buckets(w)], np.uint32), return_counts=True)
+                at, n = seen.features(text)
                 out.append((len(at), at.tobytes(), n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()))
             cols = [*b.columns[:2], *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary())))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "draw", "cells", "at", "n"])
@@ -236,8 +269,8 @@ def _fitted_apart(rows: DataFrame, names: list[str], shards: int, part: float, f
     spark, k, models = rows.sparkSession, len(names), folds + 1  # the last model is that of all folds
     wide = (1 << BITS) + k  # the bias comes last
     rows = rows.select("draw", "cells", "at", "n", *names, F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int").alias("shard"))
-    rows = materialize(rows.repartition(shards, "shard"), "toxicity-shards")  # a file is a shard or more, and each is one row group
-    state, done = np.zeros((models, 2, wide)), []
+    rows = materialize(rows.repartitionByRange(shards, "shard"), "toxicity-shards")  # a file is a shard or more, and each is one row group
+    state, done = np.zeros((models, 2, wide), np.float32), []  # sent in single precision, learned in double
 
     def read(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
         """Rows (fold, buckets, counts, labels) by shard, in the order of their draws."""
@@ -273,23 +306,24 @@ def _fitted_apart(rows: DataFrame, names: list[str], shards: int, part: float, f
                 for own in read(batches).values():
                     x = _Linked([r[:3] for r in own], before(own, weights).astype(np.float32), 1 << BITS)
                     fold, y = np.array([r[0] for r in own]), np.array([r[3][c] for r in own])
+                    model = empty(c).hold(x)
+                    at, placed = places(model.at, c), [model.placed(*x[r], np.float32) for r in range(len(own))]  # for all models
                     for f in range(models):
                         which = np.flatnonzero((y >= 0) & (fold != f))
-                        model = empty(c).hold(x.of(which))
-                        at = places(model.at, c)
-                        model.z[:, 0], model.n[:, 0] = now[f, 0, at], now[f, 1, at]
                         order = np.random.default_rng(7)
-                        model.learn(x.of(which), y[which], [order.permutation(len(which)) for _ in range(epoch + 1)][-1])
-                        total[f, 0, at] += model.z[:, 0] - now[f, 0, at]
-                        total[f, 1, at] += model.n[:, 0] - now[f, 1, at]
+                        which = which[[order.permutation(len(which)) for _ in range(epoch + 1)][-1]]
+                        z, n = now[f, :, at].T.astype(float)
+                        model.learn_placed(z, n, (placed[r] for r in which), y[which].tolist())
+                        total[f, :, at] += np.stack([z, n], axis=1) - now[f, :, at]
                 return total.ravel()
 
-            state = state + count_table(rows, add, state.size, "float64").reshape(state.shape) / part
+            more = count_table(rows, add, state.size, "float32").reshape(state.shape)
+            state += np.divide(more, part, out=more)
             sent.destroy()
         weights = np.zeros((models, wide))
         for f in range(models):
             model = empty(0)
-            model.z, model.n = state[f, 0][:, None], state[f, 1][:, None]
+            model.z, model.n = state[f, 0][:, None].astype(float), state[f, 1][:, None].astype(float)
             weights[f] = model.weights()[:, 0]
         done = [*done, weights]
 

@@ -432,3 +432,29 @@ def test_a_rare_label_more_changes_no_bucket(spark):
     model = language.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
     assert len(model.languages) == 300 and len(model.place) == 1 << language.BITS
     assert np.mean([model.predict(t)[0] == lang for _, t, lang in texts]) > 0.9
+
+
+def test_a_run_is_cut_and_hashed_once(monkeypatch):
+    """A worker's tables give the features of every text, and no run between white space is looked at twice."""
+    texts = ["A b, b. (b) c!", None, "", "...", "B c c; d", "A b, b. (b) c!", "d ... a"] * 3
+    want = [np.unique([k for w in toxicity.words(t) for k in toxicity.buckets(w)], return_counts=True) for t in texts]
+    asked, real = [], toxicity.buckets
+    monkeypatch.setattr(toxicity, "buckets", lambda w: asked.append(w) or real(w))
+    seen = toxicity.Words()
+    got = [seen.features(t) for t in texts]
+    assert all(np.array_equal(g[0], w[0]) and np.array_equal(g[1], w[1]) for g, w in zip(got, want, strict=True))
+    assert sorted(asked) == ["a", "b", "c", "d"]
+    monkeypatch.setattr(toxicity, "TABLE_ROWS", 2)
+    assert all(np.array_equal(seen.features(t)[0], w[0]) for t, w in zip(texts, want, strict=True))
+
+
+def test_models_of_folds_learn_from_rows_placed_once():
+    """A model over the coordinates of all rows, of which it sees some, is the model of these rows alone."""
+    r = np.random.default_rng(3)
+    rows = [(np.sort(r.choice(60, 6, replace=False)), r.integers(1, 4, 6).astype(float)) for _ in range(200)]
+    y, some = np.array([int((at < 9).any()) for at, _ in rows]), np.arange(0, 200, 2)
+    order = some[np.random.default_rng(7).permutation(100)]
+    every, alone = Ftrl(60, 1, l1=1.0).hold(rows), Ftrl(60, 1, l1=1.0).fit([rows[k] for k in some], y[some], 1)
+    placed = [every.placed(*row, np.float32) for row in rows]
+    every.learn_placed(every.z[:, 0], every.n[:, 0], (placed[k] for k in order), y[order].tolist())
+    assert alone.dense().any() and np.allclose(every.dense(), alone.dense(), atol=1e-12)
