@@ -7,9 +7,11 @@ the earlier models know their own training rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +76,23 @@ class Words:
 
 def buckets(word: str) -> tuple[int, int]:
     """The buckets of a word and of its beginning."""
-    b, mask = word.encode("utf-8", "surrogatepass"), (1 << BITS) - 1
-    return zlib.crc32(b) & mask, zlib.crc32(b"^" + word[:PREFIX].encode("utf-8", "surrogatepass")) & mask
+    mask = (1 << BITS) - 1
+    return zlib.crc32(_encoded(word)) & mask, zlib.crc32(b"^" + _encoded(word[:PREFIX])) & mask
+
+
+def _encoded(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
+
+
+_START = itemgetter(slice(PREFIX))
+
+
+class Starts(dict):
+    """The buckets of beginnings, which are few and come again: a worker hashes one once. Most words come once, and are hashed where they stand."""
+
+    def __missing__(self, start: str) -> int:
+        self[start] = buckets(start)[1]
+        return self[start]
 
 
 class Chain:
@@ -84,10 +101,10 @@ class Chain:
 
     def __init__(self, categories: list[str], weights: np.ndarray, bias: np.ndarray, links: np.ndarray, threshold: float = NEVER):
         self.categories, self.weights, self.bias, self.links, self.threshold = categories, weights, bias, links, threshold
-        self.table: dict[str, tuple[str, tuple[float, ...]] | None] = {}
+        self.known, self.starts = weights.any(axis=1), Starts()
 
     def __getstate__(self):
-        return self.__dict__ | {"table": {}}
+        return self.__dict__ | {"starts": Starts()}
 
     def chained(self, base: np.ndarray) -> np.ndarray:
         """Probabilities from the words' scores, category by category."""
@@ -100,19 +117,13 @@ class Chain:
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """(texts, categories) probabilities."""
         base = np.tile(self.bias, (len(texts), 1))
-        known = self.weights.any(axis=1).tobytes()
         for r, text in enumerate(texts):
-            if len(self.table) > TABLE_ROWS:
-                self.table.clear()
-            found, table = tokens(text), self.table
-            for run in found.difference(table):
-                w, table[run] = run.strip(MARKS), None
-                a, b = buckets(w)
-                if w and (known[a] or known[b]):
-                    table[run] = w, tuple(self.weights[[a, b]].sum(axis=0))
-            hits = dict(v for v in map(table.__getitem__, found) if v is not None)
-            if hits:
-                base[r] += np.sum(list(hits.values()), axis=0)
+            if len(self.starts) > TABLE_ROWS:
+                self.starts.clear()
+            found = words(text)
+            at = np.fromiter(itertools.chain(map(zlib.crc32, map(_encoded, found)), map(self.starts.__getitem__, map(_START, found))), np.int64, 2 * len(found))
+            at &= (1 << BITS) - 1
+            base[r] += self.weights[at[self.known[at]]].sum(axis=0)
         return self.chained(base)
 
 
@@ -312,7 +323,7 @@ def _fitted_apart(rows: DataFrame, names: list[str], shards: int, part: float, f
                         which = np.flatnonzero((y >= 0) & (fold != f))
                         order = np.random.default_rng(7)
                         which = which[[order.permutation(len(which)) for _ in range(epoch + 1)][-1]]
-                        z, n = now[f, :, at].T.astype(float)
+                        z, n = np.ascontiguousarray(now[f, :, at].T, float)  # what isn't contiguous is copied whole for every row
                         model.learn_placed(z, n, (placed[r] for r in which), y[which].tolist())
                         total[f, :, at] += np.stack([z, n], axis=1) - now[f, :, at]
                 return total.ravel()

@@ -458,3 +458,29 @@ def test_models_of_folds_learn_from_rows_placed_once():
     placed = [every.placed(*row, np.float32) for row in rows]
     every.learn_placed(every.z[:, 0], every.n[:, 0], (placed[k] for k in order), y[order].tolist())
     assert alone.dense().any() and np.allclose(every.dense(), alone.dense(), atol=1e-12)
+
+
+def test_no_row_copies_the_states(spark, monkeypatch):
+    """The states that a shard learns from are contiguous: NumPy takes from any other array by copying all of it, row by row."""
+    docs = spark.createDataFrame([(k, f"word{k % 7} and more words{k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    seen, real, learn = [], toxicity.count_table, Ftrl.learn_placed
+    here = lambda rows, counts, size, kind="int64": np.asarray(counts(rows.toArrow().to_batches()), kind) if "shard" in rows.columns else real(rows, counts, size, kind)
+    monkeypatch.setattr(toxicity, "count_table", here)
+    monkeypatch.setattr(Ftrl, "learn_placed", lambda self, z, n, *a: seen.append((z.flags.c_contiguous, n.flags.c_contiguous)) or learn(self, z, n, *a))
+    toxicity.fit(docs, labels, driver_rows=0)
+    assert len(seen) == 2 * toxicity.EPOCHS * (toxicity.FOLDS + 1) and set(seen) == {(True, True)}
+
+
+def test_prediction_keeps_beginnings_not_runs(monkeypatch):
+    """Scores are those of the distinct words' buckets, a beginning is hashed once, and what comes once leaves nothing behind."""
+    r = np.random.default_rng(5)
+    weights = np.where(r.random((1 << toxicity.BITS, 2)) < 0.5, r.normal(size=(1 << toxicity.BITS, 2)), 0)
+    texts = [" ".join(f"urls{k}x{i}, urls{k}x{i}" for i in range(200)) for k in range(20)] + [None, "", "... !", "a\ud800b ß"]
+    want = [np.sum([weights[k] for w in toxicity.words(t) for k in toxicity.buckets(w)] or [[0, 0]], axis=0) for t in texts]
+    asked, real = [], toxicity.buckets
+    monkeypatch.setattr(toxicity, "buckets", lambda w: asked.append(w) or real(w))
+    chain = toxicity.Chain(["a", "b"], weights, np.array([0.1, -0.2]), np.array([[0.0, 0.0], [0.3, 0.0]]))
+    got = chain.predict(texts)
+    assert np.allclose(got, chain.chained(np.array(want) + [0.1, -0.2]), atol=1e-9)
+    assert sorted(asked) == sorted({w[: toxicity.PREFIX] for t in texts for w in toxicity.words(t)})
