@@ -86,3 +86,20 @@ def test_counts_of_words(spark, tmp_path):
 def test_pool_of_offsets_is_not_broadcast(spark):
     plan = queries.queries()["q_permutation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_pair_scores_in_blocks_and_parts(spark):
+    """Every pair of rows once, its score made and finished once for its sets, whatever the blocks and the parts of keys."""
+    from strandloom.operators.sets import pair_scores
+
+    rows = [(k, "g" if k % 7 else "h", ("a b c", "b c d e", "c", "", "a b c")[k % 5]) for k in range(60)] + [(None, "g", "a"), (99, None, "a"), (3, "g", "c")]
+    df = spark.createDataFrame(rows, "id long, g string, s string")
+    out = pair_scores(df, ["g"], "id", "s", lambda s: F.array_distinct(F.split(s, " ")), lambda c: F.round(c, 3), block=2, part=5)
+    told = sorted(map(tuple, out.collect()))
+    want = []
+    for i, (a, g, s) in enumerate(rows):
+        for b, h, t in rows[:i]:
+            if None not in (a, b, g) and g == h and a != b:
+                x, y = set(s.split(" ")), set(t.split(" "))
+                want.append((min(a, b), max(a, b), round(len(x & y) / len(x | y), 3), round(len(x & y) / min(len(x), len(y)), 3)))
+    assert told == sorted(want)
