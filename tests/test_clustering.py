@@ -186,3 +186,38 @@ def test_translation():
     orf = "ATG" + "GCT" * 40 + "TAA"
     assert k.dominant_protein("CC" + orf + "C") == "M" + "A" * 40 == k.dominant_protein(k.rc("CC" + orf + "C"))
     assert k.dominant_protein("ACGT" * 5) is None
+
+
+def test_ends_are_known_without_alignment():
+    """What the tester passes is what the alignment passes, whether a pair is near, half alike or far."""
+    r = random.Random(12)
+    base = letters(r, 120, AA)
+    proteins = [mutate(base, rate, r, AA) for rate in (0.05, 0.2, 0.4, 0.6)] + [base[:70], base[30:] + letters(r, 40, AA), base[:40] + letters(r, 60, AA) + base[60:], letters(r, 90, AA), base * 2, "", "MK"]
+    for both in (True, False):
+        test = c._protein_tester(0.5, 0.8, both, 5)()
+        for a, x in enumerate(proteins):
+            for b, y in enumerate(proteins):
+                assert test(a, x, b, y) == c.protein_alike(x, y, 0.5, 0.8, both)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_links_of_cells_are_those_of_all_pairs(spark, block):
+    """Each pair that shares a seed is tested once, in one cell, however many seeds it shares."""
+    r = random.Random(13)
+    nodes = [(10 * n, letters(r, r.randrange(5, 40))) for n in range(30)]
+    lists = [(n, seed) for n, _ in nodes for seed in r.sample(range(12), 4)]
+
+    def tester():
+        seen = set()
+
+        def test(a, x, b, y):
+            assert frozenset((x, y)) not in seen
+            seen.add(frozenset((x, y)))
+            return (len(x) + len(y)) % 2 == 0
+
+        return test
+
+    got = c.cell_links(spark.createDataFrame(lists, "node long, seed long"), spark.createDataFrame(nodes, "node long, seq string"), tester, 0.5, block).collect()
+    of = {n: {s for m, s in lists if m == n} for n, _ in nodes}
+    want = {(a, b) for a, x in nodes for b, y in nodes if a < b and of[a] & of[b] and 2 * min(len(x), len(y)) >= max(len(x), len(y)) and (len(x) + len(y)) % 2 == 0}
+    assert sorted(map(tuple, got)) == sorted(want)
